@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlark.llm.bpe_automaton import encode_documents
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.exact_dedup import exact_dedup
+from meterlark.llm.token_store import store_digests
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -35,7 +40,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_automaton, op6_decontaminate, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op6_decontaminate, op7_exact_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
