@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlark.llm.bpe_automaton import encode_documents
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.exact_dedup import exact_dedup
+from meterlark.llm.line_dedup import line_dedup
 from meterlark.llm.token_store import store_digests
 
 
@@ -39,8 +40,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op6_decontaminate, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op6_decontaminate, op7_exact_dedup, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,6 +82,21 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM t WINDOW g AS (PARTITION BY text)
 """
 
+_OP10 = rf"""
+WITH l AS (
+  SELECT doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents)
+), k AS (
+  SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l
+), r AS (
+  SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.doc_id, k.pos, k.line, r.key IS NOT NULL AND k.doc_id <> r.keep_id AS gone FROM k LEFT JOIN r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": _OP6, "op7_exact_dedup": _OP7}
+    return {"op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
