@@ -10,6 +10,7 @@ from meterlark.llm.bpe_automaton import encode_documents
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.exact_dedup import exact_dedup
 from meterlark.llm.line_dedup import line_dedup
+from meterlark.llm.minhash import near_duplicates
 from meterlark.llm.token_store import store_digests
 
 
@@ -32,6 +33,10 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,11 +50,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op6_decontaminate, op7_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op6_decontaminate, op7_exact_dedup, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [hash(w[1])]
+    ELSE list_distinct([hash(w[i], w[i + 1]) FOR i IN range(1, len(w))]) END AS s FROM w
+), big AS (SELECT doc_id, s, len(s) AS n FROM s WHERE len(s) > 0),
+near AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS i
+  FROM big a JOIN big b ON a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), link AS (
+  SELECT x, y FROM near WHERE 100 * i >= 80 * (total - i) UNION SELECT y, x FROM near WHERE 100 * i >= 80 * (total - i)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS to_id FROM s UNION SELECT r.id, l.y FROM reach AS r JOIN link l ON r.to_id = l.x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.to_id) AS component_id, min(r.to_id) = s.doc_id AS kept
+FROM s JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
 _OP6 = rf"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -99,4 +123,4 @@ FROM m GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
+    return {"op3_minhash": _OP3, "op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
