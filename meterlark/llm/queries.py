@@ -11,6 +11,7 @@ from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.exact_dedup import exact_dedup
 from meterlark.llm.line_dedup import line_dedup
 from meterlark.llm.minhash import near_duplicates
+from meterlark.llm.substring import substring_dedup
 from meterlark.llm.token_store import store_digests
 
 
@@ -37,6 +38,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op6_decontaminate, op7_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op6_decontaminate, op7_exact_dedup, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,6 +79,22 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.to_id) AS component_id, min(r.to_
 FROM s JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, s.s
 """
 
+_OP4 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, unnest([array_to_string(list_slice(w, i, i + 19), ' ') FOR i IN range(1, len(w) - 18)]) AS run
+  FROM w WHERE len(w) >= 20
+), later AS (
+  SELECT doc_id, pos FROM win QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM later),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+marked AS (SELECT f.doc_id, f.pos, f.word, g.pos IS NOT NULL AS gone FROM flat f LEFT JOIN gone g USING (doc_id, pos)),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 _OP6 = rf"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -123,4 +144,4 @@ FROM m GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": _OP3, "op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
+    return {"op3_minhash": _OP3, "op4_substring": _OP4, "op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
