@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlark.llm.bpe_automaton import encode_documents
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.exact_dedup import exact_dedup
+from meterlark.llm.language_id import identify_languages
 from meterlark.llm.line_dedup import line_dedup
 from meterlark.llm.minhash import near_duplicates
+from meterlark.llm.quality import quality
 from meterlark.llm.substring import substring_dedup
 from meterlark.llm.token_store import store_digests
 
@@ -42,6 +44,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,12 +56,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op6_decontaminate, op7_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op5_quality, op6_decontaminate, op7_exact_dedup, op8_language_id, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
