@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlark.llm.bpe_automaton import encode_documents
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.exact_dedup import exact_dedup
+from meterlark.llm.html_extract import extract_main_text
 from meterlark.llm.language_id import identify_languages
 from meterlark.llm.line_dedup import line_dedup
 from meterlark.llm.minhash import near_duplicates
@@ -60,12 +61,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op5_quality, op6_decontaminate, op7_exact_dedup, op8_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op5_quality, op6_decontaminate, op7_exact_dedup, op8_language_id, op9_html_extract, op10_line_dedup, pipeline)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
