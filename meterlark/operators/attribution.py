@@ -1,0 +1,156 @@
+"""What part of a quota's movement comes from elsewhere: quiet spans, limit ratios, isotonic series, calibration."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from meterlark.operators.ordered import MINUTE_US, asof_backward, segment_by
+
+GAP_US = 30 * MINUTE_US
+
+
+def attribute_events(events: DataFrame, proxy: DataFrame, timeline: DataFrame, default_profile: str | None = None, installed_us: int | None = None) -> DataFrame:
+    """events(request_id, us) with profile and level: before the install unknown, else the proxy log by request,
+    else the profile timeline as of the event, else the default, else unknown."""
+    with_log = events.join(proxy.select("request_id", F.col("profile").alias("_proxy")).dropDuplicates(["request_id"]), "request_id", "left")
+    with_all = asof_backward(with_log.withColumn("_k", F.lit(0)), timeline.select(F.lit(0).alias("_k"), "us", F.col("profile").alias("_line")), ["_k"], "us", "_line")
+    early = F.lit(False) if installed_us is None else F.col("us") < installed_us
+    level = F.when(early, "unknown").when(F.col("_proxy").isNotNull(), "proxy").when(F.col("_line").isNotNull(), "timeline").otherwise("fallback" if default_profile else "unknown")
+    profile = F.when(early, F.lit(None)).otherwise(F.coalesce("_proxy", "_line", F.lit(default_profile)))
+    return with_all.withColumns({"profile": profile, "level": level}).drop("_proxy", "_line", "_k")
+
+
+def quiet_attribution(samples: DataFrame, events: DataFrame, keys: Sequence[str] = ("profile_id",), lead_us: int = GAP_US, gap_us: int = GAP_US) -> DataFrame:
+    """By key: observed rise, the part of it that came while nothing ran here, the ambiguous part, quiet spans and gaps.
+
+    events(keys, us). The latest event strictly before a sample tells whether one lies in [sample - lead, sample).
+    """
+    before = events.select(*keys, (F.col("us") + 1).alias("us"), F.col("us").alias("_event")).distinct()
+    seen = asof_backward(samples, before, keys, "us", "_event")
+    w = Window.partitionBy(*keys).orderBy("us")
+    pairs = seen.withColumns({"_pu": F.lag("us").over(w), "_pp": F.lag("pct").over(w), "_rn": F.row_number().over(w)})
+    pair = F.col("_pu").isNotNull()
+    gap = pair & (F.col("us") - F.col("_pu") > gap_us)
+    rise = F.col("pct") - F.col("_pp")
+    up = pair & ~gap & (rise > 0)
+    busy = F.col("_event").isNotNull() & (F.col("_event") >= F.col("us") - lead_us)
+    return pairs.groupBy(*keys).agg(
+        F.round(F.coalesce(F.sum(F.when(up, rise)), F.lit(0.0)), 6).alias("observed_pct"),
+        F.round(F.coalesce(F.sum(F.when(up & ~busy, rise)), F.lit(0.0)), 6).alias("other_pct"),
+        F.round(F.coalesce(F.sum(F.when(up & busy, rise)), F.lit(0.0)), 6).alias("ambiguous_pct"),
+        F.count_if(up & ~busy).alias("quiet_spans"),
+        F.count_if(gap).alias("gaps"),
+        F.max(F.when(F.col("_rn") == 1, F.col("pct"))).alias("unobserved_pct"),
+    )
+
+
+def limit_ratio(short: DataFrame, long: DataFrame, keys: Sequence[str] = ("profile_id",), gap_us: int = GAP_US) -> DataFrame:
+    """How many points of the long limit one point of the short one is: pairs at equal times, cut where either falls or a gap lies."""
+    pairs = short.select(*keys, "us", F.col("pct").alias("s")).join(long.groupBy(*keys, "us").agg(F.max("pct").alias("l")), [*keys, "us"])
+    w = Window.partitionBy(*keys).orderBy("us")
+    lagged = pairs.withColumns({"_s": F.lag("s").over(w), "_l": F.lag("l").over(w), "_u": F.lag("us").over(w)})
+    cut = segment_by(lagged, keys, ["us"], (F.col("s") < F.col("_s")) | (F.col("l") < F.col("_l")) | (F.col("us") - F.col("_u") > gap_us))
+    ends = cut.groupBy(*keys, "segment").agg((F.max_by("s", "us") - F.min_by("s", "us")).alias("ds"), (F.max_by("l", "us") - F.min_by("l", "us")).alias("dl"))
+    sums = ends.groupBy(*keys).agg(F.sum("ds").alias("short_pct"), F.sum("dl").alias("long_pct"), F.count("*").alias("segments"))
+    usable = (F.col("long_pct") >= 5) & (F.col("short_pct") > 0)
+    return sums.withColumn("ratio", F.when(usable, F.round(F.try_divide("long_pct", "short_pct"), 6)))
+
+
+def interval_usage(samples: DataFrame, events: DataFrame, keys: Sequence[str] = ("profile_id",), gap_us: int = GAP_US) -> DataFrame:
+    """Calibration observations: for neighbouring samples that rise within the gap, the tokens by model between them.
+
+    Samples tile the line, so each event belongs to the latest sample at or before it: one as-of join.
+    """
+    w = Window.partitionBy(*keys).orderBy("us")
+    steps = samples.withColumns({"end_us": F.lead("us").over(w), "delta_pct": F.lead("pct").over(w) - F.col("pct")})
+    good = steps.where((F.col("end_us") > F.col("us")) & (F.col("end_us") - F.col("us") <= gap_us) & (F.col("delta_pct") > 0))
+    placed = asof_backward(events, samples.select(*keys, "us", F.col("us").alias("start_us")).distinct(), keys, "us", "start_us")
+    used = placed.where("start_us IS NOT NULL").groupBy(*keys, "start_us", "model").agg(F.sum("tokens").alias("tokens"), F.collect_set("machine_id").alias("_m"))
+    joined = good.select(*keys, F.col("us").alias("start_us"), "end_us", "delta_pct").join(used, [*keys, "start_us"])
+    return joined.groupBy(*keys, "start_us", "end_us", "delta_pct").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "tokens")))).alias("tokens_by_model"),
+        F.sum("tokens").alias("tokens"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("_m")))) <= 1).alias("single_machine"),
+    )
+
+
+def isotonic(values: Sequence[float]) -> list[float]:
+    """The closest non-decreasing sequence: neighbouring pools that fall are averaged until none does."""
+    pools: list[list[float]] = []
+    for v in values:
+        pools.append([float(v), 1.0])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (m, n), (a, b) = pools.pop(), pools.pop()
+            pools.append([(m * n + a * b) / (n + b), n + b])
+    return [m for m, n in pools for _ in range(int(n))]
+
+
+def isotonic_fit(series: DataFrame, keys: Sequence[str], value: str = "pct") -> DataFrame:
+    """series(keys, us, value) with `fitted`, fitted within each key (a key is one window, bounded by time)."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.schema.fields)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("us", kind="stable")
+        group["fitted"] = isotonic(group[value].tolist())
+        return group
+
+    return series.groupBy(*keys).applyInPandas(fit, f"{fields}, fitted double")
+
+
+def increases(series: DataFrame, keys: Sequence[str], segment: str, value: str) -> DataFrame:
+    """series with the cumulative increase: a new segment adds its whole value, others their difference."""
+    w = Window.partitionBy(*keys).orderBy("us")
+    prev, prev_segment = F.lag(value).over(w), F.lag(segment).over(w)
+    step = F.when(prev.isNull() | (F.col(segment) != prev_segment), F.col(value)).otherwise(F.col(value) - prev)
+    stepped = series.withColumn("_step", step)
+    return stepped.withColumn("increase", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+
+
+def calibrate(observations: Sequence[tuple[dict[str, float], float]], least: int = 30, rounds: int = 20_000) -> dict | None:
+    """Non-negative least squares of quota points on tokens by model; None with fewer than `least` observations.
+
+    Gives limit (tokens of the base model for 100 %), weights relative to the base (the model with most tokens
+    among those with a positive coefficient) and the relative residual.
+    """
+    if len(observations) < least:
+        return None
+    models = sorted({m for tokens, _ in observations for m in tokens})
+    a = np.array([[tokens.get(m, 0.0) for m in models] for tokens, _ in observations])
+    b = np.array([delta / 100 for _, delta in observations])
+    scale = np.where(a.max(axis=0) > 0, a.max(axis=0), 1.0)
+    s = a / scale
+    gram, target = s.T @ s, s.T @ b
+    step = 1 / max(float(np.linalg.eigvalsh(gram).max()), 1e-300)
+    x = np.zeros(len(models))
+    for _ in range(rounds):
+        new = np.maximum(0.0, x - step * (gram @ x - target))
+        moved = float(np.abs(new - x).max())
+        x = new
+        if moved < 1e-14:
+            break
+    x = x / scale
+    totals = np.where(x > 0, a.sum(axis=0), -1.0)
+    base = int(totals.argmax())
+    if totals[base] < 0:
+        return None
+    limit = 1 / x[base]
+    return {"base": models[base], "limit": float(limit), "weights": {m: float(v * limit) for m, v in zip(models, x, strict=True)}, "residual": float(np.linalg.norm(a @ x - b) / max(float(np.linalg.norm(b)), 1e-300))}
+
+
+def calibration(observed: DataFrame, keys: Sequence[str] = ("profile_id",), least: int = 30) -> DataFrame:
+    """calibrate() for each key over the normal equations' rows; single-machine observations only."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observed.schema.fields if f.name in keys) + ", base string, limit_tokens double, residual double, observations long"
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        found = calibrate([(dict(t), d) for t, d in zip(group["tokens_by_model"], group["delta_pct"], strict=True)], least)
+        row = {k: group[k].iloc[0] for k in keys} | {"base": None, "limit_tokens": None, "residual": None, "observations": len(group)}
+        if found:
+            row |= {"base": found["base"], "limit_tokens": round(found["limit"], 3), "residual": round(found["residual"], 6)}
+        return pd.DataFrame([row])
+
+    return observed.where("single_machine").select(*keys, "tokens_by_model", "delta_pct").groupBy(*keys).applyInPandas(fit, schema)
