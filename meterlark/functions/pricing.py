@@ -81,7 +81,7 @@ def with_cost(usage: DataFrame, catalog: DataFrame) -> DataFrame:
     """usage with cost_usd and price_version: null where the model does not count, has no price, or lacks the rate of a part it used.
 
     The exact name is looked up first, then the name without its suffix. The highest tier below the prompt
-    size prices the whole request.
+    size prices the whole request. Money is decimal, so sums do not depend on their order.
     """
     exact = catalog.select(F.col("name").alias("_exact"), F.struct("version", "rates", "tiers").alias("_a"))
     loose = catalog.select(F.col("name").alias("_loose"), F.struct("version", "rates", "tiers").alias("_b"))
@@ -94,4 +94,4 @@ def with_cost(usage: DataFrame, catalog: DataFrame) -> DataFrame:
     cost = F.lit(0.0)
     for part, tokens in PARTS.items():
         cost = cost + F.when(F.col(tokens) == 0, 0.0).otherwise(F.col(tokens) / 1e6 * _rate(part))
-    return priced.withColumns({"cost_usd": F.when(counts_toward_quota() & F.col("_p").isNotNull(), cost), "price_version": F.col("_p.version")}).drop("_exact", "_loose", "_a", "_b", "_p", "rates", "tiers", "prompt_tokens")
+    return priced.withColumns({"cost_usd": F.when(counts_toward_quota() & F.col("_p").isNotNull(), cost.cast("decimal(20,9)")), "price_version": F.col("_p.version")}).drop("_exact", "_loose", "_a", "_b", "_p", "rates", "tiers", "prompt_tokens")

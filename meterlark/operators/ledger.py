@@ -30,7 +30,7 @@ def priced(df: DataFrame, catalog: DataFrame) -> DataFrame:
     uncached = F.col("input_tokens") - F.col("cached_tokens") - F.col("cache_write_tokens")
     write = F.when(F.col("cache_write_tokens") == 0, 0.0).otherwise(F.col("cache_write_tokens") * F.col("cache_write"))
     cost = ((uncached * F.col("input") + F.col("cached_tokens") * F.col("cached") + write) * m_in + F.col("output_tokens") * F.col("output") * m_out) / 1e6
-    return j.withColumns({"missing_reason": reason, "cost_usd": F.when(reason.isNull(), F.round(cost, 6))}).drop("_known", *[c for c in catalog.columns if c != "model"])
+    return j.withColumns({"missing_reason": reason, "cost_usd": F.when(reason.isNull(), F.round(cost.cast("decimal(20,9)"), 6))}).drop("_known", *[c for c in catalog.columns if c != "model"])
 
 
 def usage_coverage(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
@@ -40,7 +40,7 @@ def usage_coverage(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
         F.count("*").alias("events"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"),
         F.count("cost_usd").alias("priced_events"),
         F.round(F.try_divide(F.sum(F.when(F.col("cost_usd").isNotNull(), tokens)) * 100.0, F.sum(tokens)), 4).alias("coverage_pct"),
         F.count_if(F.col("missing_reason") == "unknown_model").alias("unknown_model"),

@@ -26,7 +26,7 @@ def _measures() -> list[Column]:
         F.count("*").alias("events"),
         *sums,
         F.sum(quota_tokens()).alias("total_tokens"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"),
         F.count_if(F.col("cost_usd").isNull()).alias("unpriced_events"),
         F.count_if(F.col("output_final") == F.lit(False)).alias("partial_output"),
     ]
@@ -41,7 +41,7 @@ def distribution_series(usage: DataFrame, by: str, unit: str) -> DataFrame:
     """Usage by dimension and UTC hour or day, one row for each."""
     bucket = F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz")
     return usage.where(counts_toward_quota()).groupBy(dimension(by).alias("key"), bucket.alias("bucket")).agg(
-        F.count("*").alias("events"), F.sum(quota_tokens()).alias("total_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_events")
+        F.count("*").alias("events"), F.sum(quota_tokens()).alias("total_tokens"), F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_events")
     )
 
 
@@ -78,9 +78,9 @@ def usage_totals(usage: DataFrame) -> DataFrame:
         F.sum(quota_tokens()).alias("total_tokens"),
         F.round(F.try_divide(read * 100.0, context), 6).alias("cache_hit_pct"),
         F.round(context / F.count("*"), 4).alias("mean_context"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"),
         F.count("cost_usd").alias("priced_events"),
-        F.round(F.try_divide(F.sum("cost_usd"), F.count("cost_usd").cast("double")), 6).alias("mean_cost"),
+        F.round(F.try_divide(F.sum("cost_usd").cast("double"), F.count("cost_usd")), 6).alias("mean_cost"),
     )
 
 

@@ -83,7 +83,7 @@ def attribution_shares(spark, sf_dir):
 
 
 def event_cost(spark, sf_dir):
-    return priced_usage(spark, sf_dir).select("event_id", F.round("cost_usd", 6).alias("cost_usd"))
+    return priced_usage(spark, sf_dir).select("event_id", F.round("cost_usd", 6).cast("double").alias("cost_usd"))
 
 
 def fork_merge(spark, sf_dir):
@@ -269,7 +269,7 @@ def b_full_cost(spark, sf_dir):
     """Cost of a full window by period: what was spent in it over the share of the quota it used (from 20 points on)."""
     p = ledger.periods(_quota(spark, sf_dir, "five_hour")).select("profile_id", "period", "first_us", "last_us", "cumulative_pct")
     spent = ordered.asof_backward(_ledger(spark, sf_dir).select("profile_id", "us", "cost_usd"), p.select("profile_id", F.col("first_us").alias("us"), F.col("period")), ["profile_id"], "us", "period")
-    costs = spent.where("period IS NOT NULL").groupBy("profile_id", "period").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    costs = spent.where("period IS NOT NULL").groupBy("profile_id", "period").agg(F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"))
     full = F.when(F.col("cumulative_pct") >= 20, F.round(F.col("cost_usd") / F.col("cumulative_pct") * 100, 4))
     return p.join(costs, ["profile_id", "period"], "left").select("profile_id", "period", "cumulative_pct", "cost_usd", full.alias("full_cost_usd"))
 
