@@ -188,3 +188,43 @@ def row_of(at: np.ndarray) -> np.ndarray:
 
 def blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
+
+
+# --- packed exchange --------------------------------------------------------------------------------
+
+
+def owner_cuts(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a sorted array."""
+    if not len(owner):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    return cuts, np.append(cuts[1:], len(owner))
+
+
+def deal_by_document(values: np.ndarray, docs: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, docs, values): values packed by the part that gathers a document, a row for each part."""
+    owner = ((mix(docs.view(_U)) >> _U(20)) % _U(parts)).astype(np.int32)
+    order = np.lexsort((docs, owner))
+    values, docs, owner = values[order], docs[order], owner[order]
+    cuts, ends = owner_cuts(owner)
+    packed = [pa.array([blob(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (docs, values)]
+    return pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), *packed], names=["part", "docs", "values"])
+
+
+def gather_documents(dealt: DataFrame, kind: np.dtype, parts: int) -> DataFrame:
+    """(doc_id, values): one row for each document of frames of deal_by_document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, docs = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            values += [np.frombuffer(x, dtype=kind) for x in batch.column("values").to_pylist()]
+            docs += [np.frombuffer(x, dtype=np.int64) for x in batch.column("docs").to_pylist()]
+        v, d = np.concatenate(values), np.concatenate(docs)
+        order = np.argsort(d, kind="stable")
+        v, d = v[order], d[order]
+        cuts, ends = owner_cuts(d)
+        for i in range(0, len(cuts), 2048):
+            a, b = cuts[i : i + 2048], ends[i : i + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(d[a], pa.int64()), pa.array([blob(v[x:y]) for x, y in zip(a, b, strict=True)], pa.binary())], names=["doc_id", "values"])
+
+    return dealt.repartition(parts, "part").select("docs", "values").mapInArrow(run, "doc_id long, values binary")

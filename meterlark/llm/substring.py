@@ -11,7 +11,7 @@ sequence that also starts earlier (smaller doc_id, or the same document further
    of its shortest prefix that at most `group` suffixes share, so groups have prefixes of variable length and
    fit in memory. Prefixes that stay frequent at full length need no deeper tree: equal windows of a batch
    are folded to the earliest before they travel, so such a group gets a row for each batch at most.
-4. Each group is sorted into its tree: suffixes equal in 128 bits over the window lie under one internal node
+4. Each group is sorted into its tree: suffixes equal in 96 bits over the window lie under one internal node
    of at least that depth, a repeat. All but the earliest suffix of a node are repeated windows.
 
 Defined results: null, empty or wordless texts have no words and keep the empty text; rows that share a doc_id
@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import blob, cut, gram_hashes, keyed, mix, partitions, row_of, sliding, text_chunks, unkeyed, word_hashes
+from meterlark.llm.common import blob, cut, deal_by_document, gather_documents, gram_hashes, keyed, mix, partitions, row_of, sliding, text_chunks, unkeyed, word_hashes
 
 WINDOW, GRAM = 20, 6
 LEVELS = (1, 2, 4, 8)
@@ -56,21 +57,8 @@ def _anchors(grams: np.ndarray, lowest: np.ndarray, valid: np.ndarray, width: in
     return np.flatnonzero(sliding(padded, width, np.maximum)[: len(grams)] == grams)
 
 
-_NAMES = ["part", "doc_id", "n_words", "digest", "values", "docs"]
-_SCANNED = "part int, doc_id long, n_words long, digest string, values binary, docs binary"
-
-
-def by_document(values: list[np.ndarray], docs: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its values, packed."""
-    order = np.argsort(docs, kind="stable")
-    docs = docs[order]
-    cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(docs))
-    values = [v[order] for v in values]
-    for a in range(0, len(cuts), 2048):
-        x, y = cuts[a : a + 2048], ends[a : a + 2048]
-        packed = [pa.array([blob(v[i:j]) for i, j in zip(x, y, strict=True)], pa.binary()) for v in values]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[x], pa.int64()), *packed], names=["doc_id", *names])
+_NAMES = ["part", "doc_id", "n_words", "digest", "values", "docs", "settled"]
+_SCANNED = "part int, doc_id long, n_words long, digest string, values binary, docs binary, settled boolean"
 
 
 def _scan(window: int, gram: int, parts: int):
@@ -90,16 +78,16 @@ def _scan(window: int, gram: int, parts: int):
                 counts.append(len(split))
                 digests.append(hashlib.sha256(b" ".join(split)).hexdigest())
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], names=_NAMES)
             v = np.concatenate(values) if values else np.zeros(0, _U)
             d = ids[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
             order = np.lexsort((d, v))
             v, d = v[order], d[order]
             new = np.append(True, v[1:] != v[:-1]) if len(v) else np.zeros(0, bool)
             again = ~new | (np.append(~new[1:], False) if len(v) else new)  # held at least twice in this batch
-            for found in by_document([v[again]], d[again], ["values"]):
-                m = found.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), found.column(0), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), found.column(1), pa.nulls(m, pa.binary())], names=_NAMES)
+            told = deal_by_document(v[again], d[again], parts)
+            m = told.num_rows
+            yield pa.RecordBatch.from_arrays([told.column(0), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), told.column(2), told.column(1), pa.array([True] * m, pa.bool_())], names=_NAMES)
             v, d = v[new], d[new]
             owner = ((v >> _U(40)) % _U(parts)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
@@ -108,32 +96,36 @@ def _scan(window: int, gram: int, parts: int):
             ends = np.append(cuts[1:], len(owner))
             m = len(cuts)
             packed = [pa.array([blob(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (v, d)]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), *packed], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), *packed, pa.array([False] * m, pa.bool_())], names=_NAMES)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By owner: the anchors that several batches hold, by document."""
-    values, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        values += [np.frombuffer(x, dtype=_U) for x in batch.column("values").to_pylist()]
-        docs += [np.frombuffer(x, dtype=np.int64) for x in batch.column("docs").to_pylist()]
-    v, d = np.concatenate(values), np.concatenate(docs)
-    values.clear()
-    docs.clear()
-    order = np.argsort(v, kind="stable")
-    v, d = v[order], d[order]
-    if len(v):
-        same = v[1:] == v[:-1]
-        again = np.append(False, same) | np.append(same, False)
-        yield from by_document([v[again]], d[again], ["values"])
-
-
-def _candidates(column: pa.Array, packed: list[list[bytes]], window: int, gram: int):
+def _repeated(parts: int):
+    """By owner: the anchors that several batches hold, dealt by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            values += [np.frombuffer(x, dtype=_U) for x in batch.column("values").to_pylist()]
+            docs += [np.frombuffer(x, dtype=np.int64) for x in batch.column("docs").to_pylist()]
+        v, d = np.concatenate(values), np.concatenate(docs)
+        values.clear()
+        docs.clear()
+        order = np.argsort(v, kind="stable")
+        v, d = v[order], d[order]
+        if len(v):
+            same = v[1:] == v[:-1]
+            again = np.append(False, same) | np.append(same, False)
+            yield deal_by_document(v[again], d[again], parts)
+
+    return run
+
+
+def _candidates(column: pa.Array, packed: list[bytes], window: int, gram: int):
     """For each chunk: first row, word hashes, first words, starts of candidate windows and their rows."""
     for first, words, at, starts, row, _, lowest, _ in _windows(column, window, gram):
-        held = [np.frombuffer(x, dtype=_U) for many in packed[first : first + len(at) - 1] for x in many]
+        held = [np.frombuffer(x, dtype=_U) for x in packed[first : first + len(at) - 1]]
         wanted = np.unique(np.concatenate(held)) if held else np.zeros(0, _U)
         low = lowest[starts]
         if len(wanted):
@@ -156,20 +148,28 @@ def _count_prefixes(window: int, gram: int, slots: int):
             for _, words, _, starts, _ in _candidates(batch.column(1), batch.column(2).to_pylist(), window, gram):
                 for level, at in enumerate(_prefix_slots(words, starts, window, slots)):
                     total[level] += np.bincount(at, minlength=slots)
-        level, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(slot, pa.int32()), pa.array(total[level, slot], pa.int64())], names=["level", "slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([blob(x) for x in total], pa.binary())], names=["level", "n"])
 
     return run
 
 
+def _add_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column("n").to_pylist():
+            n = np.frombuffer(x, dtype=np.int64)
+            total = n.copy() if total is None else total + n
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([blob(total)], pa.binary())], names=["level", "n"])
+
+
 def prefix_groups(spark: SparkSession, counted: DataFrame, slots: int, parts: int, group: int) -> np.ndarray:
     """The partition of each (level, slot), -1 where the prefix must be longer.
 
     The table has (levels * slots) entries, a bound that the partitions set and not the rows.
     """
     counts = np.zeros((len(LEVELS) + 1, slots), dtype=np.int64)
-    for level, slot, n in counted.groupBy("level", "slot").agg(F.sum("n").alias("n")).collect():
-        counts[level, slot] = n
+    for level, n in counted.groupBy("level").applyInArrow(_add_counts, "level int, n binary").collect():  # a row for each level
+        counts[level] = np.frombuffer(n, dtype=np.int64)
     limit = min(group, max(1, int(counts[-1].sum()) // (4 * parts)))
     level, slot = np.indices(counts.shape)
     spread = (mix((level.astype(_U) << _U(40)) | slot.astype(_U)) % _U(parts)).astype(np.int32)
@@ -177,7 +177,7 @@ def prefix_groups(spark: SparkSession, counted: DataFrame, slots: int, parts: in
     return spread
 
 
-def _suffixes(window: int, gram: int, slots: int, table):
+def _suffixes(window: int, gram: int, slots: int, parts: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = table.value
         for batch in batches:
@@ -186,7 +186,7 @@ def _suffixes(window: int, gram: int, slots: int, table):
             k1, k2, doc, pos, part = [], [], [], [], []
             for first, words, at, starts, row in _candidates(batch.column(1), packed, window, gram):
                 k1.append(gram_hashes(words, window)[starts])
-                k2.append(gram_hashes(words, window, seed=1)[starts])
+                k2.append((gram_hashes(words, window, seed=1)[starts] >> _U(32)).astype(np.uint32))
                 doc.append(ids[row + first])
                 pos.append((starts - at[:-1][row]).astype(np.uint32))
                 owner = np.full(len(starts), -1, dtype=np.int32)
@@ -196,28 +196,26 @@ def _suffixes(window: int, gram: int, slots: int, table):
             if not k1:
                 continue
             columns = [np.concatenate(x) for x in (k1, k2, doc, pos, part)]
-            repeated, columns = _fold(*columns)
-            yield from (_row(x) for x in by_document([repeated[1]], repeated[0], ["pos"]))
+            (doc, pos), columns = _fold(*columns)
+            # What an equal window of this batch precedes is settled; it passes through some group as it is.
+            settled = deal_by_document(pos, doc, parts)
+            none = pa.nulls(settled.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([settled.column(0), none, none, settled.column(1), settled.column(2)], names=_SUFFIX_NAMES)
             a, b, d, p, owner = columns
-            order = np.argsort(owner, kind="stable")
+            # In document order, documents repeat and positions differ by little, which packs well.
+            order = np.lexsort((p, d, owner))
             a, b, d, p, owner = (x[order] for x in (a, b, d, p, owner))
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
             ends = np.append(cuts[1:], len(owner))
-            m = len(cuts)
-            blobs = [pa.array([blob(x[i:j]) for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in (a, b, d, p)]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), pa.nulls(m, pa.int64()), *blobs], names=_SUFFIX_NAMES)
+            blobs = [pa.array([blob(x[i:j]) for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in (a, b, d)]
+            steps = pa.array([blob(np.diff(p[i:j], prepend=np.uint32(0))) for i, j in zip(cuts, ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), *blobs, steps], names=_SUFFIX_NAMES)
 
     return run
 
 
-_SUFFIX_NAMES = ["part", "doc_id", "k1", "k2", "docs", "pos"]
-_SUFFIXES = "part int, doc_id long, k1 binary, k2 binary, docs binary, pos binary"
-
-
-def _row(found: pa.RecordBatch) -> pa.RecordBatch:
-    m = found.num_rows
-    none = pa.nulls(m, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), found.column(0), none, none, none, found.column(1)], names=_SUFFIX_NAMES)
+_SUFFIX_NAMES = ["part", "k1", "k2", "docs", "pos"]
+_SUFFIXES = "part int, k1 binary, k2 binary, docs binary, pos binary"
 
 
 def _fold(k1, k2, doc, pos, *more):
@@ -232,16 +230,27 @@ def _fold(k1, k2, doc, pos, *more):
     return (doc[later], pos[later]), tuple(x[first] for x in (k1, k2, doc, pos, *more))
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By group: the positions of suffixes under a node of window depth, but for the earliest, by document."""
-    found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (_U, _U, np.int64, np.uint32)]
-    for batch in batches:
-        for into, name, kind in zip(found, ("k1", "k2", "docs", "pos"), (_U, _U, np.int64, np.uint32), strict=True):
-            into += [np.frombuffer(x, dtype=kind) for x in batch.column(name).to_pylist()]
-    columns = [np.concatenate(x) for x in found]
-    found.clear()
-    (doc, pos), _ = _fold(*columns)
-    yield from by_document([pos], doc, ["pos"])
+def _subtrees(parts: int):
+    """By group: the positions of suffixes under a node of window depth, but for the earliest, dealt by document."""
+    kinds = (_U, np.uint32, np.int64, np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in kinds]
+        for batch in batches:
+            settled = batch.filter(pc.is_null(batch.column("k1")))
+            if settled.num_rows:
+                yield settled.select(["part", "docs", "pos"]).rename_columns(["part", "docs", "values"])
+            batch = batch.filter(pc.is_valid(batch.column("k1")))
+            for into, name, kind in zip(found, ("k1", "k2", "docs", "pos"), kinds, strict=True):
+                into += [np.frombuffer(x, dtype=kind) for x in batch.column(name).to_pylist()]
+        found[3] = [np.cumsum(x, dtype=np.uint32) for x in found[3]]
+        columns = [np.concatenate(x) for x in found]
+        found.clear()
+        (doc, pos), _ = _fold(*columns)
+        if len(doc):
+            yield deal_by_document(pos, doc, parts)
+
+    return run
 
 
 def _remove(window: int):
@@ -251,7 +260,7 @@ def _remove(window: int):
             for doc_id, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 split = text.encode("utf-8", "surrogatepass").split()
                 edge = np.zeros(len(split) + window + 1, dtype=np.int64)
-                starts = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in packed])).astype(np.int64)
+                starts = np.unique(np.frombuffer(packed, dtype=np.uint32)).astype(np.int64)
                 starts = starts[starts < len(split)]
                 edge[starts] += 1
                 edge[starts + window] -= 1
@@ -265,24 +274,25 @@ def _remove(window: int):
     return run
 
 
+_DEALT = "part int, docs binary, values binary"
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = keyed(docs)
     scanned = cut(texts.mapInArrow(_scan(window, gram, parts), _SCANNED), "anchors")
-    owned = scanned.where("part IS NOT NULL").select("part", "values", "docs").repartition(parts, "part")
-    told = owned.mapInArrow(_repeated, "doc_id long, values binary").unionByName(scanned.where("n_words IS NULL AND part IS NULL").select("doc_id", "values"))
-    hits = told.groupBy("doc_id").agg(F.collect_list("values").alias("values"))
+    owned = scanned.where("part IS NOT NULL AND NOT settled").select("part", "values", "docs").repartition(parts, "part")
+    told = owned.mapInArrow(_repeated(parts), _DEALT).unionByName(scanned.where("settled").select("part", "docs", "values"))
+    hits = gather_documents(told, _U, parts)
     held = cut(texts.join(hits, "doc_id"), "candidate-texts")
 
     slots = 1 << max(8, (16 * parts - 1).bit_length())
-    counted = held.mapInArrow(_count_prefixes(window, gram, slots), "level int, slot int, n long")
+    counted = held.mapInArrow(_count_prefixes(window, gram, slots), "level int, n binary")
     table = spark.sparkContext.broadcast(prefix_groups(spark, counted, slots, parts, group))
-    suffixes = cut(held.mapInArrow(_suffixes(window, gram, slots, table), _SUFFIXES), "suffixes")
-    grouped = suffixes.where("part IS NOT NULL").select("part", "k1", "k2", "docs", "pos").repartition(parts, "part")
-    repeats = grouped.mapInArrow(_subtrees, "doc_id long, pos binary").unionByName(suffixes.where("part IS NULL").select("doc_id", "pos"))
-    repeats = repeats.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
+    suffixes = held.mapInArrow(_suffixes(window, gram, slots, parts, table), _SUFFIXES).repartition(parts, "part")
+    repeats = gather_documents(suffixes.mapInArrow(_subtrees(parts), _DEALT), np.uint32, parts)
     touched = cut(held.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"), "removed")
     rows = scanned.where("n_words IS NOT NULL").select("doc_id", "n_words", "digest")
     whole = rows.join(touched.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
