@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import NO_ID, blob, cut, keyed, mix, partitions, unkeyed
+from meterlark.llm.common import NO_ID, blob, cut, deal_by_document, gather_documents, keyed, mix, owner_cuts, partitions, unkeyed
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _TRIM = " \t\n\x0b\x0c\r"
@@ -97,13 +97,14 @@ def _scan(min_chars: int, parts: int):
             at = np.flatnonzero(first)
             count = np.diff(np.append(at, len(h))).astype(np.int64)
             # The other documents of this batch that hold the same line are suspects here and now.
-            yield from _by_document(h[~first], d[~first])
+            told = deal_by_document(h[~first], d[~first], parts)
+            m = told.num_rows
+            yield pa.RecordBatch.from_arrays([told.column(0), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), told.column(2), told.column(1), pa.nulls(m, pa.binary())], names=_NAMES)
             h, d = h[at], d[at]
             owner = ((h >> _U(40)) % _U(parts)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             h, d, count, owner = h[order], d[order], count[order], owner[order]
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            ends = np.append(cuts[1:], len(owner))
+            cuts, ends = owner_cuts(owner)
             m = len(cuts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owner[cuts], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())]
@@ -118,21 +119,8 @@ _NAMES = ["part", "doc_id", "n_lines", "digest", "hashes", "docs", "counts"]
 _SCANNED = "part int, doc_id long, n_lines long, digest string, hashes binary, docs binary, counts binary"
 
 
-def _by_document(hashes: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row (doc_id, packed hashes), with the other columns of a scan null, for each document."""
-    order = np.argsort(docs, kind="stable")
-    hashes, docs = hashes[order], docs[order]
-    cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(docs))
-    for a in range(0, len(cuts), 4096):
-        x, y = cuts[a : a + 4096], ends[a : a + 4096]
-        n = len(x)
-        packed = pa.array([blob(hashes[i:j]) for i, j in zip(x, y, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(docs[x], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), packed, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=_NAMES)
-
-
-def _suspects(min_docs: int):
-    """By owner: (doc_id, hashes) of suspected repeats that enough documents seem to hold."""
+def _suspects(min_docs: int, parts: int):
+    """By owner: suspected repeats that enough documents seem to hold, dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, counts = [], [], []
@@ -149,8 +137,7 @@ def _suspects(min_docs: int):
         _, at = np.unique(h, return_inverse=True)
         total = np.bincount(at, weights=n, minlength=1) if len(h) else np.zeros(1)
         enough = total[at] >= min_docs
-        for rows in _by_document(h[enough], d[enough]):
-            yield rows.select(["doc_id", "hashes"])
+        yield deal_by_document(h[enough], d[enough], parts)
 
     return run
 
@@ -162,7 +149,7 @@ def _confirmable(min_chars: int):
         for batch in batches:
             ids, keys = [], []
             for doc_id, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                wanted = {int(h) for x in packed for h in np.frombuffer(x, dtype=_U)}
+                wanted = set(np.frombuffer(packed, dtype=_U).tolist())
                 found = {k for k in {line_key(x) for x in text.split("\n") if len(x) >= min_chars} if len(k) >= min_chars and key_hash(k) in wanted}
                 ids += [doc_id] * len(found)
                 keys += sorted(found)
@@ -194,10 +181,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     parts = partitions(docs.sparkSession)
     texts = keyed(docs)
     scanned = cut(texts.mapInArrow(_scan(min_chars, parts), _SCANNED), "line-hashes")
-    owned = scanned.where("part IS NOT NULL").select("part", "hashes", "docs", "counts").repartition(parts, "part")
-    suspects = owned.mapInArrow(_suspects(min_docs), "doc_id long, hashes binary")
-    suspects = suspects.unionByName(scanned.where("part IS NULL AND hashes IS NOT NULL").select("doc_id", "hashes"))
-    suspects = suspects.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    owned = scanned.where("counts IS NOT NULL").select("part", "hashes", "docs", "counts").repartition(parts, "part")
+    dealt = owned.mapInArrow(_suspects(min_docs, parts), "part int, docs binary, values binary")
+    told = scanned.where("part IS NOT NULL AND counts IS NULL").select("part", "docs", F.col("hashes").alias("values"))
+    suspects = gather_documents(dealt.unionByName(told), _U, parts)
     lines = cut(texts.join(suspects, "doc_id").mapInArrow(_confirmable(min_chars), "doc_id long, key string"), "suspected-lines")
     repeats = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= min_docs)
     losing = lines.join(repeats, "key").where("doc_id <> keep_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
