@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import blob, cut, deal_by_document, gather_documents, gram_hashes, keyed, mix, partitions, row_of, sliding, text_chunks, unkeyed, word_hashes
+from meterlark.llm.common import blob, cut, deal_by_document, gather_documents, gram_hashes, keyed, mix, owner_cuts, partitions, row_of, sliding, text_chunks, unkeyed, word_hashes
 
 WINDOW, GRAM = 20, 6
 LEVELS = (1, 2, 4, 8)
@@ -92,8 +92,7 @@ def _scan(window: int, gram: int, parts: int):
             owner = ((v >> _U(40)) % _U(parts)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             v, d, owner = v[order], d[order], owner[order]
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            ends = np.append(cuts[1:], len(owner))
+            cuts, ends = owner_cuts(owner)
             m = len(cuts)
             packed = [pa.array([blob(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (v, d)]
             yield pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), *packed, pa.array([False] * m, pa.bool_())], names=_NAMES)
@@ -205,8 +204,7 @@ def _suffixes(window: int, gram: int, slots: int, parts: int, table):
             # In document order, documents repeat and positions differ by little, which packs well.
             order = np.lexsort((p, d, owner))
             a, b, d, p, owner = (x[order] for x in (a, b, d, p, owner))
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            ends = np.append(cuts[1:], len(owner))
+            cuts, ends = owner_cuts(owner)
             blobs = [pa.array([blob(x[i:j]) for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in (a, b, d)]
             steps = pa.array([blob(np.diff(p[i:j], prepend=np.uint32(0))) for i, j in zip(cuts, ends, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(owner[cuts], pa.int32()), *blobs, steps], names=_SUFFIX_NAMES)
