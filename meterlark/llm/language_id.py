@@ -192,7 +192,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS):
     if not names:
         return [], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0
     classes = known["lang"].map({x: i for i, x in enumerate(names)}).to_numpy()
-    features = [(np.asarray(a), np.asarray(x)) for a, x in zip(known["at"], known["x"], strict=True)]
+    features = [(np.asarray(a, dtype=np.int64), np.asarray(x, dtype=np.float64)) for a, x in zip(known["at"], known["x"], strict=True)]
     aside = np.arange(len(features)) % 10 == 9
     w = ftrl([f for f, out in zip(features, aside, strict=True) if not out], classes[~aside], len(names), buckets)
     heat = 1.0
