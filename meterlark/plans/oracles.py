@@ -191,6 +191,9 @@ FROM d JOIN weights w ON w.profile_id = d.profile_id AND w.weekday = (day + 4) %
     "timeline_asof": f"""WITH {PRICED_SQL}, {QUOTA_SQL} SELECT e.event_id, e.profile_id, q.pct FROM (SELECT * FROM counted WHERE event_id % 3 = 0) e
 ASOF LEFT JOIN (SELECT * FROM quota WHERE window_kind = 'five_hour') q ON q.profile_id = e.profile_id AND e.us >= q.us""",
     "quiet_attribution": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, {_quiet("SELECT profile_id, us, pct FROM quota WHERE window_kind = 'five_hour'", "SELECT profile_id, us FROM counted WHERE event_id % 40 = 1", "profile_id")} SELECT * FROM quiet""",
+    "timeline_asof_all": f"""WITH {PRICED_SQL}, {QUOTA_SQL} SELECT e.event_id, e.profile_id, q.pct FROM counted e
+ASOF LEFT JOIN (SELECT * FROM quota WHERE window_kind = 'five_hour') q ON q.profile_id = e.profile_id AND e.us >= q.us""",
+    "quiet_attribution_all": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, {_quiet("SELECT profile_id, us, pct FROM quota WHERE window_kind = 'five_hour'", "SELECT profile_id, us FROM counted", "profile_id")} SELECT * FROM quiet""",
     "calib_observations": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, s AS (SELECT *, lead(us) OVER w AS end_us, lead(pct) OVER w - pct AS delta_pct FROM quota WHERE window_kind = 'seven_day' WINDOW w AS (PARTITION BY profile_id ORDER BY us))
 SELECT s.profile_id, s.us AS start_us, s.end_us, s.delta_pct, CAST(sum(c.tokens) AS BIGINT) AS tokens, count(DISTINCT c.machine_id) <= 1 AS single_machine
 FROM s JOIN counted c ON c.profile_id = s.profile_id AND c.us >= s.us AND c.us < s.end_us WHERE s.end_us > s.us AND s.end_us - s.us <= 1800000000 AND s.delta_pct > 0 GROUP BY 1, 2, 3, 4""",
