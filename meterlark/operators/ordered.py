@@ -120,11 +120,10 @@ def samples_of_window(samples: DataFrame, windows: DataFrame, slack_us: int = 10
     return bounded.where("NOT _foreign AND us >= effective_start_us").drop("_foreign")
 
 
-def project(samples: DataFrame, now_us: int, keys: Sequence[str] = (*SERIES, "resets_us"), end: str = "resets_us", lookback_us: int = 30 * MINUTE_US, half_life_us: int = 10 * MINUTE_US) -> DataFrame:
-    """Projected percentage at the window's end: EWMA of recent rates in closed form, with a quartile band.
+def recent_rates(samples: DataFrame, now_us: int, keys: Sequence[str] = (*SERIES, "resets_us"), lookback_us: int = 30 * MINUTE_US, half_life_us: int = 10 * MINUTE_US) -> DataFrame:
+    """By window: last_pct, the EWMA of recent rates in closed form (per minute), their quartiles low and high, and how many.
 
-    Rates are those of neighbouring samples that rise or stay, taken in the look-back. Output by window:
-    last_pct, rate, low and high (per minute), mid, lo and hi (clamped), eta_us (null unless 100 is reached in time).
+    Rates are those of neighbouring samples that rise or stay, taken in the look-back.
     """
     w = Window.partitionBy(*keys).orderBy("us")
     pairs = samples.where(F.col("us") <= now_us).withColumns({"_pu": F.lag("us").over(w), "_pp": F.lag("pct").over(w)})
@@ -137,13 +136,21 @@ def project(samples: DataFrame, now_us: int, keys: Sequence[str] = (*SERIES, "re
     weighted = rated.withColumns({"_n": rank, "_later": F.coalesce(F.sum("_dt").over(after), F.lit(0.0))})
     decay = F.pow(F.lit(2.0), -F.col("_later") / h)
     share = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(1 - F.pow(F.lit(2.0), -F.col("_dt") / h))
-    done = weighted.groupBy(*keys).agg(
+    return weighted.groupBy(*keys).agg(
         F.max_by("pct", "us").alias("last_pct"),
         F.coalesce(F.sum(F.col("_r") * share * decay), F.lit(0.0)).alias("rate"),
         F.coalesce(F.percentile("_r", F.lit(0.25)), F.lit(0.0)).alias("low"),
         F.coalesce(F.percentile("_r", F.lit(0.75)), F.lit(0.0)).alias("high"),
         F.count("_r").alias("rates"),
     )
+
+
+def project(samples: DataFrame, now_us: int, keys: Sequence[str] = (*SERIES, "resets_us"), end: str = "resets_us", lookback_us: int = 30 * MINUTE_US, half_life_us: int = 10 * MINUTE_US) -> DataFrame:
+    """Projected percentage at the window's end from recent_rates, with a quartile band.
+
+    Output by window: last_pct, rate (per minute), mid, lo and hi (clamped), eta_ms (null unless 100 is reached in time).
+    """
+    done = recent_rates(samples, now_us, keys, lookback_us, half_life_us)
     left = F.greatest((F.col(end) - F.lit(now_us)) / MINUTE_US, F.lit(0.0))
     to_full = (100 - F.col("last_pct")) / F.col("rate")
     clamp = lambda x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x))

@@ -175,6 +175,31 @@ j AS (SELECT q.*, w.end_us, w.start_us, abs(q.resets_us - w.end_us) > 600000000
 e AS (SELECT *, greatest(start_us, coalesce(max(us) FILTER (alien) OVER (PARTITION BY profile_id, window_kind), start_us)) AS effective_start_us FROM j)
 SELECT profile_id, window_kind, count(*) AS samples, min(effective_start_us) AS effective_start_us, min(us) AS first_us FROM e WHERE NOT alien AND us >= effective_start_us GROUP BY 1, 2""",
     "window_projection": f"WITH {_PROJECTION} SELECT * FROM projected",
+    "calendar_projection": f"""WITH {PRICED_SQL}, {_PROJECTION}, win AS (
+  SELECT d.*, greatest(s.cumulative_pct, d.last_pct) AS cum, d.resets_us - 604800000000 AS start_us, n FROM done d JOIN state s USING (profile_id, window_kind, resets_us), now WHERE d.window_kind = 'seven_day'
+), hist AS (
+  SELECT c.profile_id, us // 86400000000 AS day, sum(tokens) AS t FROM counted c JOIN win USING (profile_id) WHERE us >= start_us - 4 * 604800000000 AND us < n GROUP BY ALL
+), byday AS (SELECT profile_id, (day + 4) % 7 AS weekday, avg(t) AS m, count(*) AS k FROM hist GROUP BY ALL),
+overall AS (SELECT profile_id, avg(m) AS mean, sum(k) AS days FROM byday GROUP BY ALL),
+hours AS (
+  SELECT w.*, unnest(range(start_us // 86400000000, (resets_us - 1) // 86400000000 + 1)) AS day FROM win w
+), spread AS (
+  SELECT h.*, CASE WHEN o.days >= 7 AND o.mean > 0 AND b.m IS NOT NULL THEN round(greatest(0.1, least(5, b.m / o.mean)), 6) ELSE 1 END AS w,
+    greatest(least(n, resets_us, (day + 1) * 86400000000) - greatest(start_us, day * 86400000000), 0) / 86400000000 * w AS gone,
+    greatest(least(resets_us, (day + 1) * 86400000000) - greatest(n, start_us, day * 86400000000), 0) / 86400000000 * w AS ahead
+  FROM hours h LEFT JOIN overall o USING (profile_id) LEFT JOIN byday b ON b.profile_id = h.profile_id AND b.weekday = (h.day + 4) % 7
+), total AS (
+  SELECT profile_id, sum(gone) AS e, sum(ahead) AS a FROM spread GROUP BY 1
+), eta AS (
+  SELECT profile_id, min(CASE WHEN ahead > 0 AND need > before AND need <= before + ahead THEN CAST(floor((greatest(n, start_us, day * 86400000000) + (need - before) / w * 86400000000) / 1000 + 0.5) AS BIGINT) END) AS eta_ms
+  FROM (SELECT s.*, coalesce(sum(ahead) OVER (PARTITION BY s.profile_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, CASE WHEN cum > 0 AND last_pct < 100 AND e > 0 THEN (100 - last_pct) / (cum / e) END AS need FROM spread s JOIN total USING (profile_id))
+  GROUP BY 1
+), inc AS (
+  SELECT w.*, e > 0 AND a > 0 AS moving, CASE WHEN e > 0 AND a > 0 THEN cum / e * a ELSE 0 END AS rise, CASE WHEN rate > 0 THEN least(1, greatest(0, low / rate)) ELSE 1 END AS k25, CASE WHEN rate > 0 THEN greatest(1, high / rate) ELSE 1 END AS k75
+  FROM win w JOIN total USING (profile_id)
+)
+SELECT profile_id, resets_us, round(CASE WHEN moving AND resets_us > n THEN (least(100, greatest(0, last_pct + rise)) - last_pct) / ((resets_us - n) / 6e7) ELSE 0 END, 6) AS rate,
+  round(least(100, greatest(0, last_pct + rise)), 4) AS mid_pct, round(least(100, greatest(0, last_pct + k25 * rise)), 4) AS lo_pct, round(least(100, greatest(0, last_pct + k75 * rise)), 4) AS hi_pct, eta_ms FROM inc JOIN eta USING (profile_id)""",
     "windows_current": f"""WITH {PRICED_SQL}, {_PROJECTION}, {_quiet("SELECT q.* FROM quota q JOIN latest l USING (profile_id, window_kind, resets_us)", "SELECT c.profile_id, k.window_kind, c.us FROM counted c JOIN latest k USING (profile_id)", "profile_id, window_kind")}
 SELECT s.profile_id, s.window_kind, CASE s.window_kind WHEN 'five_hour' THEN '5h' ELSE '7d' END AS label, s.resets_us, s.cumulative_pct, s.resets, p.rate, p.mid_pct, p.lo_pct, p.hi_pct, p.eta_ms, q.observed_pct, q.other_pct, q.ambiguous_pct, q.quiet_spans, q.gaps
 FROM state s JOIN projected p USING (profile_id, window_kind, resets_us) JOIN quiet q USING (profile_id, window_kind)""",

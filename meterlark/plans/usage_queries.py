@@ -148,16 +148,36 @@ def samples_of_window(spark, sf_dir):
     return ordered.samples_of_window(q, last).groupBy("profile_id", "window_kind").agg(F.count("*").alias("samples"), F.min("effective_start_us").alias("effective_start_us"), F.min("us").alias("first_us"))
 
 
-def window_projection(spark, sf_dir):
-    q = _quota(spark, sf_dir)
+def _newest_segment(q: DataFrame) -> DataFrame:
     last = dedup.latest_by(q, ["profile_id", "window_kind"], "us").select("profile_id", "window_kind", "resets_us")
     current = ordered.reset_segments(q.join(F.broadcast(last), ["profile_id", "window_kind", "resets_us"]))
     newest = current.groupBy("profile_id", "window_kind", "resets_us").agg(F.max("segment").alias("segment"))
-    return ordered.project(current.join(newest, ["profile_id", "window_kind", "resets_us", "segment"]), _now(spark, sf_dir))
+    return current.join(newest, ["profile_id", "window_kind", "resets_us", "segment"])
+
+
+def window_projection(spark, sf_dir):
+    return ordered.project(_newest_segment(_quota(spark, sf_dir)), _now(spark, sf_dir))
+
+
+def calendar_projection(spark, sf_dir):
+    """The projection of the current seven_day windows by weekday weights of the four weeks before their start and since."""
+    from meterlark.operators import calendar
+
+    q, now = _quota(spark, sf_dir, "seven_day"), _now(spark, sf_dir)
+    rates = ordered.recent_rates(_newest_segment(q), now)
+    state = ordered.cumulative_usage(q).select("profile_id", "resets_us", "cumulative_pct")
+    week = synthetic.WINDOW_US["seven_day"]
+    windows = rates.join(state, ["profile_id", "resets_us"]).select("profile_id", (F.col("resets_us") - week).alias("start_us"), F.col("resets_us").alias("end_us"), "last_pct", F.greatest("cumulative_pct", "last_pct").alias("cumulative_pct"), "rate", "low", "high")
+    since = windows.select("profile_id", (F.col("start_us") - 4 * week).alias("since_us"))
+    history = _tokens(spark, sf_dir).join(F.broadcast(since), "profile_id").where((F.col("us") >= F.col("since_us")) & (F.col("us") < now))
+    return calendar.calendar_projection(windows, calendar.weekday_weights(history), now)
 
 
 def windows_current(spark, sf_dir):
-    """The current state of every window: cumulative use, resets, projection, and what of it came from elsewhere."""
+    """The current state of every window: cumulative use, resets, projection, and what of it came from elsewhere.
+
+    All windows are projected by recent rates, as in the twin; calendar_projection has the long ones by weekday.
+    """
     q = _quota(spark, sf_dir)
     last = dedup.latest_by(q, ["profile_id", "window_kind"], "us").select("profile_id", "window_kind", "resets_us")
     current = q.join(F.broadcast(last), ["profile_id", "window_kind", "resets_us"])
@@ -292,7 +312,7 @@ QUERIES |= {
     for f in (
         usage_hourly, models_seen, unpriced_models, usage_totals, share_pct, top_n_rest, heat_grid, cache_trend, attribution_shares, event_cost, fork_merge, treemap_areas, scratch_labels,
         dedup_batch, dedup_upsert, latest_per_kind, active_profile, quota_resets_rounded, timeline_lanes, lane_overlaps, gantt_split, usage_blocks, reset_segments, samples_of_window,
-        window_projection, windows_current, multi_machine_overlap, session_cut_rate, window_metrics, weekday_weights, calendar_weight, timeline_asof, quiet_attribution, timeline_asof_all, quiet_attribution_all, calib_observations,
+        window_projection, calendar_projection, windows_current, multi_machine_overlap, session_cut_rate, window_metrics, weekday_weights, calendar_weight, timeline_asof, quiet_attribution, timeline_asof_all, quiet_attribution_all, calib_observations,
         limit_ratio, noncode_increase, isotonic_fit, calibration_nnls, b_usage_model, b_usage_day, b_coverage, b_periods, b_full_cost,
     )
 }
