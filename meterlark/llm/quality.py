@@ -1,6 +1,6 @@
 """Quality classification by importance resampling.
 
-Two hashed n-gram generative models are counted: one over the target (labelled documents of good quality that
+Two n-gram generative models are counted exactly: one over the target (labelled documents of good quality that
 are not toxic), one over the raw corpus (every document). A document's log importance weight is the sum, over
 its n-grams, of the log ratio of the two; documents are then sampled without replacement in proportion to the
 weights by Gumbel top-k.
@@ -11,6 +11,9 @@ weights by Gumbel top-k.
 * A ratio counts only by what exceeds its own standard error `z` times, so that n-grams which the bounded
   target sample cannot tell apart from raw text say nothing. What is left of chance adds up over a document
   like a random walk, so the sum is divided by the root of the number of n-grams.
+* Every n-gram has a count of its own (51 bits of hash), added up by slices of the hash range whose number grows
+  with the text. Those whose ratio is significant go to the scorer; the target sample bounds their number, as it
+  takes some 13 target or expected documents to be significant.
 * Raw counts cover every document. Only the target is a sample: at most `max_labels` labelled documents, those
   with the smallest hashes of doc_id.
 * k is the number of documents whose weight reaches the threshold that separates the labelled sample best (by
@@ -23,6 +26,7 @@ a document whose labels disagree counts by the worse; rows that repeat a doc_id
 draw; an empty table gives an empty result; other columns are ignored.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +37,14 @@ from pyspark.sql import functions as F
 
 from meterlark.llm.common import _BYTE, _LOWER, NO_ID, blob, cut, gram_hashes, keyed, ranges_hash, text_chunks, unkeyed
 
-#: Hash buckets of all n-grams together, and how they are cut into rows when counts are added up.
-SINGLES, PAIRS, SLICE = 1 << 18, 1 << 16, 1 << 13
-BUCKETS = SINGLES + PAIRS
-#: A bucket helps to scale the raw model if the target holds it so often.
+#: An n-gram is 51 bits of hash and a last bit that tells pairs from single runs. Rows that fit in one sort key beside it.
+GRAM_BITS = 52
+KEY_ROWS = (1 << (63 - GRAM_BITS)) - 1
+#: Bytes of text for each slice of the hash range that one group adds up, and the least number of slices.
+SLICE_BYTES, LEAST_SLICES = 1 << 22, 64
+#: Distinct n-grams that a task holds before it hands on its sums so far.
+HELD = 1 << 21
+#: An n-gram helps to scale the raw model if the target holds it so often.
 SHARED = 30
 MAX_LABELS = 20_000
 PRIOR, Z, TEMPERATURE = 4.0, 2.5, 0.005
@@ -48,86 +56,193 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _KIND[_a:_b] = 1
 
 
-def ngram_buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bucket of each distinct n-gram of a row, first n-gram of each row), a chunk of rows at a time."""
+def ngrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, distinct n-grams of each row in order, first n-gram of each row), a chunk of rows at a time."""
     for first, data, offs in text_chunks(column):
-        kind = _KIND[data]
-        edge = np.ones(len(data) + 1, dtype=bool)
-        edge[1:-1] = kind[1:] != kind[:-1]
-        edge[offs] = True
-        cuts = np.flatnonzero(edge)
-        starts, ends = cuts[:-1], cuts[1:]
-        solid = kind[starts] > 0 if len(data) else np.zeros(0, bool)
-        starts, ends = starts[solid], ends[solid]
-        runs = ranges_hash(_BYTE[_LOWER[data]], starts, ends, 0x9E3779B97F4A7C15)
-        at = np.searchsorted(starts, offs)
-        row = np.repeat(np.arange(len(offs) - 1), np.diff(at))
-        pairs = gram_hashes(runs, 2)
-        pairs[runs[1:] == runs[:-1]] = _U(1)
-        inside = row[1:] == row[:-1]
-        # A run and the pair it opens stand together; the pair is left out at the end of a row.
-        both = np.empty((len(runs), 2), dtype=np.int64)
-        both[:, 0] = runs % _U(SINGLES)
-        both[:, 1] = -1
-        if len(pairs):
-            both[:-1, 1] = np.where(inside, (pairs % _U(PAIRS)).astype(np.int64) + SINGLES, -1)
-        keys = both + row[:, None] * BUCKETS
-        keys = np.unique(keys[both >= 0])
-        yield first, keys % BUCKETS, np.searchsorted(keys, np.arange(len(offs)) * BUCKETS)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task's rows, raw and target, in slices of packed integers."""
-    raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
-        good = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        for first, grams, at in ngram_buckets(batch.column(1)):
-            raw += np.bincount(grams, minlength=BUCKETS)
-            wanted = np.repeat(good[first : first + len(at) - 1], np.diff(at))
-            if wanted.any():
-                target += np.bincount(grams[wanted], minlength=BUCKETS)
-    if not raw.any():
-        return
-    n = BUCKETS // SLICE
-    packed = [[blob(x[i * SLICE : (i + 1) * SLICE]) for i in range(n)] for x in (raw, target)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["slice", "raw", "target"])
-
-
-def _add_slices(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = [np.zeros(SLICE, dtype=np.int64), np.zeros(SLICE, dtype=np.int64)]
-    for batch in batches:
-        for total, name in zip(totals, ("raw", "target"), strict=True):
-            for x in batch.column(name).to_pylist():
-                total += np.frombuffer(x, dtype=np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([blob(x)], pa.binary()) for x in totals)], names=["slice", "raw", "target"])
-
-
-def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR, z: float = Z) -> np.ndarray:
-    """Log of target over raw probability of each bucket, shrunk to 0 where it is not significant."""
-    out = np.zeros(len(raw))
-    for part in (slice(0, SINGLES), slice(SINGLES, None)):  # single runs and pairs are a model each
-        if not raw[part].sum() or not target[part].sum():
-            continue
-        # The raw model is scaled to the n-grams that both share, by the median ratio of a target n-gram: else
-        # what only junk holds would lift every ordinary n-gram, and long documents with it.
-        shared = target[part] >= min(SHARED, target[part].max())
-        order = np.argsort(target[part][shared] / np.maximum(raw[part][shared], 1))
-        weight = np.cumsum(target[part][shared][order])
-        middle = np.searchsorted(weight, weight[-1] / 2)
-        expected = raw[part] * (target[part][shared][order][middle] / max(raw[part][shared][order][middle], 1))
-        ratio = np.log((target[part] + prior) / (expected + prior))
-        error = np.sqrt(1 / (target[part] + prior) + 1 / (expected + prior))
-        out[part] = np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - z * error)
-    return out.astype(np.float32)
+        for a in range(0, len(offs) - 1, KEY_ROWS):
+            part = offs[a : a + KEY_ROWS + 1]
+            yield first + a, *_row_ngrams(data[part[0] : part[-1]], part - part[0])
+
+
+def _row_ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kind = _KIND[data]
+    edge = np.ones(len(data) + 1, dtype=bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[offs] = True
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    solid = kind[starts] > 0 if len(data) else np.zeros(0, bool)
+    starts, ends = starts[solid], ends[solid]
+    runs = ranges_hash(_BYTE[_LOWER[data]], starts, ends, 0x9E3779B97F4A7C15)
+    at = np.searchsorted(starts, offs)
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(at)) << GRAM_BITS
+    pairs = gram_hashes(runs, 2)
+    pairs[runs[1:] == runs[:-1]] = _U(1)
+    inside = row[1:] == row[:-1]
+    short = _U(64 - GRAM_BITS)
+    one = (runs >> short).astype(np.int64) & -2
+    two = (pairs >> short).astype(np.int64) | 1
+    keys = np.concatenate((one + row, two[inside] + row[1:][inside] if len(two) else two))
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    return keys & ((1 << GRAM_BITS) - 1), np.searchsorted(keys, np.arange(len(offs)) << GRAM_BITS)
+
+
+def _sums(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order and the sum of each one's counts."""
+    g, c = np.concatenate(grams), np.concatenate(counts)
+    order = np.argsort(g)
+    g, c = g[order], c[order]
+    cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    return g[cuts], np.add.reduceat(c, cuts) if len(g) else c
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Integers with their first bytes together, then their second ones: small ones compress well."""
+    return blob(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+_SLICED = "slice int, grams binary, counts binary, target boolean"
+
+
+class _Held:
+    """Counts of n-grams so far, and those that still wait to be added."""
+
+    def __init__(self) -> None:
+        self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+
+    def add(self, grams: np.ndarray) -> int:
+        self.new.append(grams)
+        if sum(map(len, self.new)) >= HELD:
+            self.settle()
+        return len(self.grams)
+
+    def settle(self) -> None:
+        if self.new:
+            grams = np.concatenate(self.new)
+            self.grams, self.counts = _sums([self.grams, grams], [self.counts, np.ones(len(grams), np.int64)])
+            self.new = []
+
+    def sliced(self, bits: int, target: bool) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        owner = self.grams >> (GRAM_BITS - bits)
+        cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)) if len(owner) else np.zeros(1, np.int64)
+        rows = list(zip(cuts[:-1], cuts[1:], strict=True))
+        packed = [pa.array([_planes(f(x[a:b])) for a, b in rows], pa.binary()) for f, x in ((lambda g: np.diff(g, prepend=0), self.grams), (lambda c: c, self.counts))]
+        yield pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]], pa.int32()), *packed, pa.array([target] * len(rows), pa.bool_())], names=["slice", "grams", "counts", "target"])
+        self.__init__()
+
+
+def _count(bits: int):
+    """Exact counts of a task's n-grams, raw and target, packed by the slice of the hash range that adds them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = _Held(), _Held()
+        for batch in batches:
+            good = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, grams, at in ngrams(batch.column(1)):
+                wanted = np.repeat(good[first : first + len(at) - 1], np.diff(at))
+                if raw.add(grams) >= HELD:
+                    yield from raw.sliced(bits, False)
+                if wanted.any() and target.add(grams[wanted]) >= HELD:
+                    yield from target.sliced(bits, True)
+        yield from raw.sliced(bits, False)
+        yield from target.sliced(bits, True)
+
+    return run
+
+
+def least_raw(prior: float, z: float) -> int:
+    """An n-gram of fewer documents than this is never significant: neither its target nor its expected count exceeds its raw one."""
+    if prior <= 0 or z > 2 * math.sqrt(prior):
+        return 1
+    n = 1
+    while math.log((n + prior) / prior) <= z * math.sqrt(1 / (n + prior) + 1 / prior):
+        n += 1
+    return n
+
+
+_COUNTED = "gram long, raw long, target long, scaling boolean"
+
+
+def _add_slices(least: int):
+    """Totals of a slice: n-grams of `least` documents or more, and those that may scale the raw model."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bool, tuple[list, list]] = {False: ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]), True: ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])}
+        for batch in batches:
+            for grams, counts, target in zip(*(batch.column(x).to_pylist() for x in ("grams", "counts", "target")), strict=True):
+                found[target][0].append(np.cumsum(_whole(grams)))
+                found[target][1].append(_whole(counts))
+        grams, raw = _sums(*found[False])
+        some, n = _sums(*found[True])
+        target = np.zeros(len(grams), np.int64)
+        target[np.searchsorted(grams, some)] = n
+        scaling = np.zeros(len(grams), bool)
+        for kind in (0, 1):
+            of = (grams & 1) == kind
+            if target[of].any():
+                scaling |= of & (target >= min(SHARED, target[of].max()))
+        kept = (raw >= least) | scaling
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (grams, raw, target, scaling)], names=["gram", "raw", "target", "scaling"])
+
+    return run
+
+
+def raw_scale(raw: np.ndarray, target: np.ndarray) -> float | None:
+    """What scales the raw model to the n-grams that both share: the median ratio of a target n-gram, else what only
+    junk holds would lift every ordinary n-gram, and long documents with it. None without target n-grams."""
+    if not len(target) or not target.max():
+        return None
+    shared = target >= min(SHARED, target.max())
+    order = np.argsort(target[shared] / np.maximum(raw[shared], 1), kind="stable")
+    weight = np.cumsum(target[shared][order])
+    middle = np.searchsorted(weight, weight[-1] / 2)
+    return target[shared][order][middle] / max(raw[shared][order][middle], 1)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray, scale: float, prior: float = PRIOR, z: float = Z) -> np.ndarray:
+    """Log of target over raw probability of each n-gram, shrunk to 0 where it is not significant."""
+    expected = raw * scale
+    ratio = np.log((target + prior) / (expected + prior))
+    error = np.sqrt(1 / (target + prior) + 1 / (expected + prior))
+    return np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - z * error)
+
+
+def _significant(scales: tuple[float | None, float | None], z: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, raw, target = (batch.column(x).to_numpy() for x in ("gram", "raw", "target"))
+            out = np.zeros(len(gram))
+            for kind, scale in enumerate(scales):  # single runs and pairs are a model each
+                of = (gram & 1) == kind
+                if scale is not None:
+                    out[of] = log_ratios(raw[of], target[of], scale, z=z)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[out != 0]), pa.array(out[out != 0])], names=["gram", "ratio"])
+
+    return run
+
+
+def gram_counts(texts: DataFrame, least: int) -> DataFrame:
+    """gram, raw, target, scaling of texts(doc_id, text, good): every n-gram counted exactly, rare ones without bearing left out."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(LEAST_SLICES - 1, size // SLICE_BYTES).bit_length()
+    return texts.mapInArrow(_count(bits), _SLICED).groupBy("slice").applyInArrow(_add_slices(least), _COUNTED)
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = model.value
+        known, ratios = model.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for first, grams, at in ngram_buckets(batch.column(1)):
-                total = np.concatenate(([0.0], np.cumsum(ratios[grams], dtype=np.float64)))
+            for first, grams, at in ngrams(batch.column(1)):
+                place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                total = np.concatenate(([0.0], np.cumsum(np.where(known[place] == grams, ratios[place], 0.0))))
                 out[first : first + len(at) - 1] = (total[at[1:]] - total[at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(out, 6))], names=["doc_id", "log_weight"])
 
@@ -187,13 +302,13 @@ def quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, te
     # Bounded by max_labels rows, whatever the input.
     sample = cut(judged.select("doc_id", (F.col("clean") & F.col("mild")).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels), "label-sample")
     marked = texts.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    parts = marked.mapInArrow(_count, "slice int, raw binary, target binary")
-    summed = parts.groupBy("slice").applyInArrow(_add_slices, "slice int, raw binary, target binary")
-    raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-    for at, a, b in summed.collect():  # the model: 2 * BUCKETS integers
-        raw[at * SLICE : (at + 1) * SLICE] = np.frombuffer(a, dtype=np.int64)
-        target[at * SLICE : (at + 1) * SLICE] = np.frombuffer(b, dtype=np.int64)
-    model = spark.sparkContext.broadcast(log_ratios(raw, target, z=z))
+    counted = cut(gram_counts(marked, least_raw(PRIOR, z)), "gram-counts")
+    # Bounded like what follows by the labelled sample: an n-gram that scales or is significant has its share of target n-grams.
+    shared = counted.where("scaling").select((F.col("gram") % 2).alias("kind"), "raw", "target").toPandas()
+    scales = tuple(raw_scale(*(shared.loc[shared["kind"] == kind, c].to_numpy() for c in ("raw", "target"))) for kind in (0, 1))
+    found = counted.mapInArrow(_significant(scales, z), "gram long, ratio double").toPandas().sort_values("gram")
+    # The last n-gram is none: there is always one to look at.
+    model = spark.sparkContext.broadcast((np.append(found["gram"].to_numpy(dtype=np.int64), 2**63 - 1), np.append(found["ratio"].to_numpy(dtype=float), 0.0)))
     weighted = cut(texts.mapInArrow(_score(model), "doc_id long, log_weight double"), "log-weights")
     known: pd.DataFrame = weighted.join(F.broadcast(sample), "doc_id").select("log_weight", "good").toPandas()  # at most max_labels documents
     threshold = best_threshold(known["log_weight"].to_numpy(), known["good"].to_numpy(dtype=bool))
