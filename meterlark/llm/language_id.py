@@ -1,9 +1,10 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-* Features: hashed n-grams of 1 to 3 UTF-8 bytes of the text with A-Z lower-cased, term frequency (share of the
+* Features: hashed n-grams of 1 to 3 code points of the lower-cased text, term frequency (share of the
   document's n-grams) times inverse document frequency. Document frequencies cover every training row.
 * Weights are trained with follow-the-regularised-leader and elastic-net penalties (FTRL-proximal) on at most
   `max_train` labelled training rows, those with the smallest hashes of doc_id; whole texts, never prefixes.
+  Rows that share a doc_id count one by one.
 * A tenth of that sample is left out of the training and sets the temperature of the softmax.
 
 A prediction reads the text alone. Training reads text and lang of rows whose crc32(doc_id as text) is not a
@@ -18,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import _LOWER, NO_ID, blob, cut, seeded, text_chunks, unkeyed
+from meterlark.llm.common import NO_ID, blob, cut, seeded, text_chunks, unkeyed
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 MAX_TRAIN, FOLDS = 4_000, 5
@@ -32,29 +34,46 @@ _SALT = seeded(31, 8)
 _LETTER = regex.compile(r"\p{L}")
 
 
-def gram_buckets(data: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each byte but the last order - 1."""
-    n = len(data) - order + 1
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and each row's first one."""
+    start = (data & 0xC0) != 0x80
+    at = np.flatnonzero(start)
+    code = data[at].astype(np.uint64)
+    long = np.flatnonzero(code >= 0xC0)
+    lead = code[long]
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    value = lead & (np.uint64(0x7F) >> size.astype(_U))
+    for i in (1, 2, 3):
+        more = size > i
+        value[more] = (value[more] << _U(6)) | (data[np.minimum(at[long[more]] + i, len(data) - 1)] & 0x3F)
+    code[long] = value
+    return code, np.searchsorted(at, offs)
+
+
+def gram_buckets(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    """The bucket of the n-gram that starts at each code point but the last order - 1."""
+    n = len(codes) - order + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    code = np.zeros(n, dtype=np.uint32)
-    for i in range(order):
-        code = (code << np.uint32(8)) | data[i : i + n]
-    mixed = (code + np.uint32(int(_SALT[order]) & 0xFFFFFF)) * np.uint32(0x9E3779B1)
-    return ((mixed >> np.uint32(15)) % np.uint32(buckets)).astype(np.int64)
+    code = codes[:n].copy()
+    with np.errstate(over="ignore"):
+        for i in range(1, order):
+            code = (code << _U(21)) | codes[i : i + n]
+        mixed = (code + _SALT[order]) * _U(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return ((mixed >> _U(40)) % _U(buckets)).astype(np.int64)
 
 
 def document_grams(column: pa.Array, buckets: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """(first row, for each order (buckets, starts, ends by row)), a chunk of rows at a time."""
-    for first, data, offs in text_chunks(column):
-        low = _LOWER[data]
-        yield first, [(gram_buckets(low, k, buckets), offs[:-1], np.maximum(offs[1:] - k + 1, offs[:-1])) for k in ORDERS]
+    for first, data, offs in text_chunks(pc.utf8_lower(column)):
+        codes, at = code_points(data, offs)
+        yield first, [(gram_buckets(codes, k, buckets), at[:-1], np.maximum(at[1:] - k + 1, at[:-1])) for k in ORDERS]
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, TF-IDF values) of one text."""
-    data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-    grams = np.concatenate([gram_buckets(data, k, len(idf)) for k in ORDERS])
+    grams = np.concatenate([g for _, orders in document_grams(pa.array([text], pa.string()), len(idf)) for g, _, _ in orders])
     at, counts = np.unique(grams, return_counts=True)
     return at, counts * idf[at] / max(1, len(grams))
 
@@ -187,7 +206,9 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS):
             found = [vector(x, idf) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))], names=["h", "lang", "at", "x"])
 
-    known = sample.mapInArrow(vectors, "h long, lang string, at array<int>, x array<double>").toPandas().sort_values("h").head(2 * max_train)
+    # A doc_id may have many rows: max_train of them in all come to the driver.
+    vectored = sample.mapInArrow(vectors, "h long, lang string, at array<int>, x array<double>")
+    known = vectored.orderBy("h", "lang", F.xxhash64("at"), F.xxhash64("x")).limit(max_train).toPandas()
     names = sorted(set(known["lang"]))
     if not names:
         return [], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0
