@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -188,6 +189,10 @@ class Index:
 # --- encoding ----------------------------------------------------------------------------------------
 
 
+#: A cut inside a run of white space, which the pattern may match across.
+_SPACED = re.compile(r"\s[ \n]\s")
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library, with the ids of pieces remembered.
 
@@ -208,35 +213,38 @@ class Encoder:
             pre = json.load(f)["pre_tokenizer"]
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of first pieces, which no space precedes, and of all others.
+        self.heads: dict[str, bytes] = {}
         self.memory: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memory = self.memory
-        if len(memory) > REMEMBERED:
+        heads, memory = self.heads, self.memory
+        if len(heads) + len(memory) > REMEMBERED:
+            heads.clear()
             memory.clear()
-        whole, cuts, unknown = [], [], {}
+        whole, cuts, new_heads, unknown = [], [], {}, {}
         for text in texts:
             pieces = text.replace("\n", " \n").split(" ") if self.by_piece else [""]
             # The empty piece and a bare line feed tell that white space follows white space, or ends the text.
-            if "" in pieces[1:] or "\n" in pieces or not self.by_piece or any(s in text for s in self.special):
+            if "" in pieces[1:] or "\n" in pieces or not self.by_piece or _SPACED.search(text) or any(s in text for s in self.special):
                 whole.append(text)
                 cuts.append(None)
-            else:
-                # The first piece has no space before it: it is remembered under a name of its own.
-                pieces[0] = "\0" + pieces[0]
-                cuts.append(pieces)
-                for piece in pieces:
-                    if piece not in memory:
-                        unknown[piece] = None
+                continue
+            cuts.append(pieces)
+            if pieces[0] not in heads:
+                new_heads[pieces[0]] = None
+            for i in range(1, len(pieces)):
+                if pieces[i] not in memory:
+                    unknown[pieces[i]] = None
+        if new_heads:
+            heads.update(zip(new_heads, self._library(list(new_heads)), strict=True))
         if unknown:
-            named = list(unknown)
-            as_text = [p[1:] if p[:1] == "\0" else p if p[0] == "\n" else " " + p for p in named]
-            memory.update(zip(named, self._library(as_text), strict=True))
+            memory.update(zip(unknown, self._library([p if p[0] == "\n" else " " + p for p in unknown]), strict=True))
         done = iter(self._library(whole))
-        return [next(done) if pieces is None else b"".join([memory[p] for p in pieces]) for pieces in cuts]
+        return [next(done) if pieces is None else heads[pieces[0]] + b"".join([memory[p] for p in pieces[1:]]) for pieces in cuts]
 
 
 _encoders: dict[str, Encoder] = {}
