@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,17 +14,76 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside the operators; it comes out as null again.
 NO_ID = -(2**63)
-FALLBACK_DIR = "/tmp/checkpoints/meterlark"
+#: Parts that the rows of one key are split into where many rows may share it.
+SALTS = 64
 #: Bytes of text that the numpy kernels work on at a time.
 CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or FALLBACK_DIR
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session takes a folder of its own; on a cluster it must be set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), f"checkpoints-{spark.sparkContext.applicationId}")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salt(doc_id="doc_id"):
+    """Which part of its key's rows a document belongs to."""
+    return F.pmod(F.xxhash64(doc_id, F.lit("salt")), F.lit(SALTS)).cast("int")
+
+
+def local_path(path: str) -> str | None:
+    """The path as the operating system knows it, None for a path that only a file system of its own reads."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    return path if "://" not in path else None
+
+
+def write_file(path: str, data: bytes) -> None:
+    """Write a shared file; it appears complete or not at all."""
+    local = local_path(path)
+    temporary = f"{local or path}.{os.getpid()}.{os.urandom(4).hex()}.part"
+    if local:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(temporary, "wb") as f:
+            f.write(data)
+        os.replace(temporary, local)
+        return
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(temporary)
+    with store.open_output_stream(at) as f:
+        f.write(data)
+    store.move(at, fs.FileSystem.from_uri(path)[1])
+
+
+def read_file(path: str) -> bytes:
+    local = local_path(path)
+    if local:
+        with open(local, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        return f.read()
+
+
 #: Drops the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -4,18 +4,24 @@ A line counts by its key: ASCII white space stripped at both ends, A-Z lower-cas
 `min_chars` code points that at least `min_docs` documents hold lose all their lines except in the document
 with the largest doc_id.
 
-1. Each document is read once. Its distinct long keys are hashed and dealt, packed, to the owner of their
-   hash range; a hash that several documents of one batch hold travels once with its count, and the other
-   documents of that batch are suspects at once, so no owner gathers a row for each copy of a hot line.
-2. An owner streams its hashes through two Bloom filters, once-seen and twice-seen. Hashes that the second
-   filter does not hold cannot repeat and end there; the rest are suspected repeats.
-3. Only documents with suspected repeats give those lines, as keys, to the exact confirmation: documents
-   are counted and the occurrence that stays is chosen by the key itself, with map-side partial sums.
-
-Filters are sized by the hashes of the owner's own range, so memory follows the number of partitions.
-
-Defined results: null or empty text is one empty line; rows that share a doc_id count once for each row and
-get the same decisions; of equal largest doc_ids all rows keep their lines; other columns are ignored.
+1. Filters. Each task hashes the distinct long keys of its documents into partial filters: once-seen has the
+   bits of every key, twice-seen those of keys that two of its documents hold. Only set bits travel, cut by
+   range of the filter; the owner of a range carries them together: a bit that two partial once-seen filters
+   share is twice-seen. Its twice-seen range goes to a file in the shared folder.
+2. Suspects. Each document tests its keys against the twice-seen filter. A key that two documents hold is
+   always found; others are found by chance once in some forty times. Lines that are not found end here, and
+   neither they nor their hashes nor their doc_ids are ever shuffled.
+3. Exact confirmation. Suspected keys are compared as text: distinct documents are counted and the one that
+   keeps the line is chosen, by (key, salt) first and then by key, so a line that every document holds is spread
+   over `SALTS` tasks and sums, never rows, meet in one.
+
+The filters have one bit for some 4 to 8 bytes of text, and a long key takes more than `min_chars` of them, so
+both the share of false suspects and the number of bits for each key are the same at every size. A task reads
+a range of the filter at a time (mapped, or in a cache of bounded size).
+
+Defined results: null or empty text is one empty line; rows that share a doc_id are one document for counting
+and get the same decisions; of equal largest doc_ids all rows keep their lines; a null doc_id is a document of
+its own that sorts below every other; an empty table gives an empty result; other columns are ignored.
 """
 
 import hashlib
@@ -28,12 +34,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import NO_ID, blob, cut, deal_by_document, gather_documents, keyed, mix, owner_cuts, partitions, unkeyed
+from meterlark.llm.common import NO_ID, blob, cut, fresh, keyed, local_path, mix, owner_cuts, read_file, salt, seeded, shared_dir, unkeyed, write_file
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _TRIM = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
+PROBES = 2
+_PROBE_SEEDS = seeded(31, PROBES)
+#: Ranges that a filter is cut into, and the least bits of one.
+RANGES, LEAST_RANGE = 256, 1 << 16
+#: Hashes that a task holds before it hands on its partial filter.
+HELD = 1 << 21
+#: Bytes of filter that a task keeps in memory where files cannot be mapped.
+CACHED = 64 << 20
 
 
 def line_key(line: str) -> str:
@@ -45,115 +59,148 @@ def key_hash(key: str) -> int:
     return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
 
 
-class SeenTwice:
-    """Once-seen and twice-seen Bloom filters of n expected hashes."""
+def long_keys(text: str, min_chars: int) -> set[str]:
+    """The distinct keys of at least min_chars code points; a key is never longer than its line."""
+    return {k for k in {line_key(x) for x in text.split("\n") if len(x) >= min_chars} if len(k) >= min_chars}
 
-    def __init__(self, n: int, bits_per_key: int = 12, probes: int = 4):
-        self.size = max(1024, n * bits_per_key)
-        self.probes = probes
-        self.once, self.twice = np.zeros(self.size, dtype=bool), np.zeros(self.size, dtype=bool)
 
-    def _bits(self, hashes: np.ndarray) -> np.ndarray:
-        step = mix(hashes) | _U(1)
-        with np.errstate(over="ignore"):
-            return np.stack([(hashes + _U(i) * step) % _U(self.size) for i in range(self.probes)])
+class Layout:
+    """Where the bits of a key are: `bits` in all (a power of two), in ranges of 2**shift."""
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Add distinct hashes: those seen before go on to the second filter."""
-        bits = self._bits(hashes)
-        again = self.once[bits].all(axis=0)
-        self.twice[bits[:, again]] = True
-        self.once[bits] = True
+    def __init__(self, text_bytes: int):
+        self.bits = max(LEAST_RANGE, 1 << (text_bytes // 8).bit_length())
+        self.shift = max(LEAST_RANGE, self.bits // RANGES).bit_length() - 1
 
-    def repeated(self, hashes: np.ndarray) -> np.ndarray:
-        return self.twice[self._bits(hashes)].all(axis=0)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """One row of bit positions for each probe."""
+        return np.stack([(mix(hashes ^ s) & _U(self.bits - 1)).astype(np.int64) for s in _PROBE_SEEDS])
 
 
-def _line_hashes(text: str, min_chars: int) -> set[int]:
-    # A key is never longer than its line.
-    return {key_hash(k) for k in {line_key(x) for x in text.split("\n") if len(x) >= min_chars} if len(k) >= min_chars}
+def _packed(positions: np.ndarray) -> bytes:
+    """Sorted positions as steps, with their first bytes together, then their second ones: that compresses well."""
+    return blob(np.diff(positions, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
-def _scan(min_chars: int, parts: int):
-    """Packed (hash, doc_id) by owner, and for each document its number of lines and digest."""
+def _positions(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hashes, rows, lines, digests = [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                lines.append(text.count("\n") + 1)
-                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-                found = _line_hashes(text, min_chars)
-                hashes += found
-                rows += [row] * len(found)
-            n = batch.num_rows
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), batch.column(0), pa.array(lines, pa.int64()), pa.array(digests, pa.string()), none, none, none], names=_NAMES)
-            h, d = np.array(hashes, dtype=_U), ids[np.array(rows, dtype=np.int64)]
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            first = np.diff(h, prepend=~h[:1]) != 0
-            at = np.flatnonzero(first)
-            count = np.diff(np.append(at, len(h))).astype(np.int64)
-            # The other documents of this batch that hold the same line are suspects here and now.
-            told = deal_by_document(h[~first], d[~first], parts)
-            m = told.num_rows
-            yield pa.RecordBatch.from_arrays([told.column(0), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), told.column(2), told.column(1), pa.nulls(m, pa.binary())], names=_NAMES)
-            h, d = h[at], d[at]
-            owner = ((h >> _U(40)) % _U(parts)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            h, d, count, owner = h[order], d[order], count[order], owner[order]
-            cuts, ends = owner_cuts(owner)
-            m = len(cuts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owner[cuts], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())]
-                + [pa.array([blob(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (h, d, count)],
-                names=_NAMES,
-            )
 
-    return run
+def _cut_ranges(positions: np.ndarray, shift: int) -> dict[int, bytes]:
+    positions = np.unique(positions)
+    owner = positions >> shift
+    return {int(owner[a]): _packed(positions[a:b] & ((1 << shift) - 1)) for a, b in zip(*owner_cuts(owner), strict=True)}
+
+
+def partial_filters(hashes: np.ndarray, layout: Layout) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, once-seen bits, twice-seen bits) of hashes, which a document gives once each."""
+    distinct, count = np.unique(hashes, return_counts=True)
+    once = _cut_ranges(layout.places(distinct).ravel(), layout.shift)
+    twice = _cut_ranges(layout.places(distinct[count > 1]).ravel(), layout.shift)
+    for at, bits in once.items():
+        yield at, bits, twice.get(at, b"")
+
+
+def carry(parts: Iterator[tuple[bytes, bytes]], shift: int) -> np.ndarray:
+    """The twice-seen bits of one range from partial filters: shared once-seen bits are carried over."""
+    once, twice = np.zeros(1 << shift, dtype=bool), np.zeros(1 << shift, dtype=bool)
+    for seen, again in parts:
+        at = _positions(seen)
+        twice[at[once[at]]] = True
+        once[at] = True
+        twice[_positions(again)] = True
+    return np.packbits(twice, bitorder="little")
+
+
+class TwiceSeen:
+    """The twice-seen filter in the shared folder, a range at a time."""
+
+    def __init__(self, path: str, layout: Layout):
+        self.path, self.layout, self.held, self.size = path, layout, {}, 0
 
+    def _range(self, at: int) -> np.ndarray | None:
+        if at not in self.held:
+            name, local = range_path(self.path, at), local_path(self.path)
+            try:
+                data = np.memmap(local_path(name), dtype=np.uint8, mode="r") if local else np.frombuffer(read_file(name), dtype=np.uint8)
+            except FileNotFoundError:  # no key has a bit there
+                data = None
+            if not local and data is not None:
+                while self.held and self.size + len(data) > CACHED:
+                    gone = self.held.pop(next(iter(self.held)))
+                    self.size -= 0 if gone is None else len(gone)
+                self.size += len(data)
+            self.held[at] = data
+        return self.held[at]
+
+    def repeated(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), dtype=bool)
+        for places in self.layout.places(hashes):
+            order = np.argsort(places)
+            places = places[order]
+            for a, b in zip(*owner_cuts(places >> self.layout.shift), strict=True):
+                bits = self._range(int(places[a] >> self.layout.shift))
+                at = places[a:b] & ((1 << self.layout.shift) - 1)
+                out[order[a:b]] &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 if bits is not None else False
+        return out
 
-_NAMES = ["part", "doc_id", "n_lines", "digest", "hashes", "docs", "counts"]
-_SCANNED = "part int, doc_id long, n_lines long, digest string, hashes binary, docs binary, counts binary"
 
+def range_path(path: str, at: int) -> str:
+    return f"{path}/twice-{at:04d}.bits"
 
-def _suspects(min_docs: int, parts: int):
-    """By owner: suspected repeats that enough documents seem to hold, dealt by document."""
 
+def _scan(min_chars: int, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, counts = [], [], []
+        hashes: list[int] = []
+
+        def hand_on() -> pa.RecordBatch:
+            rows = list(partial_filters(np.array(hashes, dtype=_U), layout))
+            hashes.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["at", "once", "twice"])
+
         for batch in batches:
-            hashes += [np.frombuffer(x, dtype=_U) for x in batch.column("hashes").to_pylist()]
-            docs += [np.frombuffer(x, dtype=np.int64) for x in batch.column("docs").to_pylist()]
-            counts += [np.frombuffer(x, dtype=np.int64) for x in batch.column("counts").to_pylist()]
-        seen = SeenTwice(sum(map(len, hashes)))
-        for h, count in zip(hashes, counts, strict=True):  # distinct within each
-            seen.add(h)
-            seen.add(h[count > 1])
-        keep = [seen.repeated(h) for h in hashes]
-        h, d, n = (np.concatenate([x[k] for x, k in zip(kind, keep, strict=True)]) if keep else np.zeros(0, t) for kind, t in ((hashes, _U), (docs, np.int64), (counts, np.int64)))
-        _, at = np.unique(h, return_inverse=True)
-        total = np.bincount(at, weights=n, minlength=1) if len(h) else np.zeros(1)
-        enough = total[at] >= min_docs
-        yield deal_by_document(h[enough], d[enough], parts)
+            for text in batch.column(0).to_pylist():
+                hashes += [key_hash(k) for k in long_keys(text, min_chars)]
+                if len(hashes) >= HELD:
+                    yield hand_on()
+        yield hand_on()
 
     return run
 
 
-def _confirmable(min_chars: int):
-    """(doc_id, key) for each distinct suspected line of a document."""
+def _carried(path: str, shift: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = key[0].as_py()
+        bits = carry((pair for batch in batches for pair in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True)), shift)
+        write_file(range_path(path, at), bits.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(np.bitwise_count(bits).sum())], pa.int64())], names=["at", "n_bits"])
+
+    return run
+
+
+_SUSPECTS = "doc_id long, n_lines long, digest string, key string"
+
+
+def _suspects(min_chars: int, path: str, layout: Layout):
+    """For each document its number of lines and digest, and a row for each suspected key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for doc_id, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                wanted = set(np.frombuffer(packed, dtype=_U).tolist())
-                found = {k for k in {line_key(x) for x in text.split("\n") if len(x) >= min_chars} if len(k) >= min_chars and key_hash(k) in wanted}
-                ids += [doc_id] * len(found)
-                keys += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "key"])
+        seen = TwiceSeen(path, layout)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                keys, rows, lines, digests = [], [], [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    lines.append(text.count("\n") + 1)
+                    digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+                    found = long_keys(text, min_chars)
+                    keys += found
+                    rows += [row] * len(found)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(digests, pa.string()), pa.nulls(n, pa.string())], names=["doc_id", "n_lines", "digest", "key"])
+                again = np.flatnonzero(seen.repeated(np.array([key_hash(k) for k in keys], dtype=_U)))
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[np.array(rows, dtype=np.int64)[again]]
+                m = len(again)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array([keys[i] for i in again.tolist()], pa.string())], names=["doc_id", "n_lines", "digest", "key"])
 
     return run
 
@@ -178,16 +225,19 @@ def _rewrite(min_chars: int):
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_lines, digest) of each row of docs, and (doc_id, keys) of the lines that a document loses."""
-    parts = partitions(docs.sparkSession)
     texts = keyed(docs)
-    scanned = cut(texts.mapInArrow(_scan(min_chars, parts), _SCANNED), "line-hashes")
-    owned = scanned.where("counts IS NOT NULL").select("part", "hashes", "docs", "counts").repartition(parts, "part")
-    dealt = owned.mapInArrow(_suspects(min_docs, parts), "part int, docs binary, values binary")
-    told = scanned.where("part IS NOT NULL AND counts IS NULL").select("part", "docs", F.col("hashes").alias("values"))
-    suspects = gather_documents(dealt.unionByName(told), _U, parts)
-    lines = cut(texts.join(suspects, "doc_id").mapInArrow(_confirmable(min_chars), "doc_id long, key string"), "suspected-lines")
-    repeats = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= min_docs)
-    losing = lines.join(repeats, "key").where("doc_id <> keep_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    layout = Layout(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    path = shared_dir(docs.sparkSession, "line-filter")
+    partial = texts.select("text").mapInArrow(_scan(min_chars, layout), "at int, once binary, twice binary")
+    cut(partial.groupBy("at").applyInArrow(_carried(path, layout.shift), "at int, n_bits long"), "line-ranges")
+
+    scanned = cut(texts.mapInArrow(_suspects(min_chars, path, layout), _SUSPECTS), "suspected-lines")
+    suspects = scanned.where("key IS NOT NULL").select("key", salt().alias("salt"), "doc_id")
+    lines = cut(suspects.repartition("key", "salt").dropDuplicates(["key", "salt", "doc_id"]), "line-documents")
+    parts = cut(lines.groupBy("key", "salt").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), "line-parts")
+    repeats = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("keep_id")).where(F.col("n") >= min_docs).select("key", "keep_id")
+    told = parts.select("key", "salt").join(repeats, "key")
+    losing = lines.join(told, ["key", "salt"]).where("doc_id <> keep_id").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     return scanned.where("n_lines IS NOT NULL").select("doc_id", "n_lines", "digest"), cut(losing, "lost-lines")
 
 
@@ -202,12 +252,12 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the repeated lines gone from text and n_chars following it; all columns stay."""
     _, losing = repeated_lines(docs, min_chars, min_docs)
-    kept = _kept_text(min_chars)
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(losing.select(F.col("doc_id").alias("_key"), F.col("keys").alias("_lost")), "_key", "left")
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept(F.col("text"), F.col("_lost")))
+    key, lost = fresh(docs, "_key"), fresh(docs, "_lost")
+    marked = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(losing.select(F.col("doc_id").alias(key), F.col("keys").alias(lost)), key, "left")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(_kept_text(min_chars)(F.col("text"), F.col(lost)))
     out = marked.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

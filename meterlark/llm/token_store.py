@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import cut, keyed, mix, partitions, shared_dir, unkeyed
+from meterlark.llm.common import cut, keyed, mix, partitions, read_file, shared_dir, unkeyed, write_file
 
 SHARD_IDS = 1 << 24
 #: Keys that one index file holds, about.
@@ -39,45 +39,6 @@ REMEMBERED = 500_000
 _U = np.uint64
 
 
-# --- files ----------------------------------------------------------------------------------------
-
-
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path if "://" not in path else None
-
-
-def write_file(path: str, data: bytes) -> None:
-    """Write a shared file; it appears complete or not at all."""
-    local = _local(path)
-    temporary = f"{local or path}.{os.getpid()}.{os.urandom(4).hex()}.part"
-    if local:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(temporary, "wb") as f:
-            f.write(data)
-        os.replace(temporary, local)
-        return
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(temporary)
-    with store.open_output_stream(at) as f:
-        f.write(data)
-    store.move(at, fs.FileSystem.from_uri(path)[1])
-
-
-def read_file(path: str) -> bytes:
-    local = _local(path)
-    if local:
-        with open(local, "rb") as f:
-            return f.read()
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as f:
-        return f.read()
-
-
 # --- minimal perfect hashing ------------------------------------------------------------------------
 
 

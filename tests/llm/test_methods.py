@@ -5,9 +5,8 @@ import random
 import numpy as np
 import tokenizers
 
-from meterlark.llm import minhash, token_store
+from meterlark.llm import line_dedup, minhash, token_store
 from meterlark.llm.bpe_automaton import TokenAutomaton
-from meterlark.llm.line_dedup import SeenTwice
 from meterlark.llm.queries import tokenizer_path
 
 WORDS = ["aaa", "aaaaaaa", "it's", "don't", "été", "日本語", "===", "!!!!!!", "hello,", "12345", "ΣΑΣ", "<|startoftext|>x", "a\x1cb"]
@@ -51,10 +50,19 @@ def test_sketch_estimates_similarity():
         assert abs(same - true) < 0.15
 
 
-def test_bloom_pair_misses_no_repeat():
-    h = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    seen = SeenTwice(10_000)
-    seen.add(h)
-    assert seen.repeated(h).mean() < 0.02
-    seen.add(h[:2000])
-    assert seen.repeated(h[:2000]).all() and seen.repeated(h[2000:]).mean() < 0.05
+def test_twice_seen_filter_misses_no_repeat(tmp_path):
+    """Partial filters of several tasks, carried together: every key that two documents hold is found, few others are."""
+    rng = np.random.default_rng(2)
+    single, shared, inside = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (20_000, 3_000, 500))
+    tasks = [np.concatenate((single[i::4], shared[i % 2 :: 2], np.repeat(inside, 2) if i == 3 else single[:0])) for i in range(4)]
+    layout = line_dedup.Layout(20_000 * 100)
+    ranges = {}
+    for hashes in tasks:
+        for at, once, twice in line_dedup.partial_filters(hashes, layout):
+            ranges.setdefault(at, []).append((once, twice))
+    for at, parts in ranges.items():
+        (tmp_path / f"twice-{at:04d}.bits").write_bytes(line_dedup.carry(iter(parts), layout.shift).tobytes())
+    seen = line_dedup.TwiceSeen(str(tmp_path), layout)
+    assert seen.repeated(shared).all() and seen.repeated(inside).all()
+    assert seen.repeated(single).mean() < 0.06
+    assert not line_dedup.TwiceSeen(str(tmp_path / "none"), layout).repeated(single).any()
