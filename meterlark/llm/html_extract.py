@@ -9,8 +9,8 @@ content (its children are content or rejected) or rejected (its descendants are
 contradicts its ancestors.
 
 The trees are trained here, on pages that a generator with known main text makes (containers, menus, banners,
-notices, forms, comments under many names) and on at most `max_pages` pages of the table, those with the
-smallest hashes of page_id, whose own article or main element tells the label; in training, semantic names
+notices, forms, comments under many names) and on at most `max_pages` pages of the table of at most MAX_CHARS
+characters, those with the smallest hashes of page_id, whose own article or main element tells the label; in training, semantic names
 are hidden at random so that the trees learn shape and text as well.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks joined by one line
@@ -19,7 +19,9 @@ rows that repeat a page_id each come out; an empty table gives an empty result;
 """
 
 import html as entities
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from meterlark.llm.common import cut
 
-MAX_PAGES, MADE_PAGES = 200, 350
+#: The table's pages in the training sample, their characters at most, and the pages that the generator makes.
+MAX_PAGES, MAX_CHARS, MADE_PAGES = 200, 1 << 16, 500
 #: What it costs, in nats, to reject an element inside content.
 SWITCH = 2.0
 
@@ -42,8 +45,12 @@ _ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SCOPE = frozenset("ul ol dl table tbody thead select body article main section div".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|name|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
+#: A tag without quotes; it stops at the next "<", so looking for it never reads far.
+_PLAIN = re.compile(r"<([a-zA-Z][^\s<>/\"']*)([^<>\"']*)>")
+_NAME, _SKIP, _EQUALS, _BARE = (re.compile(x) for x in (r"[^\s>/]+", r"[\s/]*", r"\s*=\s*", r"[^\s>]*"))
+_ATTRIBUTE = re.compile(r"[^\s>/][^\s=>/]*")
+_NAMING = frozenset("class id role itemprop aria-label name".split())
 _WORD = re.compile(r"[a-z]+")
 _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -54,7 +61,8 @@ BAD = frozenset(
 )
 GOOD = frozenset("article articlebody body content entry main post story text page prose blog hentry".split())
 TAGS = ("article main section div p h1 h2 h3 ul ol li a nav header footer aside form table figure blockquote pre span b body html".split())
-FEATURES = 22 + len(TAGS)
+SHAPE = 26
+FEATURES = SHAPE + len(TAGS)
 
 
 class Node:
@@ -69,65 +77,164 @@ class Node:
             parent.children.append(self)
 
 
-def _tokens(attributes: str) -> tuple:
+def _tokens(attributes: list[tuple[str, str]]) -> tuple:
     found = []
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() != "href":
-            found += _WORD.findall(_SPLIT_CAMEL.sub(" ", a or b or c).lower())
+    for name, value in attributes:
+        if name.lower() in _NAMING:
+            found += _WORD.findall(_SPLIT_CAMEL.sub(" ", value).lower())
     return tuple(found)
 
 
+class Scanner:
+    """Reads tags in time that is linear in the page, however its quotes and brackets are broken.
+
+    An unquoted value ends at white space or ">". A quote that is never closed, or whose closing one is
+    followed by neither space nor end of tag while the value holds a ">", ends at the next ">".
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.missing: set[str] = set()  # quotes that do not come any more
+        self.quotes = True  # whether quotes still mean something
+
+    def end_of(self, at: int) -> int:
+        """Behind the next ">", or the end of the page."""
+        end = self.page.find(">", at)
+        return self.size if end < 0 else end + 1
+
+    def tag(self, at: int) -> tuple[str, list[tuple[str, str]], bool, int]:
+        """Name, attributes, whether it closes itself, and what follows the opening tag at `at`."""
+        m = _PLAIN.match(self.page, at)
+        if m is not None:
+            inside = m.group(2)
+            attributes = [tuple(x.split("=", 1)) for x in inside.split() if "=" in x] if "=" in inside else []
+            return m.group(1).lower(), attributes, inside.rstrip().endswith("/"), m.end()
+        name = _NAME.match(self.page, at + 1)
+        if self.quotes:
+            attributes, end = self._attributes(name.end())
+            if end is not None:
+                return name.group().lower(), attributes, self.page[end - 2] == "/", end
+            self.quotes = False  # a wrong quote has eaten the rest of the page
+        return name.group().lower(), [], False, self.end_of(name.end())
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], int | None]:
+        page, found = self.page, []
+        while True:
+            at = _SKIP.match(page, at).end()
+            if at >= self.size:
+                return found, None
+            if page[at] == ">":
+                return found, at + 1
+            m = _ATTRIBUTE.match(page, at)
+            name, at = m.group(), m.end()
+            m = _EQUALS.match(page, at)
+            if m is None:
+                continue
+            at = m.end()
+            if at < self.size and page[at] in "\"'":
+                value, at = self._quoted(page[at], at + 1)
+            else:
+                m = _BARE.match(page, at)
+                value, at = m.group(), m.end()
+            found.append((name, value))
+
+    def _quoted(self, quote: str, at: int) -> tuple[str, int]:
+        page = self.page
+        end = -1 if quote in self.missing else page.find(quote, at)
+        if end < 0:
+            self.missing.add(quote)
+        elif page[end + 1 : end + 2].strip("/> \t\n\r\f") == "" or ">" not in page[at:end]:
+            return page[at:end], end + 1
+        end = page.find(">", at)
+        end = self.size if end < 0 else end
+        return page[at:end], end
+
+
+class _Open:
+    """The open elements, with what is needed to close them in constant time each."""
+
+    def __init__(self, root: "Node"):
+        self.stack, self.at = [root], {}
+        self.blocks, self.scopes = [0], [0]  # depths of open elements that are no inline ones, and of containers
+
+    def push(self, node: "Node") -> None:
+        depth = len(self.stack)
+        self.at.setdefault(node.tag, []).append(depth)
+        if node.tag not in INLINE:
+            self.blocks.append(depth)
+        if node.tag in _SCOPE:
+            self.scopes.append(depth)
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth and all inside it."""
+        while len(self.stack) > depth:
+            tag, last = self.stack.pop().tag, len(self.stack)
+            self.at[tag].pop()
+            if self.blocks[-1] == last:
+                self.blocks.pop()
+            if self.scopes[-1] == last:
+                self.scopes.pop()
+
+    def end_tag(self, tag: str) -> None:
+        # An inline end tag does not close blocks.
+        if self.at.get(tag) and not (tag in INLINE and self.blocks[-1] > self.at[tag][-1]):
+            self.close(self.at[tag][-1])
+
+    def before(self, tag: str) -> None:
+        """Close what the start of an element of this tag implies to be closed."""
+        if tag in _CLOSES_P and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in _ITEM:
+            inside = [depths[k] for depths in (self.at.get(t, ()) for t in _ITEM[tag]) if (k := bisect_right(depths, self.scopes[-1])) < len(depths)]
+            if inside:
+                self.close(min(inside))
+
+
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
+
+
 def parse(page: str) -> Node:
     """The element tree; items of a node are its child nodes and pieces of raw text, in page order."""
-    root = node = Node("#root", None)
+    root = Node("#root", None)
+    scan, opened = Scanner(page), _Open(root)
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
+        start = n if m is None else m.start()
+        if start > at:
+            opened.stack[-1].items.append(page[at:start])
         if m is None:
-            node.items.append(page[at:])
             break
-        if m.start() > at:
-            node.items.append(page[at : m.start()])
-        at = m.end()
-        close, open_, attributes = m.groups()
-        if close:
-            close = close.lower()
-            up = node
-            while up is not root and up.tag != close:
-                if close in INLINE and up.tag not in INLINE:
-                    up = root  # an inline end tag does not close blocks
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
-        elif open_:
-            tag = open_.lower()
-            if tag in _CLOSES_P:
-                up = node
-                while up is not root and (up.tag in INLINE or up.tag == "p"):
-                    if up.tag == "p":
-                        node = up.parent
-                        break
-                    up = up.parent
-            if tag in _ITEM:
-                up = node
-                while up is not root and up.tag not in _SCOPE:
-                    if up.tag in _ITEM[tag]:
-                        node = up.parent
-                    up = up.parent
+        kind = page[start + 1]
+        if kind == "!" and page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+        elif kind in "!?":
+            at = scan.end_of(start)
+        elif kind == "/":
+            name = _NAME.match(page, start + 2)
+            if name is not None:
+                opened.end_tag(name.group().lower())
+            at = scan.end_of(start)
+        else:
+            tag, attributes, closed, at = scan.tag(start)
+            opened.before(tag)
+            node = opened.stack[-1]
             made = Node(tag, node)
-            if attributes and "=" in attributes:
+            if attributes:
                 made.tokens = _tokens(attributes)
             node.items.append(made)
             if tag in RAW:
-                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            elif tag not in VOID and not attributes.rstrip().endswith("/"):
-                node = made
+                end = _RAW_END[tag].search(page, at)
+                at = scan.end_of(end.end()) if end else n
+            elif tag not in VOID and not closed:
+                opened.push(made)
     return root
 
 
 _MARKS = re.compile(r"[.,;:!?]")
+_BLANK = " \t\n\r\f\x0b\x01"
 
 
 def measure(root: Node) -> list[Node]:
@@ -142,7 +249,7 @@ def measure(root: Node) -> list[Node]:
     for node in reversed(nodes):
         for item in node.items:
             if isinstance(item, str):
-                text = item.strip()
+                text = item.strip(_BLANK)
                 if text:
                     node.chars += len(text)
                     node.words += text.count(" ") + 1
@@ -167,24 +274,27 @@ def describe(nodes: list[Node], hide=None) -> np.ndarray:
     """One row of features for each node; hide(node) tells whether its names are hidden (in training)."""
     out = np.zeros((len(nodes), FEATURES), dtype=np.float32)
     total = max(1, nodes[0].chars)
-    inherited: dict[int, tuple[float, float, float, float]] = {}
+    inherited: dict[int, tuple[float, float, float, float, float]] = {}
     for row, node in enumerate(nodes):
         names = () if hide is not None and hide(node) else (node.tag, *node.tokens)
         bad, good = sum(x in BAD for x in names), sum(x in GOOD for x in names[1:]) + (node.tag in ("article", "main") and bool(names))
-        above = inherited[id(node.parent)] if node.parent is not None and id(node.parent) in inherited else (0.0, 0.0, 0.0, 0.0)
-        inherited[id(node)] = (above[0] + bad, above[1] + good, max(above[2], float(bool(bad))), above[3] + (node.tag == "a"))
         p = node.parent
+        above = inherited.get(id(p), (0.0, 0.0, 0.0, 0.0, 0.0))
+        article = 1.0 if node.tag in ("article", "main") and names else above[4]
+        inherited[id(node)] = (above[0] + bad, above[1] + good, max(above[2], float(bool(bad))), above[3] + (node.tag == "a"), article)
         brothers = p.children if p is not None else ()
         chars = node.chars
+        around = p if p is not None else node
         f = out[row]
-        f[0:22] = (
+        f[0:SHAPE] = (
             np.log1p(chars), chars / total, chars / node.tags, node.links / max(1, chars), node.marks / max(1, chars), node.words / max(1, node.tags), chars / max(1, node.words),
-            np.log1p(node.tags), node.depth, node.at, node.at / max(1, len(brothers)), len(brothers), len(node.children), chars / max(1, p.chars if p else chars),
-            bad, good, above[0], above[1], above[2], above[3], len(node.tokens), (p.links / max(1, p.chars)) if p else 0.0,
+            np.log1p(node.tags), node.depth, node.at, node.at / max(1, len(brothers)), len(brothers), len(node.children), chars / max(1, around.chars),
+            bad, good, above[0], above[1], above[2], above[3], len(node.tokens), around.links / max(1, around.chars),
+            np.log1p(around.chars), around.marks / max(1, around.chars), around.chars / around.tags, article,
         )
         at = _TAG_AT.get(node.tag)
         if at is not None and names:
-            f[22 + at] = 1.0
+            f[SHAPE + at] = 1.0
     return out
 
 
@@ -299,6 +409,8 @@ def main_text(root: Node) -> str:
         elif isinstance(item, tuple):  # text and whether it is content
             if item[1]:
                 piece.append(item[0])
+        elif item.tag == "br":
+            piece.append(" ")
         elif item.tag not in HIDDEN:
             content = item.label == _CONTENT
             block = item.tag not in INLINE
@@ -314,22 +426,24 @@ def main_text(root: Node) -> str:
 # --- training -------------------------------------------------------------------------------------------
 
 
-def _made_page(rng: np.random.Generator) -> tuple[str, str]:
+_SYLLABLES = "an er ou la de th ti on ge ver ein ra que es ca mo ist in al re".split()
+
+
+def _made_page(rng: random.Random) -> tuple[str, str]:
     """A page with known main text; content paragraphs carry the mark \\x01 to label them."""
 
     def words(lo: int, hi: int) -> str:
-        syllables = ("an er ou la de th ti on ge ver ein ra que es ca mo ist in al re").split()
-        out = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(int(rng.integers(lo, hi)))]
+        out = ["".join(rng.choices(_SYLLABLES, k=rng.randrange(1, 4))) for _ in range(rng.randrange(lo, hi))]
         return " ".join(w + ("," if rng.random() < 0.08 else "") for w in out).capitalize() + "."
 
     def pick(*options):
-        return options[int(rng.integers(len(options)))]
+        return rng.choice(options)
 
     def links(lo: int, hi: int) -> str:
-        return "".join(f'<li><a href="/{i}">{words(1, 4)}</a></li>' for i in range(int(rng.integers(lo, hi))))
+        return "".join(f'<li><a href="/{i}">{words(1, 4)}</a></li>' for i in range(rng.randrange(lo, hi)))
 
-    def boiler() -> str:
-        kind = int(rng.integers(12))
+    def boiler(kinds: int = 12) -> str:
+        kind = rng.randrange(kinds)
         if kind == 0:
             return f"<nav>{pick('<ul>', '<ul class=menu>')}{links(2, 10)}</ul></nav>"
         if kind == 1:
@@ -345,7 +459,7 @@ def _made_page(rng: np.random.Generator) -> tuple[str, str]:
         if kind == 6:
             return f'<form action="/s"><label>{words(1, 5)}</label><input name=q><p>{words(3, 12)}</p></form>'
         if kind == 7:
-            return f'<section class="comments"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{words(4, 40)}</p></div>' for _ in range(int(rng.integers(1, 6)))) + "</section>"
+            return f'<section class="comments"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{words(4, 40)}</p></div>' for _ in range(rng.randrange(1, 6))) + "</section>"
         if kind == 8:
             return f'<div class="{pick("share", "social", "related", "newsletter")}"><p>{words(2, 15)}</p><ul>{links(1, 6)}</ul></div>'
         if kind == 9:
@@ -354,19 +468,32 @@ def _made_page(rng: np.random.Generator) -> tuple[str, str]:
             return f"<div><ul>{links(3, 9)}</ul></div>"
         return f"<div><p>{words(2, 8)}</p><a href=/x>{words(1, 4)}</a></div>"
 
-    inner = [f"<h1>\x01{words(3, 12)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(int(rng.integers(1, 12))):
+    def short() -> str:
+        """Small pieces that belong to an article all the same."""
+        cells = "".join(f"<tr><th>\x01{words(1, 3)}</th><td>\x01{words(1, 4)}</td></tr>" for _ in range(rng.randrange(1, 5)))
+        return pick(f"<p>\x01{words(1, 3)}</p>", f"<h3>\x01{words(1, 3)}</h3>", f"<figure><img src=x><figcaption>\x01{words(1, 8)}</figcaption></figure>", f"<table>{cells}</table>", f"<dl><dt>\x01{words(1, 3)}</dt><dd>\x01{words(1, 9)}</dd></dl>", f"<p><em>\x01{words(1, 3)}</em></p>")
+
+    tiny, bare = rng.random() < 0.2, rng.random() < 0.2
+    inner = [f"<h1>\x01{words(3, 12)}</h1>"] if rng.random() < (0.3 if tiny else 0.8) else []
+    for _ in range(rng.randrange(1, 3) if tiny else rng.randrange(1, 12)):
+        if tiny:
+            inner.append(short() if rng.random() < 0.7 else f"<p>\x01{words(2, 12)}</p>")
+            continue
         body = f"\x01{words(1, 90) if rng.random() < 0.7 else words(1, 4)}"
         if rng.random() < 0.2:
             body += f' <a href="/l">\x01{words(1, 5)}</a> \x01{words(1, 20)}'
-        inner.append(pick(f"<p>{body}</p>", f"<p>{body}</p>", f"<p><b>{body}<br><p>\x01{words(3, 30)}</p>", f"<h2>\x01{words(1, 6)}</h2><p>{body}</p>", f"<ul><li>\x01{words(2, 20)}</li><li>\x01{words(2, 20)}</li></ul>", f"<blockquote>{body}</blockquote>"))
+        inner.append(pick(f"<p>{body}</p>", f"<p>{body}</p>", f"<p><b>{body}<br><p>\x01{words(3, 30)}</p>", f"<h2>\x01{words(1, 6)}</h2><p>{body}</p>", f"<ul><li>\x01{words(2, 20)}</li><li>\x01{words(2, 20)}</li></ul>", f"<blockquote>{body}</blockquote>", f"<pre>\x01{words(1, 4)}\n{words(1, 6)}</pre>", f"<p>\x01{words(1, 3)}<br>\x01{words(1, 3)}</p>", f"<div>\x01{words(1, 30)}</div>", short()))
         if rng.random() < 0.12:
-            inner.append(boiler())
+            inner.append(boiler(10))  # without a name of its own it would be part of the article
     box = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="story">', "</div>"), ('<section class="post-body">', "</section>"), ("<div>", "</div>"), ("<main><article>", "</article></main>"))
-    parts = [boiler() for _ in range(int(rng.integers(0, 4)))] + [box[0] + "".join(inner) + box[1]] + [boiler() for _ in range(int(rng.integers(0, 4)))]
-    page = "".join(parts)
+    if tiny:
+        box = pick(("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"))
+    most = 1 if bare else 4
+    page = "".join([boiler() for _ in range(rng.randrange(0, most))] + [box[0] + "".join(inner) + box[1]] + [boiler() for _ in range(rng.randrange(0, most))])
     if rng.random() < 0.3:
         page = f'<div class="{pick("page", "wrapper", "container", "")}">{page}</div>'
+    if bare and rng.random() < 0.5:
+        return page
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{page}</body></html>"
 
 
@@ -397,7 +524,7 @@ def _own_labels(nodes: list[Node]) -> np.ndarray | None:
 
 
 def train(pages: list[str], made: int = MADE_PAGES, seed: int = 11) -> Boosted:
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     xs, ys = [], []
     for i in range(made + len(pages)):
         nodes = measure(parse(_made_page(rng) if i < made else pages[i - made]))
@@ -429,9 +556,9 @@ def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame
     """page_id, url, text, n_chars: one row for each row of pages."""
     spark = pages.sparkSession
     source = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    chosen = cut(source.where("page_id IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages), "page-sample").distinct()
-    sample = source.join(F.broadcast(chosen), "page_id", "left_semi").orderBy("page_id", "html").limit(max_pages)
-    model = spark.sparkContext.broadcast(train([r["html"] for r in sample.select("html").collect()]))  # at most max_pages pages
+    chosen = cut(source.where("page_id IS NOT NULL").where(F.length("html") <= MAX_CHARS).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages), "page-sample").distinct()
+    sample = source.where(F.length("html") <= MAX_CHARS).join(F.broadcast(chosen), "page_id", "left_semi").orderBy("page_id", "html").limit(max_pages)
+    model = spark.sparkContext.broadcast(train([r["html"] for r in sample.select("html").collect()]))  # at most max_pages pages of MAX_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
