@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, seeded, text_chunks, unkeyed, word_hashes
+from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, salt, seeded, text_chunks, unkeyed, word_hashes
 
 BANDS, ROWS, PERCENT = 40, 6, 80
 _U = np.uint64
@@ -170,7 +170,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
         grouped = components(links.union(confirmed(more, sets, percent)))
 
     of_class = classes.select("n", "a", "b", "id").join(grouped, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
-    found = sketched.select("doc_id", "n", "a", "b").join(of_class, ["n", "a", "b"], "left")
+    # Given out by salt, so that the copies of a hot set are spread over tasks; empty sets belong to no class.
+    members = sketched.select("doc_id", "n", "a", "b", salt().alias("salt"))
+    salts = members.where("n > 0").select("n", "a", "b", "salt").distinct()
+    given = salts.join(of_class, ["n", "a", "b"])
+    placed_rows = members.where("n > 0").join(given, ["n", "a", "b", "salt"]).select("doc_id", "n", "component_id")
+    found = placed_rows.unionByName(members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return unkeyed(out).withColumn("component_id", F.nullif("component_id", F.lit(NO_ID)))
