@@ -182,30 +182,31 @@ class Encoder:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads, memory = self.heads, self.memory
-        if len(heads) + len(memory) > REMEMBERED:
-            heads.clear()
-            memory.clear()
-        whole, cuts, new_heads, unknown = [], [], {}, {}
+        if len(self.heads) + len(self.memory) > REMEMBERED:
+            self.heads.clear()
+            self.memory.clear()
+        head_of, ids_of = self.heads.get, self.memory.get
+        whole, cuts, heads, unknown = [], [], {}, {}
         for text in texts:
-            pieces = text.replace("\n", " \n").split(" ") if self.by_piece else [""]
+            head, *pieces = text.replace("\n", " \n").split(" ") if self.by_piece else [""]
             # The empty piece and a bare line feed tell that white space follows white space, or ends the text.
-            if "" in pieces[1:] or "\n" in pieces or not self.by_piece or _SPACED.search(text) or any(s in text for s in self.special):
+            if not self.by_piece or "" in pieces or "\n" in pieces or _SPACED.search(text) or any(s in text for s in self.special):
                 whole.append(text)
                 cuts.append(None)
                 continue
-            cuts.append(pieces)
-            if pieces[0] not in heads:
-                new_heads[pieces[0]] = None
-            for i in range(1, len(pieces)):
-                if pieces[i] not in memory:
-                    unknown[pieces[i]] = None
-        if new_heads:
-            heads.update(zip(new_heads, self._library(list(new_heads)), strict=True))
+            known = list(map(ids_of, pieces))
+            if None in known:
+                unknown.update((p, None) for p, ids in zip(pieces, known, strict=True) if ids is None)
+                known = None
+            if head_of(head) is None:
+                heads[head] = None
+            cuts.append((head, pieces, known))
+        if heads:
+            self.heads.update(zip(heads, self._library(list(heads)), strict=True))
         if unknown:
-            memory.update(zip(unknown, self._library([p if p[0] == "\n" else " " + p for p in unknown]), strict=True))
+            self.memory.update(zip(unknown, self._library([p if p[0] == "\n" else " " + p for p in unknown]), strict=True))
         done = iter(self._library(whole))
-        return [next(done) if pieces is None else heads[pieces[0]] + b"".join([memory[p] for p in pieces[1:]]) for pieces in cuts]
+        return [next(done) if cut is None else head_of(cut[0]) + b"".join(cut[2] or map(ids_of, cut[1])) for cut in cuts]
 
 
 _encoders: dict[str, Encoder] = {}
