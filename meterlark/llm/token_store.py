@@ -22,7 +22,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from meterlark.llm.common import cut, keyed, mix, partitions, read_file, shared_
 SHARD_IDS = 1 << 24
 #: Keys that one index file holds, about.
 INDEX_KEYS = 1 << 20
-#: Pieces of text whose ids a Python worker remembers.
-REMEMBERED = 500_000
+#: Pieces of text whose ids a Python worker remembers, in each of two generations (some 150 MB).
+REMEMBERED = 800_000
 _U = np.uint64
 
 
@@ -154,12 +154,18 @@ class Index:
 _SPACED = re.compile(r"\s[ \n]\s")
 
 
+#: A piece that ends in ASCII symbols after a letter or digit; the pattern always cuts between the two.
+_TAILED = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)\Z", re.S)
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library, with the ids of pieces remembered.
 
     The byte-level pattern never joins what stands before a single space or line feed to what follows, so a
-    text is cut there and the library encodes each distinct piece once. Texts where white space follows
-    white space, and texts with strings of special tokens, go to the library whole.
+    text is cut there and the library encodes each distinct piece once; a piece that ends in symbols is put
+    together from the two parts. Texts where white space follows white space, and texts with strings of special
+    tokens, go to the library whole. Pieces are remembered in two generations: when the newer one is full it
+    becomes the older, from which pieces that occur again come back.
     """
 
     def __init__(self, path: str):
@@ -174,18 +180,47 @@ class Encoder:
             pre = json.load(f)["pre_tokenizer"]
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of first pieces, which no space precedes, and of all others.
-        self.heads: dict[str, bytes] = {}
+        #: Ids of pieces that follow a space or line feed, and of strings that nothing precedes (first pieces and symbols).
         self.memory: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = ({}, {})
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: Iterable[str], bare: Iterable[str]) -> None:
+        """Remember the ids of new pieces and bare strings."""
+        memory, strings = self.memory, self.bare
+        old_memory, old_bare = self.older
+        tailed, whole, wanted = [], [], set()
+        for piece in pieces:
+            ids = old_memory.get(piece)
+            if ids is not None:
+                memory[piece] = ids
+            elif (cut := _TAILED.match(piece)) is not None and cut[1][-1].isalpha():
+                tailed.append((piece, *cut.groups()))
+                if cut[1] not in memory and cut[1] not in wanted:
+                    wanted.add(cut[1])
+                    whole.append(cut[1])
+            elif piece not in wanted:
+                wanted.add(piece)
+                whole.append(piece)
+        new = dict.fromkeys(x for x in (*bare, *(t for _, _, t in tailed)) if x not in strings)
+        for x in list(new):
+            if (ids := old_bare.get(x)) is not None:
+                strings[x] = ids
+                del new[x]
+        if whole:
+            memory.update(zip(whole, self._library([p if p[0] == "\n" else " " + p for p in whole]), strict=True))
+        if new:
+            strings.update(zip(new, self._library(list(new)), strict=True))
+        for piece, word, tail in tailed:
+            memory[piece] = memory[word] + strings[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.heads) + len(self.memory) > REMEMBERED:
-            self.heads.clear()
-            self.memory.clear()
-        head_of, ids_of = self.heads.get, self.memory.get
+        if len(self.memory) + len(self.bare) > REMEMBERED:
+            self.older, self.memory, self.bare = (self.memory, self.bare), {}, {}
+        head_of, ids_of = self.bare.get, self.memory.get
         whole, cuts, heads, unknown = [], [], {}, {}
         for text in texts:
             head, *pieces = text.replace("\n", " \n").split(" ") if self.by_piece else [""]
@@ -201,10 +236,7 @@ class Encoder:
             if head_of(head) is None:
                 heads[head] = None
             cuts.append((head, pieces, known))
-        if heads:
-            self.heads.update(zip(heads, self._library(list(heads)), strict=True))
-        if unknown:
-            self.memory.update(zip(unknown, self._library([p if p[0] == "\n" else " " + p for p in unknown]), strict=True))
+        self._learn(unknown, heads)
         done = iter(self._library(whole))
         return [next(done) if cut is None else head_of(cut[0]) + b"".join(cut[2] or map(ids_of, cut[1])) for cut in cuts]
 
