@@ -7,10 +7,14 @@ every element in bin j, so that every coordinate fills; sets of t log t elements
 `rows` coordinates make the bands.
 
 1. Documents with the same set are one class, represented by the smallest doc_id (folded map-side).
-2. In each band bucket every class is paired with the smallest class alone (a star, never all pairs), and the
-   pairs are confirmed on the full sets. Connected components of the links follow.
-3. A link that no star shows lies inside a bucket that still spans several components. In those buckets the
-   remaining pairs of different components with fitting sizes are confirmed too, so no candidate is left out.
+2. In each band bucket every class is paired with one centre alone (a star, never all pairs), and the pairs are
+   confirmed on the full sets. The centre is the class that meets most others in its bands: what near copies
+   were made from is closer to each of them than they are to each other. Connected components follow.
+3. A link that no star shows lies inside a bucket that still spans several components. There more stars follow,
+   with 1, 4, 16, ... further centres, each paired with the members of other components, until every bucket is
+   one component or all its members were centres, so no candidate is left out.
+
+Rows of one bucket, hub or class are spread by salt over `SALTS` tasks; only sums and minima meet in one.
 
 At a similarity of 0.8 a pair shares none of 40 bands of 6 rows with probability 5e-6.
 
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, salt, seeded, text_chunks, unkeyed, word_hashes
@@ -109,14 +113,23 @@ def _sets(size: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (x, y) whose full sets have percent * union <= 100 * intersection."""
+    """Those pairs (x, y) whose full sets have percent * union <= 100 * intersection; y may be the centre of many."""
+    salted = pairs.withColumn("salt", salt("x"))
     left = sets.select(F.col("id").alias("x"), F.col("elements").alias("xs"))
-    right = sets.select(F.col("id").alias("y"), F.col("elements").alias("ys"))
-    both = pairs.join(left, "x").join(right, "y")
+    right = salted.select("y", "salt").distinct().join(sets.select(F.col("id").alias("y"), F.col("elements").alias("ys")), "y")
+    both = salted.join(left, "x").join(right, ["y", "salt"])
     common = F.size(F.array_intersect("xs", "ys"))
     return both.select("x", "y", common.alias("i"), (F.size("xs") + F.size("ys") - common).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("x", "y")
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges(x, y) with m, the smallest y of x; the edges of a hub are spread by salt."""
+    salted = edges.withColumn("salt", salt("y"))
+    parts = salted.groupBy("x", "salt").agg(F.min("y").alias("m"))
+    given = parts.select("x", "salt").join(parts.groupBy("x").agg(F.min("m").alias("m")), "x")
+    return salted.join(given, ["x", "salt"]).select("x", "y", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of a link (x, y) reaches; alternating large and small stars."""
     edges = cut(links.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
@@ -126,20 +139,34 @@ def components(links: DataFrame) -> DataFrame:
 
     now = mark(edges)
     while now[0]:
-        both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         # Large star: larger neighbours of u go to the smallest neighbour of u, or to u.
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        both = _with_least(edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+        large = cut(both.where("y > x").select(F.col("y").alias("x"), F.least("m", "x").alias("y")).distinct(), "large-star")
         # Small star: smaller neighbours of u, and u, go to the smallest of them.
-        lowest = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(lowest, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = cut(small.union(lowest.select("x", F.col("m").alias("y"))).where("x <> y").distinct(), "links")
+        near = _with_least(large)
+        small = near.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        edges = cut(small.union(large.groupBy("x").agg(F.min("y").alias("y"))).where("x <> y").distinct(), "links")
         before, now = now, mark(edges)
         if now == before:
             break
     return edges.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "id")
 
 
+def _first_of(members: DataFrame, most: int) -> DataFrame:
+    """(band, id, n, component) of the `most` members of each band with the largest degree, smaller ids first."""
+    order = [F.col("degree").desc(), F.col("id")]
+    some = members.withColumn("_r", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("_r") <= most)
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("_r") <= most).select("band", "id", "n", "component")
+
+
+def _paired(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members and centres of their band, of different components and fitting sizes, once each."""
+    of_band = centres.select("band", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("other"))
+    given = members.select("band", "salt").distinct().join(of_band, "band")
+    met = members.join(given, ["band", "salt"]).where("id <> y AND component <> other").where(f"100 * least(n, yn) >= {percent} * greatest(n, yn)")
+    return met.select(F.col("id").alias("x"), "y").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     texts = keyed(docs)
@@ -149,25 +176,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
         sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")),
         "classes",
     )
-    placed = classes.select("id", "n", F.explode("bands").alias("band"))
-    centres = placed.groupBy("band").agg(F.min("id").alias("centre"), F.min_by("n", "id").alias("cn"), F.count("*").alias("members")).where("members > 1")
-    stars = cut(placed.join(centres.select("band", "centre", "cn"), "band").select("id", "n", "band", "centre", "cn"), "stars")
-    fits = "100 * least(n, cn) >= {0} * greatest(n, cn)".format(percent)
-    pairs = cut(stars.where("id <> centre").where(fits).select(F.col("id").alias("x"), F.col("centre").alias("y")).distinct(), "star-pairs")
-    wanted = stars.select("id").distinct()
-    sets = cut(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
-    links = cut(confirmed(pairs, sets, percent), "confirmed")
-    grouped = components(links)
-
-    # Buckets that still span several components.
-    labelled = stars.select("band", "id", "n").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = cut(labelled.join(open_bands, "band").select("band", "id", "n", "component"), "open-buckets")
-    other = rest.select("band", F.col("id").alias("y"), F.col("n").alias("cn"), F.col("component").alias("other"))
-    more = rest.join(other, "band").where("id < y AND component <> other").where(fits).select(F.col("id").alias("y"), F.col("y").alias("x")).distinct()
-    more = cut(more.join(pairs, ["x", "y"], "left_anti").select("x", "y"), "open-pairs")
-    if not more.isEmpty():
-        grouped = components(links.union(confirmed(more, sets, percent)))
+    placed = classes.select("id", "n", F.explode("bands").alias("band")).withColumn("salt", salt("id"))
+    sizes = placed.groupBy("band", "salt").agg(F.count("*").alias("k"))
+    shared = sizes.groupBy("band").agg(F.sum("k").alias("members")).where("members > 1")
+    met = cut(placed.join(sizes.select("band", "salt").join(shared, "band"), ["band", "salt"]), "met")
+    # How many others a class meets in all its bands.
+    degrees = met.groupBy("id").agg(F.sum("members").alias("degree"))
+    members = cut(met.drop("members").join(degrees, "id").withColumn("component", F.col("id")), "members")
+    sets = cut(texts.join(degrees.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
+
+    links, compared, most, grouped = None, None, 1, classes.select("id", F.col("id").alias("component")).limit(0)
+    served = members.select("band", "id").limit(0)
+    while True:
+        free = members.join(served, ["band", "id"], "left_anti")
+        centres = cut(_first_of(free, most), "centres")
+        if centres.isEmpty():
+            break
+        pairs = _paired(members, centres, percent).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "x", "y").dropDuplicates(["a", "b"])
+        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "star-pairs")
+        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
+        found = cut(confirmed(pairs.select("x", "y"), sets, percent), "confirmed")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            grouped = cut(components(links), "components")
+        served = served.union(centres.select("band", "id"))
+        # Buckets that still span several components.
+        labelled = members.drop("component").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = labelled.groupBy("band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        still = parts.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+        members = cut(labelled.join(parts.select("band", "salt").join(still.select("band"), "band"), ["band", "salt"]), "open-buckets")
+        most *= 4
 
     of_class = classes.select("n", "a", "b", "id").join(grouped, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     # Given out by salt, so that the copies of a hot set are spread over tasks; empty sets belong to no class.
