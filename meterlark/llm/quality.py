@@ -43,7 +43,7 @@ KEY_ROWS = (1 << (63 - GRAM_BITS)) - 1
 #: Bytes of text for each slice of the hash range that one group adds up, and the least number of slices.
 SLICE_BYTES, LEAST_SLICES = 1 << 22, 64
 #: Distinct n-grams that a task holds before it hands on its sums so far.
-HELD = 1 << 21
+HELD = 1 << 20
 #: An n-gram helps to scale the raw model if the target holds it so often.
 SHARED = 30
 MAX_LABELS = 20_000
