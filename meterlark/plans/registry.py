@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlark.plans import presentation_queries, source_queries, usage_queries
 from meterlark.plans.oracles import ORACLES
-from meterlark.plans.usage_queries import QUERIES
+
+_MORE = (source_queries, presentation_queries)
 
 FLAGSHIP = "windows_current"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    found = dict(usage_queries.QUERIES)
+    for module in _MORE:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    for module in _MORE:
+        found |= module.ORACLES
+    return found
