@@ -61,7 +61,7 @@ def _formats(spark, sf):
     n = F.col("cache_read_tokens") * F.col("event_id") * 7 + F.col("output_tokens")
     ms = F.col("event_id") % 9_000 * 61_700 - 100_000
     return u.select(
-        "event_id", p.tokens_text(n).alias("tokens"), p.pct_text(F.col("input_tokens") / 8.0).alias("pct"), p.usd_text(F.col("output_tokens") / 4096.0).alias("usd"), p.duration_text(ms).alias("duration"), p.until_text(ms).alias("until"),
+        "event_id", p.tokens_text(n).alias("tokens"), p.pct_text(F.col("input_tokens") / 8.0).alias("pct"), p.usd_text(F.col("output_tokens") / 4096.0).alias("usd"), p.duration_text(ms).alias("duration"), p.until_text(ms).alias("until_text"),
         p.when_text(F.col("us") + ms * 1000, F.col("us")).alias("moment"), F.round(p.pace(F.lit(300), F.col("us") + ms * 1000, F.col("us")), 6).alias("pace"), p.tray_text(F.col("input_tokens") / 2.0).alias("tray"),
         p.cumulative_text(F.col("input_tokens") / 2.0, F.col("event_id") % 2 == 0).alias("cumulative"), scalars.ring_tone(F.col("input_tokens"), F.col("input_tokens") + F.col("event_id") % 30).alias("tone"),
         scalars.nice_max_pct(F.col("input_tokens").cast("double")).alias("nice_max"), scalars.duration_label(F.col("event_id") * 15).alias("length"), p.share_points(F.col("input_tokens"), F.lit(25.0)).alias("points"), p.ratio_to_pct(F.col("input_tokens") / 128.0).alias("ratio_pct"),
@@ -77,7 +77,7 @@ SELECT event_id, CASE WHEN n >= 1e9 THEN printf('%.2f', round(n / 1e9, 2)) || 'B
   printf('%.1f', floor(input_tokens / 8 * 10 + 0.5) / 10) || '%' AS pct, '$' || CASE WHEN output_tokens / 4096 < 0.1 THEN printf('%.3f', floor(output_tokens / 4096 * 1000 + 0.5) / 1000) ELSE printf('%.2f', floor(output_tokens / 4096 * 100 + 0.5) / 100) END AS usd,
   CASE WHEN ms <= 0 THEN '0:00' WHEN mi >= 1440 THEN (mi // 1440) || 'd ' || printf('%02d', mi % 1440 // 60) || 'h' ELSE (mi // 60) || ':' || printf('%02d', mi % 60) END AS duration,
   CASE WHEN ms <= 60000 THEN 'now' WHEN mi < 60 THEN 'in ' || mi || ' min' WHEN mi >= 1440 THEN 'in ' || (mi // 1440) || ' d' || CASE WHEN mi % 1440 // 60 > 0 THEN ' ' || (mi % 1440 // 60) || ' h' ELSE '' END
-    ELSE 'in ' || (mi // 60) || ' h' || CASE WHEN mi % 60 > 0 THEN ' ' || (mi % 60) || ' min' ELSE '' END END AS until,
+    ELSE 'in ' || (mi // 60) || ' h' || CASE WHEN mi % 60 > 0 THEN ' ' || (mi % 60) || ' min' ELSE '' END END AS until_text,
   CASE datediff('day', CAST(ts AS DATE), CAST(at AS DATE)) WHEN 0 THEN strftime(at, '%H:%M') WHEN 1 THEN 'tomorrow ' || strftime(at, '%H:%M') ELSE strftime(at, '%m-%d %a %H:%M') END AS moment,
   round(greatest(0, least(1, (18000000000 - ms * 1000) / 18000000000)), 6) AS pace, CAST(floor(input_tokens / 2 + 0.5) AS BIGINT) || '%' AS tray, CASE WHEN event_id % 2 = 0 THEN '≥' ELSE '' END || CAST(floor(input_tokens / 2 + 0.5) AS BIGINT) || '%' AS cumulative,
   CASE WHEN input_tokens >= 90 THEN 'danger' WHEN input_tokens >= 70 OR input_tokens + event_id % 30 >= 95 THEN 'warn' ELSE 'ok' END AS tone,

@@ -1 +1 @@
-"""Structured Streaming pipelines."""
+"""Structured Streaming forms of the feed: ingest, stateful deduplication, windows, updates and rollouts."""
