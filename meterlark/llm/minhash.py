@@ -7,14 +7,15 @@ every element in bin j, so that every coordinate fills; sets of t log t elements
 `rows` coordinates make the bands.
 
 1. Documents with the same set are one class, represented by the smallest doc_id (folded map-side).
-2. In each band bucket every class is paired with one centre alone (a star, never all pairs), and the pairs are
-   confirmed on the full sets. The centre is the class that meets most others in its bands: what near copies
-   were made from is closer to each of them than they are to each other. Connected components follow.
-3. A link that no star shows lies inside a bucket that still spans several components. There more stars follow,
-   with 1, 4, 16, ... further centres, each paired with the members of other components, until every bucket is
-   one component or all its members were centres, so no candidate is left out.
+2. In each band bucket every class is paired with one centre alone (a star, never all pairs). The centre is the
+   class that meets most others in its bands: what near copies were made from is closer to each of them than
+   they are to each other. Pairs are confirmed on the full sets; connected components follow.
+3. A link that no star shows lies inside a bucket that still spans several components: 16 more stars follow, and in
+   what is open then all members of different components are compared, so no candidate is left out.
 
-Rows of one bucket, hub or class are spread by salt over `SALTS` tasks; only sums and minima meet in one.
+Before a pair leaves the comparison of a bucket it must pass a bound that loses no link: each set has a parity
+sketch of 1024 bits, and two sketches differ in no more bits than the sets in elements. Rows of one bucket, hub or
+class are spread by salt over `SALTS` tasks; only sums and minima meet in one.
 
 At a similarity of 0.8 a pair shares none of 40 bands of 6 rows with probability 5e-6.
 
@@ -30,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, salt, seeded, text_chunks, unkeyed, word_hashes
+from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, release, salt, seeded, text_chunks, unkeyed, word_hashes
 
 BANDS, ROWS, PERCENT = 40, 6, 80
 _U = np.uint64
 _ROUND_SEEDS = seeded(77, 4096)
+_PARITY_SEED = seeded(78, 1)[0]
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -75,6 +77,12 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """1024 bits, each the parity of the elements hashed there, as 16 words."""
+    odd = np.bincount((mix(elements ^ _PARITY_SEED) >> _U(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = seeded(5, bands)
     grid = coordinates.reshape(bands, rows)
@@ -86,16 +94,17 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketches(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, first, second, keys = [], [], [], []
+            counts, first, second, keys, bits = [], [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 counts.append(len(s))
                 with np.errstate(over="ignore"):
                     first.append(int(s.sum(dtype=_U)) if len(s) else 0)
                     second.append(int(mix(s ^ _U(0xC2B2AE3D27D4EB4F)).sum(dtype=_U)) if len(s) else 0)
                 keys.append(band_keys(sketch(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.int64))
+                bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(np.array(first, _U).view(np.int64)), pa.array(np.array(second, _U).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "a", "b", "bands"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(np.array(first, _U).view(np.int64)), pa.array(np.array(second, _U).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "a", "b", "bands", "bits"],
             )
 
     return run
@@ -153,59 +162,65 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _first_of(members: DataFrame, most: int) -> DataFrame:
-    """(band, id, n, component) of the `most` members of each band with the largest degree, smaller ids first."""
+    """The `most` members of each band with the largest degree, smaller ids first."""
     order = [F.col("degree").desc(), F.col("id")]
     some = members.withColumn("_r", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("_r") <= most)
-    return some.withColumn("_r", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("_r") <= most).select("band", "id", "n", "component")
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+
 
+def _paired(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members and others of their band, of different components, that may be similar enough.
 
-def _paired(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of members and centres of their band, of different components and fitting sizes, once each."""
-    of_band = centres.select("band", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("other"))
-    given = members.select("band", "salt").distinct().join(of_band, "band")
-    met = members.join(given, ["band", "salt"]).where("id <> y AND component <> other").where(f"100 * least(n, yn) >= {percent} * greatest(n, yn)")
-    return met.select(F.col("id").alias("x"), "y").distinct()
+    The others of a band are given to each salt that its members have.
+    """
+    given = members.select("band", "salt").distinct().join(others.select("band", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits"), F.col("component").alias("other")), "band")
+    differing = F.lit(0)
+    for i in range(16):
+        differing = differing + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("ybits")[i]))
+    fits = (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")) & ((100 + percent) * differing <= (100 - percent) * (F.col("n") + F.col("yn")))
+    m, g = members.alias("m"), given.alias("g")
+    met = m.join(g, (F.col("m.band") == F.col("g.band")) & (F.col("m.salt") == F.col("g.salt")) & (F.col("id") != F.col("y")) & (F.col("component") != F.col("other")) & fits)
+    return met.select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     texts = keyed(docs)
-    sketched = cut(texts.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n long, a long, b long, bands array<long>"), "sketches")
+    sketched = cut(texts.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n long, a long, b long, bands array<long>, bits array<long>"), "sketches")
     # Copies of a set fold before the shuffle; bands are equal within a class.
     classes = cut(
-        sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")),
+        sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("bits").alias("bits")),
         "classes",
     )
-    placed = classes.select("id", "n", F.explode("bands").alias("band")).withColumn("salt", salt("id"))
+    placed = classes.select("id", "n", "bits", F.explode("bands").alias("band")).withColumn("salt", salt("id"))
     sizes = placed.groupBy("band", "salt").agg(F.count("*").alias("k"))
     shared = sizes.groupBy("band").agg(F.sum("k").alias("members")).where("members > 1")
     met = cut(placed.join(sizes.select("band", "salt").join(shared, "band"), ["band", "salt"]), "met")
     # How many others a class meets in all its bands.
     degrees = met.groupBy("id").agg(F.sum("members").alias("degree"))
     members = cut(met.drop("members").join(degrees, "id").withColumn("component", F.col("id")), "members")
-    sets = cut(texts.join(degrees.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
-
-    links, compared, most, grouped = None, None, 1, classes.select("id", F.col("id").alias("component")).limit(0)
-    served = members.select("band", "id").limit(0)
-    while True:
-        free = members.join(served, ["band", "id"], "left_anti")
-        centres = cut(_first_of(free, most), "centres")
-        if centres.isEmpty():
-            break
-        pairs = _paired(members, centres, percent).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "x", "y").dropDuplicates(["a", "b"])
-        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "star-pairs")
-        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
-        found = cut(confirmed(pairs.select("x", "y"), sets, percent), "confirmed")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            grouped = cut(components(links), "components")
-        served = served.union(centres.select("band", "id"))
+    release(met)
+
+    links, compared, grouped = None, None, classes.select("id", F.col("id").alias("component")).limit(0)
+    for most in (1, 16, None):
+        others = members if most is None else cut(_first_of(members, most), "centres")
+        pairs = _paired(members, others, percent)
+        pairs = cut(pairs if compared is None else pairs.join(compared, ["x", "y"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+        sets = cut(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
+        found = cut(confirmed(pairs, sets, percent), "confirmed")
+        release(sets)
+        links = found if links is None else links.union(found)
+        grouped = cut(components(links), "components")
         # Buckets that still span several components.
         labelled = members.drop("component").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = labelled.groupBy("band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         still = parts.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-        members = cut(labelled.join(parts.select("band", "salt").join(still.select("band"), "band"), ["band", "salt"]), "open-buckets")
-        most *= 4
+        if most is None or still.isEmpty():
+            break
+        before, members = members, cut(labelled.join(parts.select("band", "salt").join(still.select("band"), "band"), ["band", "salt"]), "open-buckets")
+        release(before)
 
     of_class = classes.select("n", "a", "b", "id").join(grouped, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     # Given out by salt, so that the copies of a hot set are spread over tasks; empty sets belong to no class.
