@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from meterlark.llm.common import keyed, unkeyed
 
 #: Chunks of text whose tokens a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 NEVER = 1 << 60
 #: Stands for the end of a word in the table of substrings.
 END = "\0"
@@ -196,6 +196,11 @@ class TokenAutomaton:
                 shown.append(known[1])
         return b"".join(ids), " ".join(shown)
 
+    def forget(self) -> None:
+        """Drop the words met so far; the automaton stays."""
+        self.memory.clear()
+        self.words.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs, in order, joined by one space as the library does without a decoder."""
         return " ".join(map(self.labels.__getitem__, ids.tolist()))
@@ -234,7 +239,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 part = batch.slice(first, 256)
                 counts, a, b, arrays = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    ids, shown = bpe.encode(text)
+                    ids, _ = bpe.encode(text)
+                    shown = bpe.decode(np.frombuffer(ids, dtype="<u4"))
                     counts.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(shown.encode("utf-8")).hexdigest())
@@ -246,5 +252,6 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     columns.append(pa.array(arrays, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()  # the worker may go on with other operators
 
     return unkeyed(keyed(docs).mapInArrow(run, schema))
