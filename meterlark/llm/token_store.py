@@ -154,8 +154,8 @@ class Index:
 _SPACED = re.compile(r"\s[ \n]\s")
 
 
-#: A piece that ends in ASCII symbols after a letter or digit; the pattern always cuts between the two.
-_TAILED = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)\Z", re.S)
+#: A piece that ends in these after a letter is made of two parts: the pattern always cuts between the two.
+_SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -192,20 +192,20 @@ class Encoder:
         """Remember the ids of new pieces and bare strings."""
         memory, strings = self.memory, self.bare
         old_memory, old_bare = self.older
-        tailed, whole, wanted = [], [], set()
+        tailed, whole = [], {}
         for piece in pieces:
-            ids = old_memory.get(piece)
-            if ids is not None:
-                memory[piece] = ids
-            elif (cut := _TAILED.match(piece)) is not None and cut[1][-1].isalpha():
-                tailed.append((piece, *cut.groups()))
-                if cut[1] not in memory and cut[1] not in wanted:
-                    wanted.add(cut[1])
-                    whole.append(cut[1])
-            elif piece not in wanted:
-                wanted.add(piece)
-                whole.append(piece)
-        new = dict.fromkeys(x for x in (*bare, *(t for _, _, t in tailed)) if x not in strings)
+            word = piece.rstrip(_SYMBOLS)
+            if len(word) == len(piece) or not word or not word[-1].isalpha():
+                word = piece
+            else:
+                tailed.append((piece, word))
+            if word not in memory:
+                ids = old_memory.get(word)
+                if ids is None:
+                    whole[word] = None
+                else:
+                    memory[word] = ids
+        new = dict.fromkeys(x for x in (*bare, *(p[len(w) :] for p, w in tailed)) if x not in strings)
         for x in list(new):
             if (ids := old_bare.get(x)) is not None:
                 strings[x] = ids
@@ -214,8 +214,8 @@ class Encoder:
             memory.update(zip(whole, self._library([p if p[0] == "\n" else " " + p for p in whole]), strict=True))
         if new:
             strings.update(zip(new, self._library(list(new)), strict=True))
-        for piece, word, tail in tailed:
-            memory[piece] = memory[word] + strings[tail]
+        for piece, word in tailed:
+            memory[piece] = memory[word] + strings[piece[len(word) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memory) + len(self.bare) > REMEMBERED:
