@@ -72,13 +72,13 @@ _add(
     "formats",
     _formats,
     f"""WITH {synthetic.USAGE_SQL}, v AS (SELECT *, cache_read_tokens * event_id * 7 + output_tokens AS n, event_id % 9000 * 61700 - 100000 AS ms FROM usage),
-w AS (SELECT *, CAST(floor(ms / 60000 + 0.5) AS BIGINT) AS mi, make_timestamp(us + ms * 1000) AS at FROM v)
+w AS (SELECT *, CAST(floor(ms / 60000 + 0.5) AS BIGINT) AS mi, make_timestamp(us + ms * 1000) AS due FROM v)
 SELECT event_id, CASE WHEN n >= 1e9 THEN printf('%.2f', round(n / 1e9, 2)) || 'B' WHEN n >= 1e6 THEN printf('%.1f', round(n / 1e6, 1)) || 'M' WHEN n >= 1e3 THEN CAST(floor(n / 1e3 + 0.5) AS BIGINT) || 'K' ELSE n || '' END AS tokens,
   printf('%.1f', floor(input_tokens / 8 * 10 + 0.5) / 10) || '%' AS pct, '$' || CASE WHEN output_tokens / 4096 < 0.1 THEN printf('%.3f', floor(output_tokens / 4096 * 1000 + 0.5) / 1000) ELSE printf('%.2f', floor(output_tokens / 4096 * 100 + 0.5) / 100) END AS usd,
   CASE WHEN ms <= 0 THEN '0:00' WHEN mi >= 1440 THEN (mi // 1440) || 'd ' || printf('%02d', mi % 1440 // 60) || 'h' ELSE (mi // 60) || ':' || printf('%02d', mi % 60) END AS duration,
   CASE WHEN ms <= 60000 THEN 'now' WHEN mi < 60 THEN 'in ' || mi || ' min' WHEN mi >= 1440 THEN 'in ' || (mi // 1440) || ' d' || CASE WHEN mi % 1440 // 60 > 0 THEN ' ' || (mi % 1440 // 60) || ' h' ELSE '' END
     ELSE 'in ' || (mi // 60) || ' h' || CASE WHEN mi % 60 > 0 THEN ' ' || (mi % 60) || ' min' ELSE '' END END AS until_text,
-  CASE datediff('day', CAST(ts AS DATE), CAST(at AS DATE)) WHEN 0 THEN strftime(at, '%H:%M') WHEN 1 THEN 'tomorrow ' || strftime(at, '%H:%M') ELSE strftime(at, '%m-%d %a %H:%M') END AS moment,
+  CASE datediff('day', CAST(ts AS DATE), CAST(due AS DATE)) WHEN 0 THEN strftime(due, '%H:%M') WHEN 1 THEN 'tomorrow ' || strftime(due, '%H:%M') ELSE strftime(due, '%m-%d %a %H:%M') END AS moment,
   round(greatest(0, least(1, (18000000000 - ms * 1000) / 18000000000)), 6) AS pace, CAST(floor(input_tokens / 2 + 0.5) AS BIGINT) || '%' AS tray, CASE WHEN event_id % 2 = 0 THEN '≥' ELSE '' END || CAST(floor(input_tokens / 2 + 0.5) AS BIGINT) || '%' AS cumulative,
   CASE WHEN input_tokens >= 90 THEN 'danger' WHEN input_tokens >= 70 OR input_tokens + event_id % 30 >= 95 THEN 'warn' ELSE 'ok' END AS tone,
   CAST(CASE WHEN input_tokens * 1.15 <= 10 THEN 10 WHEN input_tokens * 1.15 <= 25 THEN 25 WHEN input_tokens * 1.15 <= 50 THEN 50 WHEN input_tokens * 1.15 <= 75 THEN 75 WHEN input_tokens * 1.15 <= 100 THEN 100 ELSE 110 END AS INTEGER) AS nice_max,
