@@ -14,15 +14,24 @@ from meterlark.operators.ordered import MINUTE_US, asof_backward, segment_by
 GAP_US = 30 * MINUTE_US
 
 
-def attribute_events(events: DataFrame, proxy: DataFrame, timeline: DataFrame, default_profile: str | None = None, installed_us: int | None = None) -> DataFrame:
-    """events(request_id, us) with profile and level: before the install unknown, else the proxy log by request,
-    else the profile timeline as of the event, else the default, else unknown."""
-    with_log = events.join(proxy.select("request_id", F.col("profile").alias("_proxy")).dropDuplicates(["request_id"]), "request_id", "left")
-    with_all = asof_backward(with_log.withColumn("_k", F.lit(0)), timeline.select(F.lit(0).alias("_k"), "us", F.col("profile").alias("_line")), ["_k"], "us", "_line")
+def attribute_events(events: DataFrame, proxy: DataFrame, timeline: DataFrame, orgs: dict[str, str] | None = None, accounts: dict[str, str] | None = None, default_profile: str | None = None, installed_us: int | None = None) -> DataFrame:
+    """events(machine_id, request_id, us, org_id, account_id) with profile and level.
+
+    Before the install the default at level unknown; else the proxy log by request, the machine's profile timeline as
+    of the event, the owner (an organisation that a non-empty map lacks becomes a profile of its own), the default.
+    timeline(machine_id, us, profile). Placeholder providers and other sources of the log do not count.
+    """
+    usable = proxy.where("source = 'proxy' AND NOT startswith(provider, '_')")
+    logged = usable.groupBy("request_id").agg(F.min("provider").alias("_proxy")).where("request_id <> ''")
+    both = asof_backward(events.join(logged, "request_id", "left"), timeline.select("machine_id", "us", F.col("profile").alias("_line")), ["machine_id"], "us", "_line")
+    of = lambda mapping, key: F.coalesce(*[F.when(F.col(key) == k, v) for k, v in mapping.items()], F.lit(None).cast("string"))
+    named = F.nullif(F.col("org_id"), F.lit(""))
+    by_org = F.when(named.isNotNull(), F.coalesce(of(orgs, "org_id"), F.concat(F.lit("claude-"), F.lower(F.substring("org_id", 1, 8))))) if orgs else F.lit(None).cast("string")
+    fallback = F.coalesce(by_org, of(accounts or {}, "account_id"), F.lit(default_profile).cast("string"))
     early = F.lit(False) if installed_us is None else F.col("us") < installed_us
-    level = F.when(early, "unknown").when(F.col("_proxy").isNotNull(), "proxy").when(F.col("_line").isNotNull(), "timeline").otherwise("fallback" if default_profile else "unknown")
-    profile = F.when(early, F.lit(None)).otherwise(F.coalesce("_proxy", "_line", F.lit(default_profile)))
-    return with_all.withColumns({"profile": profile, "level": level}).drop("_proxy", "_line", "_k")
+    level = F.when(early, "unknown").when(F.col("_proxy").isNotNull(), "proxy").when(F.col("_line").isNotNull(), "timeline").when(fallback.isNotNull(), "fallback").otherwise("unknown")
+    profile = F.when(early, F.lit(default_profile).cast("string")).otherwise(F.coalesce("_proxy", "_line", fallback))
+    return both.withColumns({"profile": profile, "level": level}).drop("_proxy", "_line")
 
 
 def quiet_attribution(samples: DataFrame, events: DataFrame, keys: Sequence[str] = ("profile_id",), lead_us: int = GAP_US, gap_us: int = GAP_US) -> DataFrame:
@@ -111,46 +120,63 @@ def increases(series: DataFrame, keys: Sequence[str], segment: str, value: str)
     return stepped.withColumn("increase", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def calibrate(observations: Sequence[tuple[dict[str, float], float]], least: int = 30, rounds: int = 20_000) -> dict | None:
-    """Non-negative least squares of quota points on tokens by model; None with fewer than `least` observations.
+def solve_calibration(models: Sequence[str], gram: np.ndarray, target: np.ndarray, used: np.ndarray, square: float, rounds: int = 20_000) -> dict | None:
+    """Non-negative least squares from the normal equations, by projected gradient on scaled columns.
 
     Gives limit (tokens of the base model for 100 %), weights relative to the base (the model with most tokens
-    among those with a positive coefficient) and the relative residual.
+    among those with a positive coefficient) and the relative residual; None where nothing is positive.
     """
-    if len(observations) < least:
-        return None
-    models = sorted({m for tokens, _ in observations for m in tokens})
-    a = np.array([[tokens.get(m, 0.0) for m in models] for tokens, _ in observations])
-    b = np.array([delta / 100 for _, delta in observations])
-    scale = np.where(a.max(axis=0) > 0, a.max(axis=0), 1.0)
-    s = a / scale
-    gram, target = s.T @ s, s.T @ b
-    step = 1 / max(float(np.linalg.eigvalsh(gram).max()), 1e-300)
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    g, t = gram / np.outer(scale, scale), target / scale
+    step = 1 / max(float(np.linalg.eigvalsh(g).max()), 1e-300)
     x = np.zeros(len(models))
     for _ in range(rounds):
-        new = np.maximum(0.0, x - step * (gram @ x - target))
+        new = np.maximum(0.0, x - step * (g @ x - t))
         moved = float(np.abs(new - x).max())
         x = new
         if moved < 1e-14:
             break
     x = x / scale
-    totals = np.where(x > 0, a.sum(axis=0), -1.0)
+    totals = np.where(x > 0, used, -1.0)
     base = int(totals.argmax())
     if totals[base] < 0:
         return None
     limit = 1 / x[base]
-    return {"base": models[base], "limit": float(limit), "weights": {m: float(v * limit) for m, v in zip(models, x, strict=True)}, "residual": float(np.linalg.norm(a @ x - b) / max(float(np.linalg.norm(b)), 1e-300))}
+    left = max(float(x @ gram @ x - 2 * x @ target + square), 0.0)
+    return {"base": models[base], "limit": float(limit), "weights": {m: float(v * limit) for m, v in zip(models, x, strict=True)}, "residual": float(np.sqrt(left / max(square, 1e-300)))}
+
+
+def calibrate(observations: Sequence[tuple[dict[str, float], float]], least: int = 30) -> dict | None:
+    """solve_calibration() of (tokens by model, quota points) pairs; None with fewer than `least` of them."""
+    if len(observations) < least:
+        return None
+    models = sorted({m for tokens, _ in observations for m in tokens})
+    a = np.array([[tokens.get(m, 0.0) for m in models] for tokens, _ in observations])
+    b = np.array([delta / 100 for _, delta in observations])
+    return solve_calibration(models, a.T @ a, a.T @ b, a.sum(axis=0), float(b @ b))
 
 
 def calibration(observed: DataFrame, keys: Sequence[str] = ("profile_id",), least: int = 30) -> DataFrame:
-    """calibrate() for each key over the normal equations' rows; single-machine observations only."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observed.schema.fields if f.name in keys) + ", base string, limit_tokens double, residual double, observations long"
+    """calibrate() for each key, from its normal equations: sums by pair of models, added up where the rows are.
+
+    What reaches one task is a number for each pair of models, however many single-machine observations there are.
+    """
+    clean = observed.where("single_machine").select(*keys, "start_us", F.explode("tokens_by_model").alias("model", "tokens"), (F.col("delta_pct") / 100).alias("b"))
+    other = clean.select(*keys, "start_us", F.col("model").alias("other"), F.col("tokens").alias("other_tokens"))
+    pairs = clean.join(other, [*keys, "start_us"]).groupBy(*keys, "model", "other").agg(F.sum(F.col("tokens").cast("double") * F.col("other_tokens")).alias("gram"))
+    single = clean.groupBy(*keys, "model").agg(F.sum(F.col("tokens") * F.col("b")).alias("target"), F.sum("tokens").cast("double").alias("used"))
+    whole = observed.where("single_machine").groupBy(*keys).agg(F.count("*").alias("observations"), F.sum(F.pow(F.col("delta_pct") / 100, 2)).alias("square"))
+    rows = pairs.join(single, [*keys, "model"]).join(whole, list(keys))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observed.schema.fields if f.name in keys)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found = calibrate([(dict(t), d) for t, d in zip(group["tokens_by_model"], group["delta_pct"], strict=True)], least)
-        row = {k: group[k].iloc[0] for k in keys} | {"base": None, "limit_tokens": None, "residual": None, "observations": len(group)}
+        models = sorted(group["model"].unique())
+        gram = group.pivot_table(index="model", columns="other", values="gram", fill_value=0.0).reindex(index=models, columns=models, fill_value=0.0).to_numpy()
+        one = group.drop_duplicates("model").set_index("model").loc[models]
+        found = solve_calibration(models, gram, one["target"].to_numpy(), one["used"].to_numpy(), float(group["square"].iloc[0])) if group["observations"].iloc[0] >= least else None
+        row = {k: group[k].iloc[0] for k in keys} | {"base": None, "limit_tokens": None, "residual": None, "observations": int(group["observations"].iloc[0])}
         if found:
             row |= {"base": found["base"], "limit_tokens": round(found["limit"], 3), "residual": round(found["residual"], 6)}
         return pd.DataFrame([row])
 
-    return observed.where("single_machine").select(*keys, "tokens_by_model", "delta_pct").groupBy(*keys).applyInPandas(fit, schema)
+    return rows.groupBy(*keys).applyInPandas(fit, f"{names}, base string, limit_tokens double, residual double, observations long")

@@ -18,11 +18,14 @@ def dedup_batch(feed: DataFrame, order: str = "arrival") -> DataFrame:
 
 
 def dedup_upsert(feed: DataFrame, order: str = "arrival") -> DataFrame:
-    """Identity columns of the first arrival with the usage columns of the highest rank (first arrival on a tie)."""
+    """Identity columns of the first arrival with the usage columns of the highest rank (first arrival on a tie).
+
+    Rows without a request id never replace what is there: of those the first arrival stays whole.
+    """
     identity = [c for c in feed.columns if c not in USAGE_COLUMNS]
     merged = feed.groupBy(dedup_key().alias("dedup_key")).agg(
         F.min_by(F.struct(*identity), F.struct(order, "event_id")).alias("i"),
-        F.max_by(F.struct(*USAGE_COLUMNS), F.struct(usage_rank(), -F.col(order), -F.col("event_id"))).alias("u"),
+        F.max_by(F.struct(*USAGE_COLUMNS), F.struct(F.when(F.col("request_id") == "", F.lit(0)).otherwise(usage_rank()), -F.col(order), -F.col("event_id"))).alias("u"),
         F.count("*").alias("copies"),
     )
     return merged.select("dedup_key", "i.*", "u.*", "copies")

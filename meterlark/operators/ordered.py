@@ -22,13 +22,21 @@ def segment_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts:
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
-    """left with the value of the latest right row at or before its time: union and running last, one shuffle, linear."""
+def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, bucket_us: int = 24 * HOUR_US) -> DataFrame:
+    """left with the value of the latest right row at or before its time (null values are passed over).
+
+    Both sides are sorted together within a key and a bucket of time, so a key with a long history is many tasks.
+    What a bucket begins with comes from a table of one row for each key and bucket.
+    """
     a = left.withColumns({"_side": F.lit(1), value: F.lit(None).cast(right.schema[value].dataType)})
     b = right.select(*keys, time, value).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col(time) / bucket_us))
+    ends = both.groupBy(*keys, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(time))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_begin"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1")
+    return filled.join(begins, [*keys, "_bucket"], "left").withColumn(value, F.coalesce(value, "_begin")).drop("_side", "_bucket", "_begin")
 
 
 def lanes(events: DataFrame, gap_us: int = 5 * MINUTE_US, key: str = "machine_id") -> DataFrame:

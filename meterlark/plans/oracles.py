@@ -38,6 +38,9 @@ def _series(unit: str) -> str:
 
 _RANK = "output_tokens * 3 + CASE WHEN output_final THEN 2 WHEN NOT output_final THEN 1 ELSE 0 END"
 
+_SEMANTIC = "left(sha256(concat_ws('|', session_id, us // 1000, model, input_tokens, output_tokens, cache_read_tokens, cache_write_5m_tokens, cache_write_1h_tokens)), 32)"
+_KEY = f"CASE WHEN message_id <> '' AND request_id <> '' THEN message_id || '|' || request_id ELSE 'sem|' || {_SEMANTIC} END"
+
 _LANES = """{cte}, lagged AS (SELECT machine_id, us, tokens, lag(us) OVER (PARTITION BY machine_id ORDER BY us) AS p FROM counted),
 numbered AS (SELECT *, sum(CASE WHEN us - p > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY machine_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS span FROM lagged),
 lanes AS (SELECT machine_id, CAST(span AS BIGINT) AS span, min(us) AS from_us, max(us) AS to_us, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM numbered GROUP BY 1, 2)"""
@@ -148,10 +151,10 @@ SELECT CAST(i // 24 AS INTEGER) AS weekday, CAST(i % 24 AS INTEGER) AS hour, CAS
 SELECT title, project, machine_id, arg_min(session_id, (f, session_id)) AS session_id, count(DISTINCT session_id) AS members, {_sum("t")} AS total_tokens FROM s GROUP BY 1, 2, 3""",
     "treemap_areas": f"{_distribution('project', True)}, n AS (SELECT count(*) AS n, sum(total_tokens) AS a FROM dist) SELECT key, round(least(0.02, 0.25 / n) + (1 - least(0.02, 0.25 / n) * n) * total_tokens / a, 6) AS area FROM dist, n",
     "scratch_labels": f"WITH {PRICED_SQL}, s AS (SELECT project, session_id, sum(tokens) AS t FROM priced WHERE project IS NOT NULL GROUP BY ALL) SELECT project, arg_max(session_id, (t, session_id)) AS top_session, count(*) AS sessions FROM s GROUP BY 1",
-    "dedup_batch": f"""WITH {FEED_SQL} SELECT message_id || '|' || request_id AS dedup_key, event_id, machine_id, output_tokens, arrival FROM feed WHERE request_id <> ''
-QUALIFY row_number() OVER (PARTITION BY message_id, request_id ORDER BY {_RANK} DESC, arrival) = 1""",
-    "dedup_upsert": f"""WITH {FEED_SQL} SELECT message_id || '|' || request_id AS dedup_key, arg_min(event_id, arrival) AS event_id, arg_min(machine_id, arrival) AS machine_id, arg_max(output_tokens, ({_RANK}, -arrival)) AS output_tokens, count(*) AS copies
-FROM feed WHERE request_id <> '' GROUP BY message_id, request_id""",
+    "dedup_batch": f"""WITH {FEED_SQL}, k AS (SELECT *, {_KEY} AS dedup_key FROM feed) SELECT dedup_key, event_id, machine_id, output_tokens, arrival FROM k
+QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY {_RANK} DESC, arrival, event_id) = 1""",
+    "dedup_upsert": f"""WITH {FEED_SQL}, k AS (SELECT *, {_KEY} AS dedup_key FROM feed) SELECT dedup_key, arg_min(event_id, (arrival, event_id)) AS event_id, arg_min(machine_id, (arrival, event_id)) AS machine_id,
+  CASE WHEN bool_or(request_id = '') THEN arg_min(output_tokens, (arrival, event_id)) ELSE arg_max(output_tokens, ({_RANK}, -arrival, -event_id)) END AS output_tokens, count(*) AS copies FROM k GROUP BY dedup_key""",
     "latest_per_kind": f"WITH {QUOTA_SQL}, {_LATEST} SELECT profile_id, window_kind, CASE window_kind WHEN 'five_hour' THEN '5h' ELSE '7d' END AS label, us, pct, least(100, greatest(0, 100 - pct)) AS waste_pct, resets_us - {_WIDTH} AS start_us FROM latest",
     "active_profile": f"WITH {USAGE_SQL} SELECT profile_id, max(us) AS last_us FROM usage GROUP BY 1 ORDER BY last_us DESC, profile_id LIMIT 1",
     "quota_resets_rounded": f"WITH {QUOTA_SQL} SELECT DISTINCT profile_id, window_kind, CAST(floor(resets_us / 600000000 + 0.5) AS BIGINT) * 600 AS reset_s FROM quota",
@@ -213,12 +216,9 @@ SELECT profile_id, count(*) AS sessions, round(avg(CASE WHEN (b - 1) // {5 * _H}
 d AS (SELECT *, unnest(range(from_us // 86400000000, (to_us - 1) // 86400000000 + 1)) AS day FROM sp)
 SELECT d.profile_id, from_us, to_us, round(sum((least(to_us, (day + 1) * 86400000000) - greatest(from_us, day * 86400000000)) / 86400000000 * w.weight), 5) AS weight
 FROM d JOIN weights w ON w.profile_id = d.profile_id AND w.weekday = (day + 4) % 7 GROUP BY 1, 2, 3""",
-    "timeline_asof": f"""WITH {PRICED_SQL}, {QUOTA_SQL} SELECT e.event_id, e.profile_id, q.pct FROM (SELECT * FROM counted WHERE event_id % 3 = 0) e
-ASOF LEFT JOIN (SELECT * FROM quota WHERE window_kind = 'five_hour') q ON q.profile_id = e.profile_id AND e.us >= q.us""",
-    "quiet_attribution": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, {_quiet("SELECT profile_id, us, pct FROM quota WHERE window_kind = 'five_hour'", "SELECT profile_id, us FROM counted WHERE event_id % 40 = 1", "profile_id")} SELECT * FROM quiet""",
-    "timeline_asof_all": f"""WITH {PRICED_SQL}, {QUOTA_SQL} SELECT e.event_id, e.profile_id, q.pct FROM counted e
+    "timeline_asof": f"""WITH {PRICED_SQL}, {QUOTA_SQL} SELECT e.event_id, e.profile_id, q.pct FROM counted e
 ASOF LEFT JOIN (SELECT * FROM quota WHERE window_kind = 'five_hour') q ON q.profile_id = e.profile_id AND e.us >= q.us""",
-    "quiet_attribution_all": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, {_quiet("SELECT profile_id, us, pct FROM quota WHERE window_kind = 'five_hour'", "SELECT profile_id, us FROM counted", "profile_id")} SELECT * FROM quiet""",
+    "quiet_attribution": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, {_quiet("SELECT profile_id, us, pct FROM quota WHERE window_kind = 'five_hour'", "SELECT profile_id, us FROM counted", "profile_id")} SELECT * FROM quiet""",
     "calib_observations": f"""WITH {PRICED_SQL}, {QUOTA_SQL}, s AS (SELECT *, lead(us) OVER w AS end_us, lead(pct) OVER w - pct AS delta_pct FROM quota WHERE window_kind = 'seven_day' WINDOW w AS (PARTITION BY profile_id ORDER BY us))
 SELECT s.profile_id, s.us AS start_us, s.end_us, s.delta_pct, CAST(sum(c.tokens) AS BIGINT) AS tokens, count(DISTINCT c.machine_id) <= 1 AS single_machine
 FROM s JOIN counted c ON c.profile_id = s.profile_id AND c.us >= s.us AND c.us < s.end_us WHERE s.end_us > s.us AND s.end_us - s.us <= 1800000000 AND s.delta_pct > 0 GROUP BY 1, 2, 3, 4""",
@@ -237,3 +237,4 @@ SELECT profile_id, us, round(sum(CASE WHEN q IS NULL OR qr <> resets_us OR qs <>
 c AS (SELECT l.profile_id, p.period, CAST(round(sum(l.cost_usd), 6) AS DOUBLE) AS cost_usd FROM ledger l ASOF JOIN five p ON p.profile_id = l.profile_id AND l.us >= p.first_us GROUP BY 1, 2)
 SELECT f.profile_id, f.period, f.cumulative_pct, c.cost_usd, CASE WHEN f.cumulative_pct >= 20 THEN round(c.cost_usd / f.cumulative_pct * 100, 4) END AS full_cost_usd FROM five f LEFT JOIN c USING (profile_id, period)""",
 }
+ORACLES |= {"timeline_asof_all": ORACLES["timeline_asof"], "quiet_attribution_all": ORACLES["quiet_attribution"]}

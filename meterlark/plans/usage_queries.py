@@ -100,12 +100,12 @@ def scratch_labels(spark, sf_dir):
 
 
 def dedup_batch(spark, sf_dir):
-    d = dedup.dedup_batch(synthetic.usage_feed(spark, sf_dir).where("request_id <> ''"))
+    d = dedup.dedup_batch(synthetic.usage_feed(spark, sf_dir))
     return d.select("dedup_key", "event_id", "machine_id", "output_tokens", "arrival")
 
 
 def dedup_upsert(spark, sf_dir):
-    d = dedup.dedup_upsert(synthetic.usage_feed(spark, sf_dir).where("request_id <> ''"))
+    d = dedup.dedup_upsert(synthetic.usage_feed(spark, sf_dir))
     return d.select("dedup_key", "event_id", "machine_id", "output_tokens", "copies")
 
 
@@ -220,25 +220,12 @@ def calendar_weight(spark, sf_dir):
 
 
 def timeline_asof(spark, sf_dir):
-    # A third of the events, as its twin; timeline_asof_all takes them all.
-    events = _tokens(spark, sf_dir).where("event_id % 3 = 0").select("profile_id", "event_id", "us")
-    points = _quota(spark, sf_dir, "five_hour").select("profile_id", "us", "pct")
-    return ordered.asof_backward(events, points, ["profile_id"], "us", "pct").select("event_id", "profile_id", "pct")
-
-
-def quiet_attribution(spark, sf_dir):
-    # One event in 40, as its twin, so that some spans are quiet; quiet_attribution_all takes them all.
-    events = _tokens(spark, sf_dir).where("event_id % 40 = 1").select("profile_id", "us")
-    return attribution.quiet_attribution(_quota(spark, sf_dir, "five_hour"), events)
-
-
-def timeline_asof_all(spark, sf_dir):
     events = _tokens(spark, sf_dir).select("profile_id", "event_id", "us")
     points = _quota(spark, sf_dir, "five_hour").select("profile_id", "us", "pct")
     return ordered.asof_backward(events, points, ["profile_id"], "us", "pct").select("event_id", "profile_id", "pct")
 
 
-def quiet_attribution_all(spark, sf_dir):
+def quiet_attribution(spark, sf_dir):
     return attribution.quiet_attribution(_quota(spark, sf_dir, "five_hour"), _tokens(spark, sf_dir).select("profile_id", "us"))
 
 
@@ -264,7 +251,7 @@ def isotonic_fit(spark, sf_dir):
 
 def calibration_nnls(spark, sf_dir):
     o = attribution.interval_usage(_quota(spark, sf_dir, "seven_day"), _tokens(spark, sf_dir).select("profile_id", "us", "model", "tokens", "machine_id"))
-    return attribution.calibration(o.withColumn("single_machine", F.lit(True)))
+    return attribution.calibration(o)
 
 
 def _ledger(spark, sf_dir):
@@ -312,9 +299,11 @@ QUERIES |= {
     for f in (
         usage_hourly, models_seen, unpriced_models, usage_totals, share_pct, top_n_rest, heat_grid, cache_trend, attribution_shares, event_cost, fork_merge, treemap_areas, scratch_labels,
         dedup_batch, dedup_upsert, latest_per_kind, active_profile, quota_resets_rounded, timeline_lanes, lane_overlaps, gantt_split, usage_blocks, reset_segments, samples_of_window,
-        window_projection, calendar_projection, windows_current, multi_machine_overlap, session_cut_rate, window_metrics, weekday_weights, calendar_weight, timeline_asof, quiet_attribution, timeline_asof_all, quiet_attribution_all, calib_observations,
+        window_projection, calendar_projection, windows_current, multi_machine_overlap, session_cut_rate, window_metrics, weekday_weights, calendar_weight, timeline_asof, quiet_attribution, calib_observations,
         limit_ratio, noncode_increase, isotonic_fit, calibration_nnls, b_usage_model, b_usage_day, b_coverage, b_periods, b_full_cost,
     )
 }
+# Older names of the same queries, from when the plain ones kept a part of the events.
+QUERIES |= {"timeline_asof_all": lambda spark, sf_dir: timeline_asof(spark, sf_dir), "quiet_attribution_all": lambda spark, sf_dir: quiet_attribution(spark, sf_dir)}
 for _name, _query in QUERIES.items():
     _query.__name__ = _name

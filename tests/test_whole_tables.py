@@ -11,7 +11,7 @@ MINUTE = 60_000_000
 
 def test_every_counted_event_is_placed(spark):
     counted = q._tokens(spark, SF_DIR).select("event_id")
-    placed = q.timeline_asof_all(spark, SF_DIR)
+    placed = q.timeline_asof(spark, SF_DIR)
     assert placed.count() == counted.count() and counted.join(placed, "event_id", "left_anti").count() == 0
 
 
@@ -20,7 +20,7 @@ def test_every_counted_event_makes_a_span_busy(spark):
     samples = q._quota(spark, SF_DIR, "five_hour")
     s = samples.select("profile_id", F.col("us").alias("at"), "pct").toPandas().sort_values(["profile_id", "at"], kind="stable")
     e = {p: sorted(g["us"]) for p, g in counted.toPandas().groupby("profile_id")}
-    for row in q.quiet_attribution_all(spark, SF_DIR).collect():
+    for row in q.quiet_attribution(spark, SF_DIR).collect():
         own = s[s["profile_id"] == row["profile_id"]]
         at, pct, quiet = own["at"].tolist(), own["pct"].tolist(), 0
         for i in range(1, len(at)):
