@@ -10,12 +10,13 @@ every element in bin j, so that every coordinate fills; sets of t log t elements
 2. In each band bucket every class is paired with one centre alone (a star, never all pairs). The centre is the
    class that meets most others in its bands: what near copies were made from is closer to each of them than
    they are to each other. Pairs are confirmed on the full sets; connected components follow.
-3. A link that no star shows lies inside a bucket that still spans several components: 16 more stars follow, and in
-   what is open then all members of different components are compared, so no candidate is left out.
+3. A link that no star shows lies inside a bucket that still spans several components: there all members of
+   different components are compared, so no candidate is left out.
 
 Before a pair leaves the comparison of a bucket it must pass a bound that loses no link: each set has a parity
-sketch of 1024 bits, and two sketches differ in no more bits than the sets in elements. Rows of one bucket, hub or
-class are spread by salt over `SALTS` tasks; only sums and minima meet in one.
+sketch of 1024 bits, and two sketches differ in no more bits than the sets in elements. In step 3 the members of a
+bucket are spread by salt over `SALTS` tasks. Joins on a bucket, hub or class that many rows share carry ids and
+counts alone and are left to the skew handling of adaptive execution.
 
 At a similarity of 0.8 a pair shares none of 40 bands of 6 rows with probability 5e-6.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, release, salt, seeded, text_chunks, unkeyed, word_hashes
@@ -131,14 +132,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", common.alias("i"), (F.size("xs") + F.size("ys") - common).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("x", "y")
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges(x, y) with m, the smallest y of x; the edges of a hub are spread by salt."""
-    salted = edges.withColumn("salt", salt("y"))
-    parts = salted.groupBy("x", "salt").agg(F.min("y").alias("m"))
-    given = parts.select("x", "salt").join(parts.groupBy("x").agg(F.min("m").alias("m")), "x")
-    return salted.join(given, ["x", "salt"]).select("x", "y", "m")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of a link (x, y) reaches; alternating large and small stars."""
     edges = cut(links.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
@@ -148,41 +141,48 @@ def components(links: DataFrame) -> DataFrame:
 
     now = mark(edges)
     while now[0]:
+        both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         # Large star: larger neighbours of u go to the smallest neighbour of u, or to u.
-        both = _with_least(edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-        large = cut(both.where("y > x").select(F.col("y").alias("x"), F.least("m", "x").alias("y")).distinct(), "large-star")
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         # Small star: smaller neighbours of u, and u, go to the smallest of them.
-        near = _with_least(large)
-        small = near.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = cut(small.union(large.groupBy("x").agg(F.min("y").alias("y"))).where("x <> y").distinct(), "links")
+        lowest = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(lowest, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        edges, old = cut(small.union(lowest.select("x", F.col("m").alias("y"))).where("x <> y").distinct(), "links"), edges
+        release(old)
         before, now = now, mark(edges)
         if now == before:
             break
     return edges.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "id")
 
 
-def _first_of(members: DataFrame, most: int) -> DataFrame:
-    """The `most` members of each band with the largest degree, smaller ids first."""
-    order = [F.col("degree").desc(), F.col("id")]
-    some = members.withColumn("_r", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("_r") <= most)
-    return some.withColumn("_r", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("_r") <= most).drop("_r")
-
-
-def _paired(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of members and others of their band, of different components, that may be similar enough.
-
-    The others of a band are given to each salt that its members have.
-    """
-    given = members.select("band", "salt").distinct().join(others.select("band", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits"), F.col("component").alias("other")), "band")
+def _may_link(percent: int):
+    """Whether (n, bits) and (yn, ybits) may be similar enough, by sizes and by the parity bound."""
     differing = F.lit(0)
     for i in range(16):
         differing = differing + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("ybits")[i]))
-    fits = (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")) & ((100 + percent) * differing <= (100 - percent) * (F.col("n") + F.col("yn")))
-    m, g = members.alias("m"), given.alias("g")
-    met = m.join(g, (F.col("m.band") == F.col("g.band")) & (F.col("m.salt") == F.col("g.salt")) & (F.col("id") != F.col("y")) & (F.col("component") != F.col("other")) & fits)
+    return (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")) & ((100 + percent) * differing <= (100 - percent) * (F.col("n") + F.col("yn")))
+
+
+def _ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct()
 
 
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of each member with the centre of its band: the member of largest degree, the smallest id on a tie."""
+    centres = members.groupBy("band").agg(F.max_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits")), F.struct(F.col("degree"), -F.col("id"))).alias("c")).select("band", "c.*")
+    return _ordered_pairs(members.join(centres, "band").where(F.col("id") != F.col("y")).where(_may_link(percent)))
+
+
+def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members of a band that are of different components; the members are spread by salt."""
+    salted = members.withColumn("salt", salt("id"))
+    others = members.select("band", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits"), F.col("component").alias("other"))
+    given = salted.select("band", "salt").distinct().join(others, "band").withColumnsRenamed({"band": "yband", "salt": "ysalt"})
+    same = (F.col("band") == F.col("yband")) & (F.col("salt") == F.col("ysalt")) & (F.col("id") < F.col("y")) & (F.col("component") != F.col("other"))
+    return _ordered_pairs(salted.join(given, same & _may_link(percent)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     texts = keyed(docs)
@@ -192,35 +192,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
         sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("bits").alias("bits")),
         "classes",
     )
-    placed = classes.select("id", "n", "bits", F.explode("bands").alias("band")).withColumn("salt", salt("id"))
-    sizes = placed.groupBy("band", "salt").agg(F.count("*").alias("k"))
-    shared = sizes.groupBy("band").agg(F.sum("k").alias("members")).where("members > 1")
-    met = cut(placed.join(sizes.select("band", "salt").join(shared, "band"), ["band", "salt"]), "met")
+    placed = classes.select("id", "n", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    met = cut(placed.join(shared, "band"), "met")
     # How many others a class meets in all its bands.
-    degrees = met.groupBy("id").agg(F.sum("members").alias("degree"))
-    members = cut(met.drop("members").join(degrees, "id").withColumn("component", F.col("id")), "members")
+    degrees = met.groupBy("id").agg(F.sum("members").alias("degree")).join(classes.select("id", "bits"), "id")
+    members = cut(met.drop("members").join(degrees, "id"), "members")
     release(met)
 
-    links, compared, grouped = None, None, classes.select("id", F.col("id").alias("component")).limit(0)
-    for most in (1, 16, None):
-        others = members if most is None else cut(_first_of(members, most), "centres")
-        pairs = _paired(members, others, percent)
-        pairs = cut(pairs if compared is None else pairs.join(compared, ["x", "y"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
+    def links_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
         sets = cut(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
         found = cut(confirmed(pairs, sets, percent), "confirmed")
         release(sets)
-        links = found if links is None else links.union(found)
-        grouped = cut(components(links), "components")
-        # Buckets that still span several components.
-        labelled = members.drop("component").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = labelled.groupBy("band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        still = parts.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-        if most is None or still.isEmpty():
-            break
-        before, members = members, cut(labelled.join(parts.select("band", "salt").join(still.select("band"), "band"), ["band", "salt"]), "open-buckets")
-        release(before)
+        return found
+
+    pairs = cut(_star_pairs(members, percent), "star-pairs")
+    links = links_of(pairs)
+    grouped = cut(components(links), "components")
+    # Buckets that still span several components.
+    labelled = members.drop("degree").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    still = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    opened = cut(labelled.join(still, "band"), "open-buckets")
+    more = cut(_open_pairs(opened, percent).join(pairs, ["x", "y"], "left_anti"), "open-pairs")
+    release(opened, members)
+    if not more.isEmpty():
+        grouped = components(links.union(links_of(more)))
 
     of_class = classes.select("n", "a", "b", "id").join(grouped, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     # Given out by salt, so that the copies of a hot set are spread over tasks; empty sets belong to no class.
