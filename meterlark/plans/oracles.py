@@ -238,3 +238,13 @@ c AS (SELECT l.profile_id, p.period, CAST(round(sum(l.cost_usd), 6) AS DOUBLE) A
 SELECT f.profile_id, f.period, f.cumulative_pct, c.cost_usd, CASE WHEN f.cumulative_pct >= 20 THEN round(c.cost_usd / f.cumulative_pct * 100, 4) END AS full_cost_usd FROM five f LEFT JOIN c USING (profile_id, period)""",
 }
 ORACLES |= {"timeline_asof_all": ORACLES["timeline_asof"], "quiet_attribution_all": ORACLES["quiet_attribution"]}
+
+# Least squares under order in closed form: the largest of the least means around each value.
+ORACLES["isotonic_fit"] = f"""WITH {QUOTA_SQL}, y AS (
+  SELECT profile_id, resets_us, us, pct + us % 7 AS y, row_number() OVER w AS i, sum(pct + us % 7) OVER w AS c FROM quota WHERE window_kind = 'seven_day' WINDOW w AS (PARTITION BY profile_id, resets_us ORDER BY us)
+), m AS (
+  SELECT a.profile_id, a.resets_us, a.i AS a, z.i AS z, (z.c - a.c + a.y) / (z.i - a.i + 1) AS mean FROM y a JOIN y z ON a.profile_id = z.profile_id AND a.resets_us = z.resets_us AND z.i >= a.i
+), l AS (
+  SELECT profile_id, resets_us, z, min(mean) OVER (PARTITION BY profile_id, resets_us, a ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM m
+), f AS (SELECT profile_id, resets_us, z AS i, max(least) AS fitted FROM l GROUP BY 1, 2, 3)
+SELECT profile_id, us, round(fitted, 6) AS fitted FROM y JOIN f USING (profile_id, resets_us, i)"""

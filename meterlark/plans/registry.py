@@ -11,7 +11,7 @@ from meterlark.plans.oracles import ORACLES
 
 _MORE = (source_queries, presentation_queries, window_queries, collector_queries)
 
-FLAGSHIP = "windows_current"
+FLAGSHIP = "windows_current_full"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -176,17 +176,23 @@ def calendar_projection(spark, sf_dir):
 def windows_current(spark, sf_dir):
     """The current state of every window: cumulative use, resets, projection, and what of it came from elsewhere.
 
-    All windows are projected by recent rates, as in the twin; calendar_projection has the long ones by weekday.
+    All windows are projected by recent rates, as in the twin; windows_current_full has the long ones by weekday. The
+    samples of the current windows, which time bounds, are kept for the three operators that read them.
     """
+    keys = ["profile_id", "window_kind"]
     q = _quota(spark, sf_dir)
-    last = dedup.latest_by(q, ["profile_id", "window_kind"], "us").select("profile_id", "window_kind", "resets_us")
-    current = q.join(F.broadcast(last), ["profile_id", "window_kind", "resets_us"])
+    # The reset alone: nothing else of the samples has to be computed for it.
+    last = q.groupBy(*keys).agg(F.max_by("resets_us", "us").alias("resets_us"))
+    current = q.join(F.broadcast(last), [*keys, "resets_us"]).persist()
     state = ordered.cumulative_usage(current)
-    keys = ["profile_id", "window_kind"]
     events = _tokens(spark, sf_dir).select("profile_id", "us")
-    kinds = last.select("profile_id", "window_kind")
-    quiet = attribution.quiet_attribution(current, events.join(F.broadcast(kinds), "profile_id"), keys)
-    projected = window_projection(spark, sf_dir).select(*keys, "rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms")
+    first = current.groupBy(*keys).agg((F.min("us") - attribution.GAP_US).alias("_from"))
+    # Only events that a sample of the window can see.
+    near = events.join(F.broadcast(first), "profile_id").where("us >= _from").drop("_from")
+    quiet = attribution.quiet_attribution(current, near, keys)
+    cut = ordered.reset_segments(current)
+    newest = cut.groupBy(*keys).agg(F.max("segment").alias("segment"))
+    projected = ordered.project(cut.join(F.broadcast(newest), [*keys, "segment"]), _now(spark, sf_dir)).select(*keys, "rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms")
     return state.join(projected, keys).join(quiet, keys).select(*keys, window_label().alias("label"), "resets_us", "cumulative_pct", "resets", "rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms", "observed_pct", "other_pct", "ambiguous_pct", "quiet_spans", "gaps")
 
 
@@ -250,8 +256,9 @@ def isotonic_fit(spark, sf_dir):
 
 
 def calibration_nnls(spark, sf_dir):
-    o = attribution.interval_usage(_quota(spark, sf_dir, "seven_day"), _tokens(spark, sf_dir).select("profile_id", "us", "model", "tokens", "machine_id"))
-    return attribution.calibration(o)
+    """The fit of each profile over a feed that one machine for each profile collects, as the operator asks."""
+    events = _tokens(spark, sf_dir).select("profile_id", "us", "model", "tokens", F.concat(F.lit("m"), "profile_id").alias("machine_id"))
+    return attribution.calibration(attribution.interval_usage(_quota(spark, sf_dir, "seven_day"), events))
 
 
 def _ledger(spark, sf_dir):

@@ -339,3 +339,50 @@ e AS (SELECT f.*, reference_usd, windows, k, CASE WHEN cost_usd > 0 AND cumulati
 SELECT profile_id, period, reference_usd, windows, round(CASE WHEN reference_usd IS NOT NULL AND (cumulative_pct < 20 OR own IS NULL) THEN reference_usd ELSE own END, 4) AS usd,
   CASE WHEN reference_usd IS NOT NULL AND (cumulative_pct < 20 OR own IS NULL) THEN 'reference' WHEN own IS NOT NULL THEN 'current' END AS basis, CASE WHEN reference_usd IS NOT NULL AND (cumulative_pct < 20 OR own IS NULL) THEN false WHEN own IS NOT NULL THEN k > 0 END AS lower_bound FROM e""",
 )
+
+
+# --- the flagship ---------------------------------------------------------------------------------------
+
+
+def _full(spark, sf):
+    """The whole state of every current window.
+
+    Cumulative use, projection (short windows by recent rates, long ones by weekday weights), what came from
+    elsewhere, and for short windows who used it, how much they overlapped and how far the local block is off.
+    """
+    now = uq._now(spark, sf)
+    base = uq.windows_current(spark, sf)
+    long = uq.calendar_projection(spark, sf).select("profile_id", F.lit("seven_day").alias("window_kind"), *[F.col(c).alias(f"_{c}") for c in ("rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms")])
+    last = _latest(spark, sf)
+    short = last.where("window_kind = 'five_hour'").select("profile_id", (F.col("resets_us") - FIVE).alias("start_us"), F.col("resets_us").alias("end_us"))
+    inside = windows.in_ranges(uq._tokens(spark, sf).select("profile_id", "us", "machine_id", "tokens"), short, ["profile_id"], FIVE)
+    used = inside.groupBy("profile_id").agg(F.array_join(F.array_sort(F.collect_set("machine_id")), ",").alias("machines"), F.count("*").alias("events"), F.sum("tokens").alias("tokens"))
+    overlap = ordered.multi_machine_overlap(inside, ["profile_id"], "start_us", "end_us").select("profile_id", "overlap")
+    offset = windows.window_offset(last.where("window_kind = 'five_hour'").select("profile_id", "resets_us"), ordered.blocks(uq._tokens(spark, sf))).select("profile_id", "offset_min")
+    metrics = short.select("profile_id", F.lit("five_hour").alias("window_kind")).join(used, "profile_id", "left").join(overlap, "profile_id", "left").join(offset, "profile_id", "left")
+    stale = last.select("profile_id", "window_kind", (F.lit(now) - F.col("us") > 900_000_000).alias("stale"))
+    joined = base.join(long, ["profile_id", "window_kind"], "left").join(metrics, ["profile_id", "window_kind"], "left").join(stale, ["profile_id", "window_kind"])
+    by_kind = lambda c: F.when(F.col("window_kind") == "seven_day", F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select(
+        "profile_id", "window_kind", "label", "resets_us", "cumulative_pct", "resets", *[by_kind(c) for c in ("rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms")],
+        "observed_pct", "other_pct", "ambiguous_pct", "quiet_spans", "gaps", F.greatest(F.lit(0.0), F.round(F.col("cumulative_pct") - F.col("other_pct"), 6)).alias("local_pct"), "machines", "events", "tokens", "overlap", "offset_min", "stale",
+    )
+
+
+_KINDS = ", ".join(f"CASE w.window_kind WHEN 'seven_day' THEN c.{c} ELSE w.{c} END AS {c}" for c in ("rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms"))
+
+
+def _full_sql() -> str:
+    from meterlark.plans.oracles import ORACLES as older
+
+    return f"""WITH RECURSIVE {PRICED_SQL}, {QUOTA_SQL}, {_LATEST}, {_NOW}, ie AS (
+  SELECT c.profile_id, c.us, c.machine_id, c.tokens, l.resets_us FROM counted c JOIN latest l ON l.profile_id = c.profile_id AND l.window_kind = 'five_hour' AND c.us >= l.resets_us - {FIVE} AND c.us < l.resets_us
+), used AS (SELECT profile_id, array_to_string(list_sort(list(DISTINCT machine_id)), ',') AS machines, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM ie GROUP BY 1),
+mi AS (SELECT profile_id, (us - resets_us + {FIVE}) // 60000000 AS m, count(DISTINCT machine_id) AS k FROM ie GROUP BY 1, 2), ov AS (SELECT profile_id, round(count(*) FILTER (k >= 2) / 300, 6) AS overlap FROM mi GROUP BY 1)
+SELECT w.profile_id, w.window_kind, w.label, w.resets_us, w.cumulative_pct, w.resets, {_KINDS}, w.observed_pct, w.other_pct, w.ambiguous_pct, w.quiet_spans, w.gaps, greatest(0, round(w.cumulative_pct - w.other_pct, 6)) AS local_pct,
+  u.machines, u.events, u.tokens, ov.overlap, o.offset_min, n - l.us > 900000000 AS stale
+FROM ({older["windows_current"]}) w LEFT JOIN ({older["calendar_projection"]}) c ON c.profile_id = w.profile_id AND w.window_kind = 'seven_day' LEFT JOIN used u ON u.profile_id = w.profile_id AND w.window_kind = 'five_hour'
+LEFT JOIN ov ON ov.profile_id = w.profile_id AND w.window_kind = 'five_hour' LEFT JOIN ({ORACLES["window_offset"]}) o ON o.profile_id = w.profile_id AND w.window_kind = 'five_hour' JOIN latest l ON l.profile_id = w.profile_id AND l.window_kind = w.window_kind, now"""
+
+
+_add("windows_current_full", _full, _full_sql())
