@@ -11,12 +11,13 @@ every element in bin j, so that every coordinate fills; sets of t log t elements
    class that meets most others in its bands: what near copies were made from is closer to each of them than
    they are to each other. Pairs are confirmed on the full sets; connected components follow.
 3. A link that no star shows lies inside a bucket that still spans several components: there all members of
-   different components are compared, so no candidate is left out.
+   different components are compared, so no candidate is left out. The members of a bucket are packed into blocks
+   of about `BLOCK`, and each pair of blocks is compared by one numpy step, so that what Spark joins and shuffles
+   is blocks and the few pairs that are left.
 
-Before a pair leaves the comparison of a bucket it must pass a bound that loses no link: each set has a parity
-sketch of 1024 bits, and two sketches differ in no more bits than the sets in elements. In step 3 the members of a
-bucket are spread by salt over `SALTS` tasks. Joins on a bucket, hub or class that many rows share carry ids and
-counts alone and are left to the skew handling of adaptive execution.
+Before a pair leaves such a comparison it must pass a bound that loses no link: each set has a parity sketch of
+1024 bits, and two sketches differ in no more bits than the sets in elements. Joins on a bucket, hub or class that
+many rows share carry ids and counts alone and are left to the skew handling of adaptive execution.
 
 At a similarity of 0.8 a pair shares none of 40 bands of 6 rows with probability 5e-6.
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from meterlark.llm.common import NO_ID, cut, gram_hashes, keyed, mix, ranges_hash, release, salt, seeded, text_chunks, unkeyed, word_hashes
 
 BANDS, ROWS, PERCENT = 40, 6, 80
+#: Members of a block, about.
+BLOCK = 512
 _U = np.uint64
 _ROUND_SEEDS = seeded(77, 4096)
 _PARITY_SEED = seeded(78, 1)[0]
@@ -174,13 +177,38 @@ def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     return _ordered_pairs(members.join(centres, "band").where(F.col("id") != F.col("y")).where(_may_link(percent)))
 
 
+def _compare(percent: int):
+    """Pairs (x, y) of two blocks that are of different components and may be similar enough."""
+
+    def members(row: list[dict]) -> tuple[np.ndarray, ...]:
+        ids, n, component = (np.array([m[c] for m in row], dtype=np.int64) for c in ("id", "n", "component"))
+        return ids, n, component, np.array([m["bits"] for m in row], dtype=np.int64).view(_U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, n, of, bits), (yids, yn, yof, ybits) = (members(batch.column(c)[i].as_py()) for c in ("left", "right"))
+                found = [np.zeros((2, 0), np.int64)]
+                for a in range(0, len(ids), 64):  # some megabytes at a time
+                    both = n[a : a + 64, None] + yn[None, :]
+                    fits = (of[a : a + 64, None] != yof[None, :]) & (100 * np.minimum(n[a : a + 64, None], yn[None, :]) >= percent * np.maximum(n[a : a + 64, None], yn[None, :]))
+                    differing = np.bitwise_count(bits[a : a + 64, None, :] ^ ybits[None, :, :]).sum(axis=2, dtype=np.int64)
+                    x, y = np.nonzero(fits & ((100 + percent) * differing <= (100 - percent) * both))
+                    found.append(np.stack((ids[a + x], yids[y])))
+                pairs = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=0)), pa.array(pairs.min(axis=0))], names=["x", "y"])
+
+    return run
+
+
 def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of members of a band that are of different components; the members are spread by salt."""
-    salted = members.withColumn("salt", salt("id"))
-    others = members.select("band", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("ybits"), F.col("component").alias("other"))
-    given = salted.select("band", "salt").distinct().join(others, "band").withColumnsRenamed({"band": "yband", "salt": "ysalt"})
-    same = (F.col("band") == F.col("yband")) & (F.col("salt") == F.col("ysalt")) & (F.col("id") < F.col("y")) & (F.col("component") != F.col("other"))
-    return _ordered_pairs(salted.join(given, same & _may_link(percent)))
+    """Pairs (x, y) of members of a band that are of different components, block by block."""
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    placed = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("k")).cast("int"))
+    blocks = placed.groupBy("band", "k", "block").agg(F.collect_list(F.struct("id", "n", "component", "bits")).alias("members"))
+    left = blocks.select("band", F.explode(F.sequence(F.col("block"), (F.col("k") - 1).cast("int"))).alias("block"), F.col("members").alias("left"))
+    met = left.join(blocks.select("band", "block", F.col("members").alias("right")), ["band", "block"])
+    return met.select("left", "right").mapInArrow(_compare(percent), "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
