@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside the operators; it comes out as null again.
+#: Stands for a null doc_id inside the operators and comes out as null again; the smallest long is no doc_id of its own.
 NO_ID = -(2**63)
 #: Parts that the rows of one key are split into where many rows may share it.
 SALTS = 64

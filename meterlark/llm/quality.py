@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import _BYTE, _LOWER, NO_ID, blob, cut, gram_hashes, keyed, ranges_hash, text_chunks, unkeyed
+from meterlark.llm.common import _BYTE, _LOWER, NO_ID, blob, cut, fresh, gram_hashes, keyed, ranges_hash, text_chunks, unkeyed
 
 #: An n-gram is 51 bits of hash and a last bit that tells pairs from single runs. Rows that fit in one sort key beside it.
 GRAM_BITS = 52
@@ -326,6 +326,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, te
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that quality() keeps, all columns as they are."""
-    kept = quality(docs, labels, **options).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key")).distinct()
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return marked.join(kept, "_key", "left_semi").select(*docs.columns)
+    key = fresh(docs, "_key")
+    kept = quality(docs, labels, **options).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
+    marked = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return marked.join(kept, key, "left_semi").select(*docs.columns)
