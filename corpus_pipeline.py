@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame. All but the last return the columns of docs.
 The near-duplicate stage works on shingles of five words at a similarity of 0.8.
+
+Defined results: every stage takes null, empty and very long texts, rows that repeat a doc_id, and further columns of
+any name. Rows of one doc_id share their fate: they go if any of them is rejected as a near-duplicate or as
+contaminated, and all stay whose document is kept by quality. An empty table goes through all stages and gives an
+empty result; without labels every document has good quality, without benchmark items none is contaminated.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlark.llm.bpe_automaton import encode_documents
-from meterlark.llm.common import NO_ID, shared_dir
+from meterlark.llm.common import NO_ID, fresh, shared_dir
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.line_dedup import drop_repeated_lines
 from meterlark.llm.minhash import near_duplicates
@@ -22,9 +27,10 @@ from meterlark.llm.queries import tokenizer_path
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the doc_ids of gone; rows with a null doc_id are judged like any other."""
-    keys = gone.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_key")).distinct()
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return marked.join(keys, "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    keys = gone.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias(key)).distinct()
+    marked = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return marked.join(keys, key, "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
