@@ -121,10 +121,10 @@ _WIRE_SQL = (
   FROM sent WHERE event_id % 25 NOT IN (1, 3, 4, 6) AND NOT event_id % 25 = 2
 )"""
 )
-_add("wire_decode", lambda spark, sf: wire.decode_events(raw.transport_lines(spark, sf)).where("event IS NOT NULL").select("event_id", "event.*"), f"WITH {_WIRE_SQL} SELECT * FROM good")
+_add("wire_decode", lambda spark, sf: wire.accepted_events(raw.transport_lines(spark, sf)), f"WITH {_WIRE_SQL} SELECT * FROM good")
 _add(
     "wire_ingest_counts",
-    lambda spark, sf: wire.ingest_counts(wire.decode_events(raw.transport_lines(spark, sf))),
+    lambda spark, sf: wire.ingest_counts(raw.transport_lines(spark, sf)),
     f"""WITH {_WIRE_SQL} SELECT profile_id, count(*) AS events, CAST(0 AS BIGINT) AS invalid, max(us) AS last_us FROM good GROUP BY 1
 UNION ALL SELECT NULL, 0, count(*), NULL FROM usage WHERE event_id % 25 IN (1, 2, 3, 4)""",
 )

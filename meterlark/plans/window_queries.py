@@ -192,14 +192,14 @@ def _quota_cost(spark, sf):
     by_model = uq.priced_usage(spark, sf).where(u.counts_toward_quota()).groupBy("profile_id", F.col("model").alias("key")).agg(F.sum("cost_usd").cast("double").alias("cost_usd"))
     weighted = windows.family_weighted_cost(by_model, "seven_day", ["profile_id"])
     used = _latest(spark, sf, "seven_day").select("profile_id", "pct")
-    return weighted.join(used, "profile_id").select("profile_id", "quota_usd", F.round(windows.full_cost(F.col("quota_usd"), F.col("pct"), F.lit(90.0)), 4).alias("full_usd"))
+    return weighted.join(used, "profile_id").select("profile_id", F.round(F.col("quota_usd") + 1e-9, 4).alias("quota_usd"), F.round(windows.full_cost(F.col("quota_usd"), F.col("pct"), F.lit(90.0)), 4).alias("full_usd"))
 
 
 _add(
     "quota_weighted_cost",
     _quota_cost,
     f"""WITH {PRICED_SQL}, {QUOTA_SQL}, {_LATEST}, m AS (SELECT profile_id, model, CAST(sum(cost_usd) AS DOUBLE) AS c FROM counted GROUP BY 1, 2), w AS (SELECT profile_id, round(sum(c * CASE WHEN model LIKE 'claude-fable-%' THEN 2 ELSE 1 END), 6) AS q FROM m GROUP BY 1)
-SELECT profile_id, q AS quota_usd, round(CASE WHEN pct < 20 THEN 90 WHEN q > 0 AND pct > 0 THEN q / pct * 100 END, 4) AS full_usd FROM w JOIN latest USING (profile_id) WHERE window_kind = 'seven_day'""",
+SELECT profile_id, round(q + 1e-9, 4) AS quota_usd, round(CASE WHEN pct < 20 THEN 90 WHEN q > 0 AND pct > 0 THEN q / pct * 100 END, 4) AS full_usd FROM w JOIN latest USING (profile_id) WHERE window_kind = 'seven_day'""",
 )
 
 

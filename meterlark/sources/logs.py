@@ -54,12 +54,8 @@ _USAGE = (
 _LINE = f"type variant, timestamp variant, requestId variant, sessionId variant, gitBranch variant, entrypoint variant, isSidechain variant, message struct<id:variant,model:variant,stop_reason:variant,usage:struct<{_USAGE.replace(' double', ':double').replace(' variant', ':variant').replace(' struct', ':struct').replace(', ', ',')}>>"
 
 
-def parse_requests(lines: DataFrame) -> DataFrame:
-    """lines with (event, warnings): event is null where a line is no request, warnings say why or what is odd.
-
-    A request is a JSON object of type assistant with a usage object. Cache writes are split into five-minute and
-    one-hour tokens; without the split all are five-minute ones, with a warning.
-    """
+def _parsed(lines: DataFrame) -> DataFrame:
+    """lines with the columns of an event, `_good` (whether the line is one) and warnings."""
     usage = F.col("_d.message.usage")
     text = lambda c: F.coalesce(jv.text(F.col(f"_d.{c}")), F.lit(""))
     split = usage["cache_creation"].isNotNull()
@@ -78,7 +74,8 @@ def parse_requests(lines: DataFrame) -> DataFrame:
         (jv.text(F.col("_d.message.stop_reason")).isNotNull() | usage["iterations"].isNotNull()).alias("output_final"),
         total.alias("_total"), split.alias("_split"),
     )
-    good = F.col("_request") & F.col("us").isNotNull()
+    read = read.withColumn("_good", F.col("_request") & F.col("us").isNotNull())
+    good = F.col("_good")
     warn = lambda when, kind: F.when(when, F.lit(kind))
     warnings = F.array_compact(F.array(
         warn(F.col("_request") & F.col("us").isNull(), "bad-timestamp"),
@@ -86,29 +83,32 @@ def parse_requests(lines: DataFrame) -> DataFrame:
         warn(good & ~F.col("_split") & (F.col("_total") > 0), "missing-cache-breakdown"),
         warn(good & (F.col("request_id") == ""), "missing-request-id"),
     ))
-    return read.withColumn("semantic_id", semantic_id()).select("path", "pos", F.when(good, F.struct(*EVENT_COLUMNS)).alias("event"), warnings.alias("warnings"))
+    return read.withColumns({"semantic_id": semantic_id(), "warnings": warnings}).select("path", "pos", *EVENT_COLUMNS, "_good", "warnings")
+
+
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """lines with (event, warnings): event is null where a line is no request, warnings say why or what is odd.
+
+    A request is a JSON object of type assistant with a usage object. Cache writes are split into five-minute and
+    one-hour tokens; without the split all are five-minute ones, with a warning.
+    """
+    return _parsed(lines).select("path", "pos", F.when(F.col("_good"), F.struct(*EVENT_COLUMNS)).alias("event"), "warnings")
 
 
 def requests(lines: DataFrame) -> DataFrame:
     """The request events of a lines frame."""
-    return parse_requests(lines).where("event IS NOT NULL").select("path", "pos", "event.*")
+    return _parsed(lines).where("_good").drop("_good", "warnings")
 
 
 def parse_statistics(lines: DataFrame) -> DataFrame:
     """(kind, key, n): lines, events, warnings by kind, models, entry points, and message ids that several projects hold."""
-    read = parse_requests(lines)
-    events = read.where("event IS NOT NULL")
-    counts = [
-        read.groupBy(F.lit("lines").alias("kind"), F.when(F.col("event").isNull(), "other").otherwise("event").alias("key")),
-        read.select(F.explode("warnings").alias("key")).groupBy(F.lit("warning").alias("kind"), "key"),
-        events.groupBy(F.lit("model").alias("kind"), F.col("event.model").alias("key")),
-        events.groupBy(F.lit("entrypoint").alias("kind"), F.coalesce("event.entrypoint", F.lit("(none)")).alias("key")),
-        events.groupBy("event.message_id").agg(F.countDistinct("event.project").alias("p")).where("p > 1").groupBy(F.lit("duplicate").alias("kind"), F.lit("projects").alias("key")),
-    ]
-    out = counts[0].agg(F.count("*").alias("n"))
-    for more in counts[1:]:
-        out = out.unionByName(more.agg(F.count("*").alias("n")))
-    return out
+    read = _parsed(lines).select("_good", "warnings", "model", "entrypoint", "message_id", "project")
+    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    of_event = F.array(one("model", F.col("model")), one("entrypoint", F.coalesce("entrypoint", F.lit("(none)"))))
+    facts = F.concat(F.array(one("lines", F.when(F.col("_good"), "event").otherwise("other"))), F.transform("warnings", lambda w: one("warning", w)), F.when(F.col("_good"), of_event).otherwise(F.array().cast("array<struct<kind:string,key:string>>")))
+    counted = read.select(F.explode(facts).alias("f")).groupBy("f.kind", "f.key").agg(F.count("*").alias("n"))
+    shared = read.where("_good").groupBy("message_id").agg(F.min("project").alias("a"), F.max("project").alias("z")).where("a <> z")
+    return counted.unionByName(shared.groupBy(F.lit("duplicate").alias("kind"), F.lit("projects").alias("key")).agg(F.count("*").alias("n")))
 
 
 def clean_title(title: Column) -> Column:

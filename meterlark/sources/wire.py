@@ -17,21 +17,18 @@ EVENT = ("message_id", "request_id", "semantic_id", "machine_id", "app_type", "p
 
 
 _TEXT = (*REQUIRED, *TEXTS, "semantic_id", "app_type", "attribution_level")
-_LINE = ", ".join(f"{c} variant" for c in (*_TEXT, *COUNTS, *(_NAMES.get(c, c) for c in OPTIONAL), "is_sidechain", "backfill", "output_final"))
+_LINE = ", ".join([f"{c} variant" for c in (*_TEXT, *(_NAMES.get(c, c) for c in OPTIONAL), "is_sidechain", "backfill", "output_final")] + [f"{c} string" for c in COUNTS])
 
 
 def _coerced_count(value: Column) -> Column:
     """A whole number not below zero; absent or null is 0, numbers in quotes and booleans count, anything else is null."""
-    shown = value.cast("string")
-    n = F.when(shown.isNull() | (F.trim(shown) == ""), F.lit(0.0)).when(shown == "true", 1.0).when(shown == "false", 0.0).otherwise(shown.try_cast("double"))
+    shown = F.trim(value)
+    n = F.when(value.isNull() | (shown == ""), F.lit(0.0)).when(shown == "true", 1.0).when(shown == "false", 0.0).otherwise(shown.try_cast("double"))
     return F.when((n >= 0) & (n == F.floor(n)) & (n < 9.0e18), n.cast("long"))
 
 
-def decode_events(lines: DataFrame) -> DataFrame:
-    """lines(value, ...) with `event`, null where the line is invalid, and `invalid`; blank lines are left out.
-
-    An invalid line is counted and left out; it never refuses the batch around it.
-    """
+def _decoded(lines: DataFrame) -> DataFrame:
+    """lines(value, ...) with the columns of an event and `_good`, whether the line is one; blank lines are left out."""
     keep = [c for c in lines.columns if c != "value"]
     d = lambda c: F.col(f"_d.{c}")
     read = lines.where(F.trim("value") != "").select(*keep, jv.read(F.trim("value"), _LINE).alias("_d"))
@@ -54,13 +51,28 @@ def decode_events(lines: DataFrame) -> DataFrame:
     filled = F.col("_typed") & F.col("us").isNotNull() & (F.col("message_id") != "") & (F.col("machine_id") != "") & (F.col("profile_id") != "")
     for c in COUNTS:
         filled = filled & F.col(c).isNotNull()
-    good = F.coalesce(filled, F.lit(False))
-    return out.withColumn("semantic_id", F.coalesce("_sent", semantic_id())).select(*keep, F.when(good, F.struct(*EVENT)).alias("event"), (~good).alias("invalid"))
+    return out.withColumns({"semantic_id": F.coalesce("_sent", semantic_id()), "_good": F.coalesce(filled, F.lit(False))}).select(*keep, *EVENT, "_good")
+
+
+def decode_events(lines: DataFrame) -> DataFrame:
+    """lines(value, ...) with `event`, null where the line is invalid, and `invalid`; blank lines are left out.
+
+    An invalid line is counted and left out; it never refuses the batch around it.
+    """
+    keep = [c for c in lines.columns if c != "value"]
+    return _decoded(lines).select(*keep, F.when(F.col("_good"), F.struct(*EVENT)).alias("event"), (~F.col("_good")).alias("invalid"))
+
+
+def accepted_events(lines: DataFrame) -> DataFrame:
+    """The events of the valid lines, beside the other columns of lines."""
+    return _decoded(lines).where("_good").drop("_good")
 
 
-def ingest_counts(decoded: DataFrame) -> DataFrame:
+def ingest_counts(lines: DataFrame) -> DataFrame:
     """By profile: events accepted and the time of the last; invalid lines count under a null profile."""
-    return decoded.groupBy("event.profile_id").agg(F.count("event").alias("events"), F.count_if("invalid").alias("invalid"), F.max("event.us").alias("last_us"))
+    good = F.col("_good")
+    marked = _decoded(lines).select(F.when(good, F.col("profile_id")).alias("profile_id"), F.when(good, F.col("us")).alias("us"), "_good")
+    return marked.groupBy("profile_id").agg(F.count_if("_good").alias("events"), F.count_if(~good).alias("invalid"), F.max("us").alias("last_us"))
 
 
 def decode_snapshots(lines: DataFrame) -> DataFrame:
