@@ -228,15 +228,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     members = cut(met.drop("members").join(degrees, "id"), "members")
     release(met)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-        sets = cut(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
-        found = cut(confirmed(pairs, sets, percent), "confirmed")
-        release(sets)
-        return found
-
+    # The sets of all that meet another, read once for both rounds.
+    wanted = members.select("id").distinct()
+    sets = cut(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
     pairs = cut(_star_pairs(members, percent), "star-pairs")
-    links = links_of(pairs)
+    links = cut(confirmed(pairs, sets, percent), "confirmed")
     grouped = cut(components(links), "components")
     # Buckets that still span several components.
     labelled = members.drop("degree").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -245,7 +241,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     more = cut(_open_pairs(opened, percent).join(pairs, ["x", "y"], "left_anti"), "open-pairs")
     release(opened, members)
     if not more.isEmpty():
-        grouped = components(links.union(links_of(more)))
+        grouped = components(links.union(cut(confirmed(more, sets, percent), "confirmed")))
+    release(sets)
 
     of_class = classes.select("n", "a", "b", "id").join(grouped, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     # Given out by salt, so that the copies of a hot set are spread over tasks; empty sets belong to no class.
