@@ -196,11 +196,6 @@ class TokenAutomaton:
                 shown.append(known[1])
         return b"".join(ids), " ".join(shown)
 
-    def forget(self) -> None:
-        """Drop the words met so far; the automaton stays."""
-        self.memory.clear()
-        self.words.clear()
-
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs, in order, joined by one space as the library does without a decoder."""
         return " ".join(map(self.labels.__getitem__, ids.tolist()))
@@ -216,15 +211,6 @@ def _byte_symbols() -> list[str]:
     return out
 
 
-_compiled: dict[str, TokenAutomaton] = {}
-
-
-def automaton(path: str) -> TokenAutomaton:
-    if path not in _compiled:
-        _compiled[path] = TokenAutomaton(path)
-    return _compiled[path]
-
-
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -233,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = automaton(path)
+        bpe = TokenAutomaton(path)  # compiled in less than a second, and gone with the task
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -252,6 +238,5 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     columns.append(pa.array(arrays, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        bpe.forget()  # the worker may go on with other operators
 
     return unkeyed(keyed(docs).mapInArrow(run, schema))
