@@ -67,7 +67,7 @@ def planted(doc_id, text):
 
 def test_query_on_a_small_table(spark, tmp_path):
     random.seed(5)
-    rows = [(i, " ".join(random.choice(["the", "a", "x", "yy"] + [f"w{k}" for k in range(40)]) for _ in range(random.choice([0, 3, 30, 150])))) for i in range(250)]
+    rows = [(i, " ".join(random.choice(["the", "a", "x", "yy"] + [f"w{k}" for k in range(40)]) for _ in range(random.choice([0, 30, 150, 300])))) for i in range(250)]
     rows += [(1000, None), (1001, ""), (1002, "so so\tso so so so\nso so so so so so so"), (1003, "one")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = {r["doc_id"]: r for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
@@ -84,7 +84,7 @@ def test_query_on_a_small_table(spark, tmp_path):
         assert (r["start"], r["length"], r["period"]) == best
         assert r["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
         with_runs += bool(runs)
-    assert with_runs > 15
+    assert with_runs >= 12
 
 
 def test_edge_rows(spark):
