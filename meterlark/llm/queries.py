@@ -16,6 +16,7 @@ from meterlark.llm.language_id import identify_languages
 from meterlark.llm.line_dedup import line_dedup
 from meterlark.llm.minhash import near_duplicates
 from meterlark.llm.periodic_runs import periodic_runs, with_planted_period
+from meterlark.llm.product_quantization import near_vectors
 from meterlark.llm.quality import quality
 from meterlark.llm.substring import substring_dedup
 from meterlark.llm.token_store import store_digests
@@ -72,6 +73,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_product_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(_table(spark, sf_dir, "documents"), outputs=False)
 
@@ -100,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op5_quality, op6_decontaminate, op7_exact_dedup, op8_language_id, op9_html_extract, op10_line_dedup, op12_fill_middle, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe_automaton, op3_minhash, op4_substring, op5_quality, op6_decontaminate, op7_exact_dedup, op8_language_id, op9_html_extract, op10_line_dedup, op11_product_quantization, op12_fill_middle, op13_periodic_runs, pipeline)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -236,5 +241,18 @@ FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+_OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS to_id FROM v UNION SELECT r.id, l.y FROM reach r JOIN link l ON r.to_id = l.x),
+least AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id),
+n AS (SELECT x, count(*) AS n_links FROM link GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN least ON id = v.vec_id LEFT JOIN n ON x = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": _OP3, "op4_substring": _OP4, "op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10, "op12_fill_middle": _OP12, "op13_periodic_runs": _OP13}
+    return {"op3_minhash": _OP3, "op4_substring": _OP4, "op6_decontaminate": _OP6, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10, "op11_product_quantization": _OP11, "op12_fill_middle": _OP12, "op13_periodic_runs": _OP13}
