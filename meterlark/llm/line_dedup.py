@@ -16,7 +16,8 @@ with the largest doc_id.
    over `SALTS` tasks and sums, never rows, meet in one.
 
 The filters have one bit for some 4 to 8 bytes of text, and a long key takes more than `min_chars` of them, so
-both the share of false suspects and the number of bits for each key are the same at every size. A task reads
+both the share of false suspects and the number of bits for each key are the same at every size. A range has at
+most `MOST_RANGE` bits: with the text it is the number of ranges that grows, never what one task holds. A task reads
 a range of the filter at a time (mapped, or in a cache of bounded size).
 
 Defined results: null or empty text is one empty line; rows that share a doc_id are one document for counting
@@ -42,8 +43,8 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _U = np.uint64
 PROBES = 2
 _PROBE_SEEDS = seeded(31, PROBES)
-#: Ranges that a filter is cut into, and the least bits of one.
-RANGES, LEAST_RANGE = 256, 1 << 16
+#: Ranges that a filter is cut into as long as they are small, and the least and most bits of one.
+RANGES, LEAST_RANGE, MOST_RANGE = 256, 1 << 16, 1 << 24
 #: Hashes that a task holds before it hands on its partial filter.
 HELD = 1 << 21
 #: Bytes of filter that a task keeps in memory where files cannot be mapped.
@@ -65,11 +66,15 @@ def long_keys(text: str, min_chars: int) -> set[str]:
 
 
 class Layout:
-    """Where the bits of a key are: `bits` in all (a power of two), in ranges of 2**shift."""
+    """Where the bits of a key are: `bits` in all (a power of two), in `ranges` ranges of 2**shift.
+
+    Places are 64-bit numbers; inside a range they are below MOST_RANGE, so steps between them fit 32 bits.
+    """
 
     def __init__(self, text_bytes: int):
         self.bits = max(LEAST_RANGE, 1 << (text_bytes // 8).bit_length())
-        self.shift = max(LEAST_RANGE, self.bits // RANGES).bit_length() - 1
+        self.shift = min(MOST_RANGE, max(LEAST_RANGE, self.bits // RANGES)).bit_length() - 1
+        self.ranges = self.bits >> self.shift
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """One row of bit positions for each probe."""
@@ -77,7 +82,9 @@ class Layout:
 
 
 def _packed(positions: np.ndarray) -> bytes:
-    """Sorted positions as steps, with their first bytes together, then their second ones: that compresses well."""
+    """Sorted positions of a range as steps, with their first bytes together, then their second ones: that compresses well."""
+    if len(positions) and positions[-1] >= 1 << 32:
+        raise ValueError("a position inside a range has 32 bits")
     return blob(np.diff(positions, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 

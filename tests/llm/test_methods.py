@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import tokenizers
 
 from meterlark.llm import line_dedup, minhash, token_store
@@ -50,6 +51,23 @@ def test_sketch_estimates_similarity():
         assert abs(same - true) < 0.15
 
 
+def test_ranges_of_a_filter_stay_small():
+    """What a task holds is bounded at every size of the text; places go beyond 32 bits and come back."""
+    rng = np.random.default_rng(8)
+    hashes = np.unique(rng.integers(0, 2**63, 50_000, dtype=np.uint64))
+    for text_bytes in (0, 10**6, 30 * 10**9, 10**12, 10**13, 10**14):
+        layout = line_dedup.Layout(text_bytes)
+        assert layout.ranges << layout.shift == layout.bits and text_bytes <= 8 * layout.bits and layout.shift <= 24
+        places = np.unique(layout.places(hashes))
+        assert 0 <= places.min() and places.max() < layout.bits and (places.max() > 2**32) == (text_bytes >= 10**12)
+        cut = line_dedup._cut_ranges(places, layout.shift)
+        back = np.concatenate([(at << layout.shift) + line_dedup._positions(cut[at]) for at in sorted(cut)])
+        assert (back == places).all()
+    assert line_dedup.Layout(30 * 10**9).shift == line_dedup.Layout(10**14).shift
+    with pytest.raises(ValueError):
+        line_dedup._packed(np.array([5, 2**33 + 12]))
+
+
 def test_twice_seen_filter_misses_no_repeat(tmp_path):
     """Partial filters of several tasks, carried together: every key that two documents hold is found, few others are."""
     rng = np.random.default_rng(2)
