@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.operators.ordered import MINUTE_US, asof_backward, segment_by
+from meterlark.operators.ordered import MINUTE_US, asof_backward
+from meterlark.operators.scan import Scan
 
 GAP_US = 30 * MINUTE_US
 
@@ -41,8 +42,7 @@ def quiet_attribution(samples: DataFrame, events: DataFrame, keys: Sequence[str]
     """
     before = events.select(*keys, (F.col("us") + 1).alias("us"), F.col("us").alias("_event")).distinct()
     seen = asof_backward(samples, before, keys, "us", "_event")
-    w = Window.partitionBy(*keys).orderBy("us")
-    pairs = seen.withColumns({"_pu": F.lag("us").over(w), "_pp": F.lag("pct").over(w), "_rn": F.row_number().over(w)})
+    pairs = Scan(seen, keys).lag(_pu="us", _pp="pct").frame()
     pair = F.col("_pu").isNotNull()
     gap = pair & (F.col("us") - F.col("_pu") > gap_us)
     rise = F.col("pct") - F.col("_pp")
@@ -54,16 +54,14 @@ def quiet_attribution(samples: DataFrame, events: DataFrame, keys: Sequence[str]
         F.round(F.coalesce(F.sum(F.when(up & busy, rise)), F.lit(0.0)), 6).alias("ambiguous_pct"),
         F.count_if(up & ~busy).alias("quiet_spans"),
         F.count_if(gap).alias("gaps"),
-        F.max(F.when(F.col("_rn") == 1, F.col("pct"))).alias("unobserved_pct"),
+        F.max(F.when(~pair, F.col("pct"))).alias("unobserved_pct"),
     )
 
 
 def limit_ratio(short: DataFrame, long: DataFrame, keys: Sequence[str] = ("profile_id",), gap_us: int = GAP_US) -> DataFrame:
     """How many points of the long limit one point of the short one is: pairs at equal times, cut where either falls or a gap lies."""
     pairs = short.select(*keys, "us", F.col("pct").alias("s")).join(long.groupBy(*keys, "us").agg(F.max("pct").alias("l")), [*keys, "us"])
-    w = Window.partitionBy(*keys).orderBy("us")
-    lagged = pairs.withColumns({"_s": F.lag("s").over(w), "_l": F.lag("l").over(w), "_u": F.lag("us").over(w)})
-    cut = segment_by(lagged, keys, ["us"], (F.col("s") < F.col("_s")) | (F.col("l") < F.col("_l")) | (F.col("us") - F.col("_u") > gap_us))
+    cut = Scan(pairs, keys).runs({"_s": "s", "_l": "l", "_u": "us"}, segment=(F.col("s") < F.col("_s")) | (F.col("l") < F.col("_l")) | (F.col("us") - F.col("_u") > gap_us)).frame()
     ends = cut.groupBy(*keys, "segment").agg((F.max_by("s", "us") - F.min_by("s", "us")).alias("ds"), (F.max_by("l", "us") - F.min_by("l", "us")).alias("dl"))
     sums = ends.groupBy(*keys).agg(F.sum("ds").alias("short_pct"), F.sum("dl").alias("long_pct"), F.count("*").alias("segments"))
     usable = (F.col("long_pct") >= 5) & (F.col("short_pct") > 0)
@@ -75,8 +73,7 @@ def interval_usage(samples: DataFrame, events: DataFrame, keys: Sequence[str] =
 
     Samples tile the line, so each event belongs to the latest sample at or before it: one as-of join.
     """
-    w = Window.partitionBy(*keys).orderBy("us")
-    steps = samples.withColumns({"end_us": F.lead("us").over(w), "delta_pct": F.lead("pct").over(w) - F.col("pct")})
+    steps = Scan(samples, keys).lead(end_us="us", _next="pct").derive(delta_pct=F.col("_next") - F.col("pct")).frame()
     good = steps.where((F.col("end_us") > F.col("us")) & (F.col("end_us") - F.col("us") <= gap_us) & (F.col("delta_pct") > 0))
     placed = asof_backward(events, samples.select(*keys, "us", F.col("us").alias("start_us")).distinct(), keys, "us", "start_us")
     used = placed.where("start_us IS NOT NULL").groupBy(*keys, "start_us", "model").agg(F.sum("tokens").alias("tokens"), F.collect_set("machine_id").alias("_m"))
@@ -113,11 +110,8 @@ def isotonic_fit(series: DataFrame, keys: Sequence[str], value: str = "pct") ->
 
 def increases(series: DataFrame, keys: Sequence[str], segment: str, value: str) -> DataFrame:
     """series with the cumulative increase: a new segment adds its whole value, others their difference."""
-    w = Window.partitionBy(*keys).orderBy("us")
-    prev, prev_segment = F.lag(value).over(w), F.lag(segment).over(w)
-    step = F.when(prev.isNull() | (F.col(segment) != prev_segment), F.col(value)).otherwise(F.col(value) - prev)
-    stepped = series.withColumn("_step", step)
-    return stepped.withColumn("increase", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    step = F.when(F.col("_pv").isNull() | (F.col(segment) != F.col("_ps")), F.col(value)).otherwise(F.col(value) - F.col("_pv"))
+    return Scan(series, keys).lag(_pv=value, _ps=segment).running(increase=step).frame().drop("_pv", "_ps")
 
 
 def solve_calibration(models: Sequence[str], gram: np.ndarray, target: np.ndarray, used: np.ndarray, square: float, rounds: int = 20_000) -> dict | None:

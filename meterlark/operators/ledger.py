@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.operators.ordered import MINUTE_US
+from meterlark.operators.scan import Scan
 
 
 def exclusive_counters(df: DataFrame) -> DataFrame:
@@ -53,23 +54,20 @@ def periods(history: DataFrame, keys: Sequence[str] = ("profile_id", "window_kin
     A new period opens when the sample reaches the old deadline with a later one, or when usage falls and the
     deadline moves at once; a fall under the same deadline opens a segment. All conditions compare neighbours.
     """
-    w = Window.partitionBy(*keys).orderBy("us")
-    lagged = history.withColumns({"_u": F.lag("us").over(w), "_p": F.lag("pct").over(w), "_r": F.lag("resets_us").over(w)})
     moved = F.coalesce(F.abs(F.col("resets_us") - F.col("_r")) > moved_us, F.lit(False))
     dropped = F.coalesce(F.col("_p") - F.col("pct") >= drop, F.lit(False))
     scheduled = moved & F.coalesce(F.col("us") >= F.col("_r"), F.lit(False))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    opened = lagged.withColumn("_new", scheduled | (dropped & moved)).withColumn("period", F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(running))
-    inner = Window.partitionBy(*keys, "period").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    cut = opened.withColumn("segment", F.sum(F.when(dropped & ~F.col("_new"), 1).otherwise(0)).over(inner))
-    gap = ~F.col("_new") & (F.col("us") - F.col("_u") > gap_us)
-    peaks = cut.withColumn("_gap", gap).groupBy(*keys, "period", "segment").agg(F.max("pct").alias("peak"), F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n"), F.max_by("resets_us", "us").alias("r"), F.bool_or(F.coalesce("_gap", F.lit(False))).alias("g"))
+    fresh = scheduled | (dropped & moved)
+    cut = Scan(history, keys).runs({"_u": "us", "_p": "pct", "_r": "resets_us"}, period=fresh, _falls=dropped & ~fresh).frame()
+    gap = ~fresh & (F.col("us") - F.col("_u") > gap_us)
+    # A period opens without a fall of its own, so the falls of its rows less those of its first row number its segments.
+    peaks = cut.withColumn("_gap", gap).groupBy(*keys, "period", "_falls").agg(F.max("pct").alias("peak"), F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n"), F.max_by("resets_us", "us").alias("r"), F.bool_or(F.coalesce("_gap", F.lit(False))).alias("g"))
     return peaks.groupBy(*keys, "period").agg(
         F.min("a").alias("first_us"),
         F.max("b").alias("last_us"),
         F.sum("n").alias("samples"),
         F.round(F.sum("peak"), 6).alias("cumulative_pct"),
-        F.max("segment").alias("resets"),
+        (F.max("_falls") - F.min("_falls")).alias("resets"),
         F.max_by("r", "b").alias("resets_us"),
         F.bool_or("g").alias("has_gap"),
     )

@@ -1,7 +1,7 @@
 """Operators on ordered series: segments, as-of joins, blocks, lanes, reset segments, projections.
 
-Series are partitioned by their key (profile and window kind, or machine) and ordered by time; each operator is
-one shuffle on that key and window functions over it.
+Series are ordered by time within their key (profile and window kind, or machine). What depends on the rows before is
+a segmented scan over buckets of time, so a key with a long history is many tasks.
 """
 
 from __future__ import annotations
@@ -12,16 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlark.operators.scan import Scan
+
 MINUTE_US = 60_000_000
 HOUR_US = 60 * MINUTE_US
 
 
-def segment_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str = "segment") -> DataFrame:
-    """Number the runs of an ordered series; a row with `starts` true opens the next run (the first row opens run 0)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, bucket_us: int = 24 * HOUR_US) -> DataFrame:
     """left with the value of the latest right row at or before its time (null values are passed over).
 
@@ -41,8 +37,7 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time:
 
 def lanes(events: DataFrame, gap_us: int = 5 * MINUTE_US, key: str = "machine_id") -> DataFrame:
     """Spans of activity: an event joins the span when it is at most gap_us after the one before."""
-    w = Window.partitionBy(key).orderBy("us")
-    opened = segment_by(events.withColumn("_prev", F.lag("us").over(w)), [key], ["us"], F.col("us") - F.col("_prev") > gap_us, "span")
+    opened = Scan(events.select(key, "us", "tokens"), [key]).runs({"_prev": "us"}, span=F.col("us") - F.col("_prev") > gap_us).frame()
     return opened.groupBy(key, "span").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"), F.count("*").alias("events"), F.sum("tokens").alias("tokens"))
 
 
@@ -98,9 +93,7 @@ SERIES = ("profile_id", "window_kind")
 
 def reset_segments(samples: DataFrame, keys: Sequence[str] = (*SERIES, "resets_us"), drop: float = 2.0) -> DataFrame:
     """samples with segment (a fall of `drop` points or more opens the next) and the previous sample's time."""
-    w = Window.partitionBy(*keys).orderBy("us")
-    lagged = samples.withColumns({"prev_pct": F.lag("pct").over(w), "prev_us": F.lag("us").over(w)})
-    return segment_by(lagged, keys, ["us"], F.col("prev_pct") - F.col("pct") >= drop)
+    return Scan(samples, keys).runs({"prev_pct": "pct", "prev_us": "us"}, segment=F.col("prev_pct") - F.col("pct") >= drop).frame()
 
 
 def cumulative_usage(samples: DataFrame, keys: Sequence[str] = (*SERIES, "resets_us")) -> DataFrame:

@@ -14,7 +14,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
-from datetime import UTC, datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,9 +27,10 @@ MAIN = ("input_tokens", "output_tokens", "total_tokens")
 ID_PREFIX = "codex:v1:"
 SAFE = (1 << 53) - 1
 #: Flags that describe one event and say nothing about what lies around it (fixed values).
-OWN_FLAGS = frozenset(
-    "model_unknown turn_id_unavailable total_tokens_derived total_tokens_mismatch input_subsets_exceed_total reasoning_exceeds_output last_usage_only counter_detail_baseline_changed missing_required_counter invalid_counter counter_overflow".split()
-)
+OWN_FLAGS = frozenset({
+    "model_unknown", "turn_id_unavailable", "total_tokens_derived", "total_tokens_mismatch", "input_subsets_exceed_total", "reasoning_exceeds_output",
+    "last_usage_only", "counter_detail_baseline_changed", "missing_required_counter", "invalid_counter", "counter_overflow",
+})
 CONTEXT = ("model", "model_provider", "reasoning_effort", "service_tier", "project")
 EVENT_SCHEMA = (
     "path string, ordinal long, event_id string, session_id string, parent_session_id string, turn_id string, us long, model string, model_provider string, reasoning_effort string, service_tier string, project string, "
@@ -43,6 +44,14 @@ def _refuse(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
+def _whole(digits: str) -> int | float:
+    """A whole number of a line; one with hundreds of digits is beyond every bound, so infinity stands for it."""
+    return int(digits) if len(digits) < 400 else float(digits)
+
+
+_EPOCH, _MS = datetime(1970, 1, 1), timedelta(milliseconds=1)
+
+
 def _named(x) -> str | None:
     return x if isinstance(x, str) and x else None
 
@@ -59,11 +68,17 @@ def _moment(x) -> int | None:
         at = datetime.fromisoformat(x.strip())
     except ValueError:
         return None
-    return round((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
+    # On the clock of the text first: in UTC the moment may lie outside the years that a datetime has.
+    return (at.replace(tzinfo=None) - _EPOCH - (at.utcoffset() or timedelta())) // _MS
 
 
 def _iso(ms: int) -> str:
-    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{ms % 1000:03d}Z"
+    """The moment in UTC; 400 years are a whole number of days, so years that a datetime lacks are shifted by them."""
+    cycles = 0 if -62_135_596_800_000 <= ms < 253_402_300_800_000 else (1 if ms < 0 else -1)
+    at = _EPOCH + timedelta(milliseconds=ms + cycles * 12_622_780_800_000)
+    year = at.year - 400 * cycles
+    shown = f"{year:04d}" if 0 <= year <= 9999 else f"{year:+07d}"
+    return f"{shown}-{at.month:02d}-{at.day:02d}T{at.hour:02d}:{at.minute:02d}:{at.second:02d}.{ms % 1000:03d}Z"
 
 
 def _identity(parts: list) -> str:
@@ -94,7 +109,7 @@ class Reading:
                 values[name] = 0
                 if name != "total_tokens":
                     flags.append(f"{name}_unreported")
-            elif isinstance(x, bool) or not isinstance(x, int | float) or x != int(x) or not 0 <= x <= SAFE:
+            elif isinstance(x, bool) or not isinstance(x, int | float) or not float(x).is_integer() or not 0 <= x <= SAFE:
                 return cls(None, [*flags, "invalid_counter"])
             else:
                 values[name] = int(x)
@@ -164,8 +179,8 @@ class Rollout:
 
     def _line(self, line: str) -> dict | None:
         try:
-            doc = json.loads(line, parse_constant=_refuse)
-        except ValueError:
+            doc = json.loads(line, parse_constant=_refuse, parse_int=_whole)
+        except (ValueError, RecursionError):
             return self._hold("invalid_json")
         if _object(doc) is None:
             return self._hold("invalid_record")

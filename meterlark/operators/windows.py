@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlark.functions.scalars import clamp_pct
 from meterlark.operators import attribution, ordered
 from meterlark.operators.ordered import HOUR_US, MINUTE_US, asof_backward
+from meterlark.operators.scan import Scan
 
 WEEK_US = 168 * HOUR_US
 #: Group starts of the same week differ by less than a second between answers; ten minutes tell weeks apart.
@@ -61,13 +62,10 @@ def noncode_series(samples: DataFrame, keys: Sequence[str] = ("profile_id",)) ->
     The share is of the week's use, so it is scaled by it; it cannot fall within a week, so each run between weeks
     and resets is fitted by the closest non-decreasing series (a run is bounded by time, not by rows).
     """
-    w = Window.partitionBy(*keys).orderBy("us")
     key = F.floor(F.col("week_start_us") / ROUND_US + 0.5)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    lagged = samples.withColumns({"_k": key, "_p": F.lag("weekly_pct").over(w)}).withColumn("_known", F.last("_k", ignorenulls=True).over(before))
     fell = F.col("_p") - F.col("weekly_pct")
     week = F.when(F.col("_k").isNotNull() & F.col("_known").isNotNull(), F.col("_k") != F.col("_known")).otherwise(fell > 0)
-    cut = ordered.segment_by(lagged, keys, ["us"], F.col("_p").isNotNull() & (week | (fell >= 2)), "run")
+    cut = Scan(samples.withColumn("_k", key), keys).last(before=True, _known="_k").runs({"_p": "weekly_pct"}, run=F.col("_p").isNotNull() & (week | (fell >= 2))).frame()
     fitted = attribution.isotonic_fit(cut.select(*keys, "us", "run", "week_start_us", (F.col("weekly_pct") * F.col("share_pct") / 100).alias("value")), [*keys, "run"], "value")
     return fitted.select(*keys, "us", "run", "week_start_us", F.col("fitted").alias("value"))
 
@@ -78,9 +76,8 @@ def increase_between(spans: DataFrame, series: DataFrame, keys: Sequence[str] =
     series(keys, us, run, week_start_us, value): a new run adds its whole value. Before the first point nothing is
     known, but if its week began within the span its own value is an increase too.
     """
-    w = Window.partitionBy(*keys).orderBy("us")
-    step = F.when(F.lag("run").over(w).isNull(), 0.0).when(F.lag("run").over(w) != F.col("run"), F.col("value")).otherwise(F.col("value") - F.lag("value").over(w))
-    summed = series.withColumn("_step", step).withColumn("_sum", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = F.when(F.col("_pr").isNull(), 0.0).when(F.col("_pr") != F.col("run"), F.col("value")).otherwise(F.col("value") - F.col("_pv"))
+    summed = Scan(series, keys).lag(_pr="run", _pv="value").running(_sum=step).frame()
     firsts = series.groupBy(*keys).agg(F.min_by("value", "us").alias("_first"), F.min_by("week_start_us", "us").alias("_began"))
     at = spans
     for moment, column in (("from_us", "_a"), ("to_us", "_z")):
@@ -120,8 +117,7 @@ def fused_other(other: Column, ambiguous_noncode: Column, unobserved_noncode: Co
 def ambiguous_noncode(samples: DataFrame, events: DataFrame, series: DataFrame, scaled: DataFrame, keys: Sequence[str] = ("profile_id",), lead_us: int = 30 * MINUTE_US, gap_us: int = 30 * MINUTE_US) -> DataFrame:
     """By key the points of rises beside own events that other products explain, at most each rise. scaled(keys, scale)."""
     seen = asof_backward(samples, events.select(*keys, (F.col("us") + 1).alias("us"), F.col("us").alias("_event")).distinct(), keys, "us", "_event")
-    w = Window.partitionBy(*keys).orderBy("us")
-    pairs = seen.withColumns({"from_us": F.lag("us").over(w), "_rise": F.col("pct") - F.lag("pct").over(w)})
+    pairs = Scan(seen, keys).lag(from_us="us", _from="pct").derive(_rise=F.col("pct") - F.col("_from")).frame()
     up = pairs.where((F.col("us") > F.col("from_us")) & (F.col("us") - F.col("from_us") <= gap_us) & (F.col("_rise") > 0) & (F.col("_event") >= F.col("us") - lead_us))
     risen = increase_between(up.select(*keys, "from_us", F.col("us").alias("to_us"), "_rise"), series, keys).join(F.broadcast(scaled), list(keys))
     part = F.least(F.col("_rise"), F.greatest(F.lit(0.0), F.col("increase") * F.col("scale")))
@@ -212,18 +208,15 @@ def burn_curve(samples: DataFrame, keys: Sequence[str], most: int = 240) -> Data
 
 def broken_curve(points: DataFrame, keys: Sequence[str], drop: float = 2.0) -> DataFrame:
     """points(keys, us, pct) with an empty point just before each reset, so that a drawn line breaks there."""
-    w = Window.partitionBy(*keys).orderBy("us")
-    fell = F.coalesce(F.lag("pct").over(w) - F.col("pct") >= drop, F.lit(False))
-    marked = points.withColumn("_fell", fell)
+    marked = Scan(points, keys).lag(_p="pct").derive(_fell=F.coalesce(F.col("_p") - F.col("pct") >= drop, F.lit(False))).frame()
     gap = F.array(F.struct((F.col("us") - 1000).alias("us"), F.lit(None).cast("double").alias("pct")), F.struct("us", "pct"))
     return marked.select(*keys, F.explode(F.when(F.col("_fell"), gap).otherwise(F.slice(gap, 2, 1))).alias("_p")).select(*keys, "_p.us", "_p.pct")
 
 
 def split_by_source(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """points(keys, us, pct, interpolated) as two series: official ones, and interpolated runs with one point more at both ends."""
-    w = Window.partitionBy(*keys).orderBy("us")
-    near = F.col("interpolated") | F.coalesce(F.lag("interpolated").over(w), F.lit(False)) | F.coalesce(F.lead("interpolated").over(w), F.lit(False))
-    return points.select(*keys, "us", F.when(~F.col("interpolated"), F.col("pct")).alias("official"), F.when(near, F.col("pct")).alias("estimated"))
+    near = F.col("interpolated") | F.coalesce("_before", F.lit(False)) | F.coalesce("_after", F.lit(False))
+    return Scan(points, keys).lag(_before="interpolated").lead(_after="interpolated").frame().select(*keys, "us", F.when(~F.col("interpolated"), F.col("pct")).alias("official"), F.when(near, F.col("pct")).alias("estimated"))
 
 
 def calibration_points(observed: DataFrame, weights: DataFrame, keys: Sequence[str] = ("profile_id",), most: int = 1000) -> DataFrame:

@@ -133,14 +133,15 @@ def transport_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = transport_events(spark, sf_dir)
     wire = encode_events(events.where("event_id IS NOT NULL"))
-    r = F.substring("message_id", 5, 20).cast("long") % 25
-    line = json_line(wire)
-    spoiled = (
-        F.when(r == 1, F.substring(line, 1, 20)).when(r == 2, F.regexp_replace(line, '"output_tokens":', '"output_tokens":-1')).when(r == 3, F.regexp_replace(line, '"machine_id":"[^"]*"', '"machine_id":""'))
-        .when(r == 4, F.regexp_replace(line, '"ts":"[^"]*"', '"ts":"never"')).when(r == 5, F.regexp_replace(line, '"input_tokens":(\\d+)', '"input_tokens":"$1"')).when(r == 6, F.lit("  "))
-        .when(r == 7, F.regexp_replace(line, '"attribution_level":"[^"]*"', '"attribution_level":"guess"')).otherwise(line)
-    )
-    return wire.select(F.substring("message_id", 5, 20).cast("long").alias("event_id"), spoiled.alias("value"))
+    event_id = F.substring("message_id", 5, 20).cast("long")
+    r = F.col("event_id") % 25
+    # One encoding and one pass over it: what is replaced, and by what, is chosen for each line.
+    replaced = {2: ('"output_tokens":', '"output_tokens":-1'), 3: ('"machine_id":"[^"]*"', '"machine_id":""'), 4: ('"ts":"[^"]*"', '"ts":"never"'), 5: (r'"input_tokens":(\d+)', '"input_tokens":"$1"'), 7: ('"attribution_level":"[^"]*"', '"attribution_level":"guess"')}
+    pattern, by = F.lit("(?!)"), F.lit("")
+    for kind, (found, put) in replaced.items():
+        pattern, by = F.when(r == kind, found).otherwise(pattern), F.when(r == kind, put).otherwise(by)
+    spoiled = F.when(r == 6, "  ").otherwise(F.substring(F.regexp_replace(F.col("line"), pattern, by), F.lit(1), F.when(r == 1, 20).otherwise(1 << 30)))
+    return wire.select(event_id.alias("event_id"), json_line(wire).alias("line")).select("event_id", spoiled.alias("value"))
 
 
 def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

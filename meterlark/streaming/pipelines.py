@@ -21,6 +21,10 @@ from meterlark.sources.wire import decode_events, sse_frame
 
 #: How long windowed streams wait for late records.
 LATE = "7 days"
+#: Processors with states of their own need a state store that has column families.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+DEFAULT_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+COLUMN_FAMILIES = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How far ahead of the clock a record may be.
 AHEAD_US = 300_000_000
 
@@ -31,6 +35,21 @@ def _started(writer, checkpoint: str, interval: str | None = None) -> StreamingQ
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def stateful(frame: DataFrame) -> DataFrame:
+    """frame, whose session is told to keep states in a store with column families if it has none chosen.
+
+    The store is read from the session when a query starts. One that was chosen and cannot do it is an error here,
+    not in the tasks of the query.
+    """
+    conf = frame.sparkSession.conf
+    chosen = conf.get(PROVIDER, DEFAULT_PROVIDER)
+    if chosen == DEFAULT_PROVIDER:
+        conf.set(PROVIDER, COLUMN_FAMILIES)
+    elif chosen != COLUMN_FAMILIES:
+        raise ValueError(f"processors with state need {COLUMN_FAMILIES}, but {PROVIDER} is {chosen}")
+    return frame
+
+
 def guarded(now_us: Column | int, since_us: int | None = None) -> Column:
     """Whether a record is refused: too far in the future, or before the day collection starts."""
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
@@ -102,7 +121,7 @@ def best_records(feed: DataFrame) -> DataFrame:
     ranked = feed.select(dedup_key().alias("dedup_key"), usage_rank().alias("rank"), "arrival", "machine_id", "profile_id", "output_tokens")
     fields = "dedup_key string, rank long, arrival long, machine_id string, profile_id string, output_tokens long, change string"
     typed = ranked.withColumns({"rank": F.col("rank").cast("long"), "arrival": F.col("arrival").cast("long")})
-    return typed.groupBy("dedup_key").transformWithStateInPandas(BestOfKey(fields), fields, "Update", "None")
+    return stateful(typed).groupBy("dedup_key").transformWithStateInPandas(BestOfKey(fields), fields, "Update", "None")
 
 
 # --- windows --------------------------------------------------------------------------------------------
@@ -144,7 +163,7 @@ class ChangeOnly(StatefulProcessor):
 
 def changes(samples: DataFrame) -> DataFrame:
     """samples(series, us, value) where the value changes: the points of a timeline."""
-    return samples.groupBy("series").transformWithStateInPandas(ChangeOnly(), "series string, us long, value string", "Append", "None")
+    return stateful(samples).groupBy("series").transformWithStateInPandas(ChangeOnly(), "series string, us long, value string", "Append", "None")
 
 
 def changes_batch(samples: DataFrame) -> DataFrame:
@@ -184,5 +203,5 @@ def write_stream(frame: DataFrame, out: str, checkpoint: str, mode: str = "appen
 
 def stream_rollouts(lines: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Rollout lines(path, pos, value) as events and warnings; the machine of each file is the state of its path."""
-    parsed = lines.groupBy("path").transformWithStateInPandas(rollout.rollout_processor(), rollout.EVENT_SCHEMA, "Append", "None")
+    parsed = stateful(lines).groupBy("path").transformWithStateInPandas(rollout.rollout_processor(), rollout.EVENT_SCHEMA, "Append", "None")
     return write_stream(parsed, out, checkpoint, "append", interval)

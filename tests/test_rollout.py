@@ -107,6 +107,24 @@ def test_zero_observation_hands_flags_on():
     assert len(events) == 1 and events[0]["flags"] == ["initial_cumulative_history_unattributed", "cumulative_gap"]
 
 
+def test_lines_that_no_machine_can_read():
+    whole = meta(), turn(), count(usage(4, 1), usage(4, 1))
+    huge = json.dumps(count(usage(7, 1), usage(3, 0))).replace('"input_tokens": 7', '"input_tokens": 1e999')
+    digits = huge.replace("1e999", "9" * 5000)
+    for odd in (huge, digits):
+        events, warnings, withheld = feed(*whole, odd, count(usage(9, 2), usage(2, 1)))
+        assert len(events) == 2 and "invalid_counter" in warnings and withheld
+    for odd in ("[" * 200_000, '{"a":' * 100_000):
+        events, _, withheld = feed(*whole, odd, count(usage(6, 2), usage(2, 1)))
+        assert [e["input_tokens"] for e in events] == [4, 2] and withheld == ["invalid_json"]
+    for at, shown in (("0001-01-01T00:00:00+14:00", "0000-12-31T10:00:00.000Z"), ("9999-12-31T23:59:59.9999-14:00", "+010000-01-01T13:59:59.999Z")):
+        events, warnings, _ = feed(*whole, count(usage(6, 2), usage(2, 1), at), count(usage(8, 3), usage(2, 1)))
+        assert len(events) == 3 and r._iso(r._moment(at)) == shown and not warnings
+    events, warnings, withheld = feed(*whole, count(usage(6, 2), usage(2, 1), "soon"), count(usage(8, 3), usage(2, 1)))
+    assert len(events) == 2 and withheld == ["invalid_timestamp"] and withheld[0] in warnings
+    assert r._moment("1969-12-31T23:59:59.999Z") == -1 and r._moment("2026-09-01T10:00:00.1239Z") == r._moment("2026-09-01T10:00:00.123Z")
+
+
 LINES = [meta(), turn(), count(usage(100, 20), usage(100, 20)), "", "{bad", count(usage(250, 50), usage(150, 30)), record("a", usage(9, 1)), count(usage(250, 50), usage(150, 30)), count(usage(300, 60), None), count(usage(310, 61), usage(10, 1))]
 
 

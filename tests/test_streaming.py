@@ -11,12 +11,6 @@ from meterlark.streaming import pipelines as p
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(autouse=True)
-def _state_store(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-
-
 def _rows(df):
     return sorted(tuple(str(x) for x in r) for r in df.collect())
 
@@ -68,6 +62,19 @@ def test_hourly_and_lanes(spark, tmp_path):
     assert found <= all_of and {x for x in all_of if int(x[2]) < late - 3_600_000_000} <= found
 
 
+def test_state_store_is_chosen_or_demanded(spark):
+    frame, before = spark.range(1), spark.conf.get(p.PROVIDER, p.DEFAULT_PROVIDER)
+    try:
+        spark.conf.set(p.PROVIDER, p.DEFAULT_PROVIDER)
+        p.stateful(frame)
+        assert spark.conf.get(p.PROVIDER) == p.COLUMN_FAMILIES
+        spark.conf.set(p.PROVIDER, "a.store.without.Families")
+        with pytest.raises(ValueError, match="without.Families"):
+            p.stateful(frame)
+    finally:
+        spark.conf.set(p.PROVIDER, before)
+
+
 def test_changes(spark, tmp_path):
     samples = spark.createDataFrame([("a", i, "p0" if (i // 4) % 2 else "p1") for i in range(40)] + [("b", 1, None), ("b", 2, None), ("b", 3, "x")], "series string, us long, value string")
     for i, (a, b) in enumerate(((0, 9), (9, 23), (23, 99))):
