@@ -65,8 +65,3 @@ def calendar_projection(windows: DataFrame, weights: DataFrame, now_us: int, key
         F.round(clamp(F.col("last_pct") + k75 * rise), 4).alias("hi_pct"),
         "eta_ms",
     )
-
-
-def projected_curve(now: float, used: float, end: float, points: int) -> list[tuple[int, float]]:
-    """A straight curve of so many points from `used` now to the projected end, clamped to 0..100."""
-    return [(i, min(100.0, max(0.0, used + (end - used) * i / max(1, points - 1)))) for i in range(points)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.functions.scalars import dedup_key, usage_rank
+from meterlark.sources.shared import written
 
 USAGE_COLUMNS = ("input_tokens", "output_tokens", "thinking_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "output_final")
 
@@ -20,15 +21,48 @@ def dedup_batch(feed: DataFrame, order: str = "arrival") -> DataFrame:
 def dedup_upsert(feed: DataFrame, order: str = "arrival") -> DataFrame:
     """Identity columns of the first arrival with the usage columns of the highest rank (first arrival on a tie).
 
-    Rows without a request id never replace what is there: of those the first arrival stays whole.
+    Rows without a request id never replace what is there, and one is refused that has the message or the content of
+    an earlier one: of those only first arrivals stay, whole.
     """
     identity = [c for c in feed.columns if c not in USAGE_COLUMNS]
-    merged = feed.groupBy(dedup_key().alias("dedup_key")).agg(
+    blank = F.col("request_id") == ""
+    merged = feed.groupBy(dedup_key().alias("dedup_key"), F.when(blank, F.col("message_id")).alias("_message")).agg(
         F.min_by(F.struct(*identity), F.struct(order, "event_id")).alias("i"),
-        F.max_by(F.struct(*USAGE_COLUMNS), F.struct(F.when(F.col("request_id") == "", F.lit(0)).otherwise(usage_rank()), -F.col(order), -F.col("event_id"))).alias("u"),
+        F.max_by(F.struct(*USAGE_COLUMNS), F.struct(F.when(blank, F.lit(0)).otherwise(usage_rank()), -F.col(order), -F.col("event_id"))).alias("u"),
         F.count("*").alias("copies"),
     )
-    return merged.select("dedup_key", "i.*", "u.*", "copies")
+    flat = merged.select("dedup_key", "_message", "i.*", "u.*", "copies")
+    alone = F.col("_message").isNull()
+    rivals = first_inserts(flat.where(~alone), ["_message", "dedup_key"], [order, "event_id"])
+    return flat.where(alone).unionByName(rivals).drop("_message")
+
+
+def first_inserts(rows: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
+    """Rows as they enter a table one by one in order, where a row that equals an earlier one in any column of `unique` is refused.
+
+    A refused row refuses nobody, so this is decided in rounds: a row that is first among those undecided by every
+    column stays, what shares a value with it goes. Rows without a rival are decided in the first round; each round is
+    written, and most inputs need one or two.
+    """
+    kept, left = None, rows
+    place = F.struct(*order)
+    while True:
+        marked = left.withColumn("_o", place)
+        for i, c in enumerate(unique):
+            firsts = left.groupBy(c).agg(F.min(place).alias(f"_f{i}"), F.count("*").alias(f"_n{i}"))
+            marked = marked.join(firsts, c)
+        first = F.lit(True)
+        for i in range(len(unique)):
+            first = first & (F.col("_o") == F.col(f"_f{i}"))
+        marked = written(marked.withColumn("_first", first).select(*rows.columns, "_first"), "insert-round")
+        stay = marked.where("_first").drop("_first")
+        kept = stay if kept is None else kept.unionByName(stay)
+        left = marked.where("NOT _first").drop("_first")
+        for c in unique:
+            left = left.join(stay.select(c), c, "left_anti")
+        left = left.select(*rows.columns)
+        if left.isEmpty():
+            return kept.select(*rows.columns)
 
 
 def insert_once(feed: DataFrame, keys: list[str], order: str, body: str) -> tuple[DataFrame, DataFrame]:

@@ -53,14 +53,24 @@ def lane_overlaps(spans: DataFrame, least_us: int = 5 * MINUTE_US, bucket_us: in
     return once.select("a", "b", start.alias("from_us"), end.alias("to_us")).where(F.col("to_us") - F.col("from_us") >= least_us)
 
 
-def split_at(spans: DataFrame, width_us: int, key: str = "machine_id") -> DataFrame:
-    """Spans cut at the multiples of width_us, tokens shared by duration (a span counts a minute at least)."""
-    first, last = F.floor(F.col("from_us") / width_us), F.floor(F.greatest(F.col("to_us") - 1, F.col("from_us")) / width_us)
-    pieces = spans.withColumn("_b", F.explode(F.sequence(first, last)))
-    start, end = F.greatest(F.col("from_us"), F.col("_b") * width_us), F.least(F.col("to_us"), (F.col("_b") + 1) * width_us)
-    length, whole = F.greatest(end - start, F.lit(0)), F.greatest(F.col("to_us") - F.col("from_us"), F.lit(0))
-    share = F.when(whole > 0, length / whole).otherwise(1.0)
-    return pieces.select(key, "span", start.alias("from_us"), end.alias("to_us"), F.round(F.col("tokens") * share, 4).alias("tokens"), (F.col("_b") > first).alias("carried_over"))
+def split_at(spans: DataFrame, boundaries: DataFrame, bucket_us: int = 24 * HOUR_US, key: str = "machine_id") -> DataFrame:
+    """Spans cut at the boundaries(boundary_us) that lie strictly inside them.
+
+    Tokens and events are shared by duration, where a span counts a minute at least; intensity is a piece's rate over
+    the largest one of all; pieces after a cut are carried over. Boundaries meet spans by bucket of time.
+    """
+    low, high = F.floor(F.col("from_us") / bucket_us), F.floor(F.col("to_us") / bucket_us)
+    touched = spans.select(key, "span", "from_us", "to_us", F.explode(F.sequence(low, high)).alias("_b"))
+    marks = boundaries.select("boundary_us", F.floor(F.col("boundary_us") / bucket_us).alias("_b")).distinct()
+    inside = touched.join(marks, "_b").where("from_us < boundary_us AND boundary_us < to_us").groupBy(key, "span").agg(F.array_sort(F.collect_set("boundary_us")).alias("_cuts"))
+    ends = spans.join(inside, [key, "span"], "left").withColumn("_at", F.concat(F.array("from_us"), F.coalesce("_cuts", F.array().cast("array<bigint>")), F.array("to_us")))
+    pieces = ends.select("*", F.posexplode(F.slice("_at", F.lit(1), F.size("_at") - 1)).alias("_i", "_from")).withColumn("_to", F.element_at("_at", F.col("_i") + 2))
+    share = (F.col("_to") - F.col("_from")) / F.greatest(F.lit(MINUTE_US), F.col("to_us") - F.col("from_us"))
+    shared = pieces.withColumns({"_tokens": F.col("tokens") * share, "_events": F.floor(F.col("events") * share + 0.5)})
+    rated = shared.withColumn("_rate", F.col("_tokens") / F.greatest(F.lit(MINUTE_US), F.col("_to") - F.col("_from")))
+    top = rated.agg(F.max("_rate").alias("_top"))
+    intensity = F.coalesce(F.try_divide("_rate", "_top"), F.lit(0.0))
+    return rated.crossJoin(F.broadcast(top)).select(key, "span", F.col("_from").alias("from_us"), F.col("_to").alias("to_us"), F.round("_tokens", 4).alias("tokens"), F.col("_events").alias("events"), F.round(intensity, 6).alias("intensity"), (F.col("_i") > 0).alias("carried_over"))
 
 
 def blocks(events: DataFrame, window_us: int = 5 * HOUR_US, key: str = "profile_id") -> DataFrame:

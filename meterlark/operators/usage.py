@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,39 @@ def usage_hourly(usage: DataFrame) -> DataFrame:
     )
 
 
+#: What is added up in the hourly rollup, for each session; cost in millionths, as the store rounds it.
+COUNTED = ("events", *TOKEN_PARTS, "thinking_tokens", "cost_micro", "priced", "unpriced_events")
+
+
+def hourly_rows(usage: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each request of usage(…, cost_usd) as what it adds to its session's hour: keep, group and COUNTED columns."""
+    micro = F.round(F.col("cost_usd") * 1_000_000, 0).cast("long")
+    one = lambda c: F.when(c, F.lit(1)).otherwise(0).cast("long")
+    counts = {"events": F.lit(1).cast("long"), "cost_micro": F.coalesce(micro, F.lit(0)).cast("long"), "priced": one(F.col("cost_usd").isNotNull()), "unpriced_events": one(F.col("cost_usd").isNull())}
+    hour = (F.floor(F.col("us") / 3_600_000_000) * 3_600_000_000).cast("long")
+    return usage.select(*keep, "profile_id", "machine_id", "model", hour.alias("hour_us"), F.coalesce("session_id", F.lit("")).alias("session_id"), *[counts.get(c, F.col(c).cast("long")).alias(c) for c in COUNTED])
+
+
+def rolled_up(rows: DataFrame) -> DataFrame:
+    """hourly_rows(), or sums of them, as the rollup: a session counts while it has a request in the hour."""
+    by_session = rows.groupBy("profile_id", "machine_id", "model", "hour_us", "session_id").agg(*[F.sum(c).alias(c) for c in COUNTED])
+    shown = by_session.where("events > 0").groupBy("profile_id", "machine_id", "model", F.timestamp_micros("hour_us").cast("timestamp_ntz").alias("hour"))
+    total = F.lit(0)
+    for part in TOKEN_PARTS:
+        total = total + F.sum(part)
+    sums = [F.sum(c).alias(c) for c in (*TOKEN_PARTS, "thinking_tokens")]
+    cost = F.when(F.sum("priced") > 0, F.round(F.sum("cost_micro") / 1_000_000, 6))
+    return shown.agg((F.first("model") != "<synthetic>").alias("counts_toward_quota"), F.sum("events").alias("events"), F.count("*").alias("sessions"), *sums, total.alias("total_tokens"), cost.alias("cost_usd"), F.sum("unpriced_events").alias("unpriced_events"))
+
+
+def hourly_view(usage: DataFrame) -> DataFrame:
+    """The whole rollup by profile, machine, model and UTC hour of usage(…, cost_usd): all sums, cost, and what has no price.
+
+    Requests that do not count toward the quota stay, marked; cost is null where nothing has a price.
+    """
+    return rolled_up(hourly_rows(usage))
+
+
 def models_seen(usage: DataFrame, since_us: int) -> DataFrame:
     return usage.where(F.col("us") >= since_us).groupBy("model").agg(F.count("*").alias("events"), F.max("us").alias("last_us"))
 
@@ -123,16 +158,28 @@ def attribution_shares(usage: DataFrame) -> DataFrame:
 
 
 def merge_forks(sessions: DataFrame) -> DataFrame:
-    """Sessions with the same title, project and machine count as the earliest of them (the smaller id on a tie)."""
-    groups = sessions.groupBy("title", "project", "machine_id").agg(F.min_by("session_id", F.struct("first_us", "session_id")).alias("session_id"), F.countDistinct("session_id").alias("members"), F.sum("total_tokens").alias("total_tokens"))
-    return groups
+    """Sessions with the same title, project and machine count as the earliest of them (the smaller id on a tie).
+
+    A session without a title is one of its own.
+    """
+    untitled = F.coalesce(F.col("title"), F.lit("")) == ""
+    keys = ["title", "project", "machine_id"]
+    groups = sessions.groupBy(*keys, F.when(untitled, F.col("session_id")).alias("_own")).agg(F.min_by("session_id", F.struct("first_us", "session_id")).alias("session_id"), F.countDistinct("session_id").alias("members"), F.sum("total_tokens").alias("total_tokens"))
+    return groups.drop("_own")
 
 
 def treemap_areas(distributed: DataFrame, floor: float = 0.02, most: float = 0.25) -> DataFrame:
-    """Areas that grow with tokens above a floor for each key; all floors together take at most a quarter."""
-    total = distributed.agg(F.sum("total_tokens").cast("double").alias("_all"), F.count("*").alias("_n"))
-    each = F.least(F.lit(floor), F.lit(most) / F.col("_n"))
-    return distributed.crossJoin(F.broadcast(total)).select("key", F.round(each + (1 - each * F.col("_n")) * F.try_divide(F.col("total_tokens"), F.col("_all")), 6).alias("area"))
+    """Areas in tokens: each key's own, but at least `floor` of all, and a thousandth of its own more to keep the order.
+
+    Keys below the floor together take at most `most` of all; where they would take more, the floor is shared out
+    among them. Without tokens every area is 1.
+    """
+    total = distributed.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("double").alias("_all"))
+    small = distributed.crossJoin(F.broadcast(total)).where(F.col("total_tokens") < floor * F.col("_all")).agg(F.count("*").alias("_small"))
+    least = F.when(F.col("_small") * floor > most, F.lit(most) / F.col("_small")).otherwise(floor) * F.col("_all")
+    both = distributed.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(small))
+    area = F.when(F.col("_all") <= 0, 1.0).otherwise(F.greatest(F.col("total_tokens").cast("double"), least) + F.col("total_tokens") * 1e-3)
+    return both.select("key", F.round(area, 4).alias("area"))
 
 
 def scratch_labels(usage: DataFrame) -> DataFrame:

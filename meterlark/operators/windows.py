@@ -11,6 +11,7 @@ from meterlark.functions.scalars import clamp_pct
 from meterlark.operators import attribution, ordered
 from meterlark.operators.ordered import HOUR_US, MINUTE_US, asof_backward
 from meterlark.operators.scan import Scan
+from meterlark.sources.shared import written
 
 WEEK_US = 168 * HOUR_US
 #: Group starts of the same week differ by less than a second between answers; ten minutes tell weeks apart.
@@ -66,7 +67,9 @@ def noncode_series(samples: DataFrame, keys: Sequence[str] = ("profile_id",)) ->
     fell = F.col("_p") - F.col("weekly_pct")
     week = F.when(F.col("_k").isNotNull() & F.col("_known").isNotNull(), F.col("_k") != F.col("_known")).otherwise(fell > 0)
     cut = Scan(samples.withColumn("_k", key), keys).last(before=True, _known="_k").runs({"_p": "weekly_pct"}, run=F.col("_p").isNotNull() & (week | (fell >= 2))).frame()
-    fitted = attribution.isotonic_fit(cut.select(*keys, "us", "run", "week_start_us", (F.col("weekly_pct") * F.col("share_pct") / 100).alias("value")), [*keys, "run"], "value")
+    # A table here: every later step reads the runs more than once.
+    points = written(cut.select(*keys, "us", "run", "week_start_us", (F.col("weekly_pct") * F.col("share_pct") / 100).alias("value")), "share-runs")
+    fitted = attribution.isotonic_fit(points, [*keys, "run"], "value")
     return fitted.select(*keys, "us", "run", "week_start_us", F.col("fitted").alias("value"))
 
 
@@ -77,7 +80,8 @@ def increase_between(spans: DataFrame, series: DataFrame, keys: Sequence[str] =
     known, but if its week began within the span its own value is an increase too.
     """
     step = F.when(F.col("_pr").isNull(), 0.0).when(F.col("_pr") != F.col("run"), F.col("value")).otherwise(F.col("value") - F.col("_pv"))
-    summed = Scan(series, keys).lag(_pr="run", _pv="value").running(_sum=step).frame()
+    series = written(series.select(*keys, "us", "run", "week_start_us", "value"), "share-series")
+    summed = written(Scan(series, keys).lag(_pr="run", _pv="value").running(_sum=step).frame().select(*keys, "us", "_sum"), "share-sums")
     firsts = series.groupBy(*keys).agg(F.min_by("value", "us").alias("_first"), F.min_by("week_start_us", "us").alias("_began"))
     at = spans
     for moment, column in (("from_us", "_a"), ("to_us", "_z")):
@@ -140,8 +144,9 @@ def window_costs(windows: DataFrame, samples: DataFrame, costed: DataFrame, buck
     has no price, nothing was spent, or less than LEAST_LOCAL_PCT points are local.
     """
     keys = ["profile_id", "end_us"]
-    own = in_ranges(samples, windows, ["profile_id"], bucket_us).where(F.abs(F.col("resets_us") - F.col("end_us")) <= ROUND_US)
-    inside = in_ranges(costed, windows, ["profile_id"], bucket_us)
+    windows = written(windows.select("profile_id", "start_us", "end_us"), "cost-windows")
+    own = written(in_ranges(samples, windows, ["profile_id"], bucket_us).where(F.abs(F.col("resets_us") - F.col("end_us")) <= ROUND_US).select(*keys, "us", "pct"), "cost-samples")
+    inside = written(in_ranges(costed, windows, ["profile_id"], bucket_us).select(*keys, "us", "cost_usd", "output_final"), "cost-events")
     state = ordered.cumulative_usage(own.select(*keys, "us", "pct"), keys).select(*keys, "cumulative_pct", "last_pct")
     ends = own.groupBy(*keys).agg(F.max("us").alias("last_us"))
     quiet = attribution.quiet_attribution(own.select(*keys, "us", "pct"), inside.select(*keys, "us"), keys)

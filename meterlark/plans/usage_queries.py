@@ -10,6 +10,7 @@ from meterlark.functions.scalars import counts_toward_quota, quota_tokens, waste
 from meterlark.operators import attribution, dedup, ledger, ordered
 from meterlark.operators import usage as u
 from meterlark.sources import synthetic
+from meterlark.sources.shared import written
 
 HOUR_US = ordered.HOUR_US
 
@@ -50,6 +51,11 @@ def usage_hourly(spark, sf_dir):
     return u.usage_hourly(synthetic.usage(spark, sf_dir))
 
 
+def usage_hourly_view(spark, sf_dir):
+    """The hourly rollup with all its sums, cost and what has no price."""
+    return u.hourly_view(priced_usage(spark, sf_dir))
+
+
 def models_seen(spark, sf_dir):
     return u.models_seen(synthetic.usage(spark, sf_dir), 0)
 
@@ -88,7 +94,8 @@ def event_cost(spark, sf_dir):
 
 def fork_merge(spark, sf_dir):
     s = _tokens(spark, sf_dir).groupBy("session_id", "machine_id", F.coalesce("project", F.lit("(unknown)")).alias("project")).agg(F.min("us").alias("first_us"), F.sum("tokens").alias("total_tokens"))
-    return u.merge_forks(s.withColumn("title", F.concat(F.lit("title "), F.substring("session_id", -1, 1))))
+    named = F.when(~F.col("session_id").endswith("7"), F.concat(F.lit("title "), F.substring("session_id", -1, 1)))
+    return u.merge_forks(s.withColumn("title", named))
 
 
 def treemap_areas(spark, sf_dir):
@@ -131,7 +138,9 @@ def lane_overlaps(spark, sf_dir):
 
 
 def gantt_split(spark, sf_dir):
-    return ordered.split_at(ordered.lanes(_tokens(spark, sf_dir), 30 * ordered.MINUTE_US), 5 * HOUR_US)
+    """Spans of activity cut at the ends of the five-hour windows that the quota samples name."""
+    ends = _quota(spark, sf_dir, "five_hour").select(F.col("resets_us").alias("boundary_us")).distinct()
+    return ordered.split_at(ordered.lanes(_tokens(spark, sf_dir), 30 * ordered.MINUTE_US), ends)
 
 
 def usage_blocks(spark, sf_dir):
@@ -150,7 +159,7 @@ def samples_of_window(spark, sf_dir):
 
 def _newest_segment(q: DataFrame) -> DataFrame:
     last = dedup.latest_by(q, ["profile_id", "window_kind"], "us").select("profile_id", "window_kind", "resets_us")
-    current = ordered.reset_segments(q.join(F.broadcast(last), ["profile_id", "window_kind", "resets_us"]))
+    current = ordered.reset_segments(q.join(last, ["profile_id", "window_kind", "resets_us"]))
     newest = current.groupBy("profile_id", "window_kind", "resets_us").agg(F.max("segment").alias("segment"))
     return current.join(newest, ["profile_id", "window_kind", "resets_us", "segment"])
 
@@ -169,7 +178,7 @@ def calendar_projection(spark, sf_dir):
     week = synthetic.WINDOW_US["seven_day"]
     windows = rates.join(state, ["profile_id", "resets_us"]).select("profile_id", (F.col("resets_us") - week).alias("start_us"), F.col("resets_us").alias("end_us"), "last_pct", F.greatest("cumulative_pct", "last_pct").alias("cumulative_pct"), "rate", "low", "high")
     since = windows.select("profile_id", (F.col("start_us") - 4 * week).alias("since_us"))
-    history = _tokens(spark, sf_dir).join(F.broadcast(since), "profile_id").where((F.col("us") >= F.col("since_us")) & (F.col("us") < now))
+    history = _tokens(spark, sf_dir).join(since, "profile_id").where((F.col("us") >= F.col("since_us")) & (F.col("us") < now))
     return calendar.calendar_projection(windows, calendar.weekday_weights(history), now)
 
 
@@ -177,22 +186,22 @@ def windows_current(spark, sf_dir):
     """The current state of every window: cumulative use, resets, projection, and what of it came from elsewhere.
 
     All windows are projected by recent rates, as in the twin; windows_current_full has the long ones by weekday. The
-    samples of the current windows, which time bounds, are kept for the three operators that read them.
+    samples of the current windows, which time bounds, are a table for the three operators that read them.
     """
     keys = ["profile_id", "window_kind"]
     q = _quota(spark, sf_dir)
     # The reset alone: nothing else of the samples has to be computed for it.
     last = q.groupBy(*keys).agg(F.max_by("resets_us", "us").alias("resets_us"))
-    current = q.join(F.broadcast(last), [*keys, "resets_us"]).persist()
+    current = written(q.join(last, [*keys, "resets_us"]), "current-samples")
     state = ordered.cumulative_usage(current)
     events = _tokens(spark, sf_dir).select("profile_id", "us")
     first = current.groupBy(*keys).agg((F.min("us") - attribution.GAP_US).alias("_from"))
     # Only events that a sample of the window can see.
-    near = events.join(F.broadcast(first), "profile_id").where("us >= _from").drop("_from")
+    near = events.join(first, "profile_id").where("us >= _from").drop("_from")
     quiet = attribution.quiet_attribution(current, near, keys)
     cut = ordered.reset_segments(current)
     newest = cut.groupBy(*keys).agg(F.max("segment").alias("segment"))
-    projected = ordered.project(cut.join(F.broadcast(newest), [*keys, "segment"]), _now(spark, sf_dir)).select(*keys, "rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms")
+    projected = ordered.project(cut.join(newest, [*keys, "segment"]), _now(spark, sf_dir)).select(*keys, "rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms")
     return state.join(projected, keys).join(quiet, keys).select(*keys, window_label().alias("label"), "resets_us", "cumulative_pct", "resets", "rate", "mid_pct", "lo_pct", "hi_pct", "eta_ms", "observed_pct", "other_pct", "ambiguous_pct", "quiet_spans", "gaps")
 
 
@@ -304,7 +313,7 @@ QUERIES |= {f"distribution_series_{unit}": _series(unit) for unit in ("hour", "d
 QUERIES |= {
     f.__name__: f
     for f in (
-        usage_hourly, models_seen, unpriced_models, usage_totals, share_pct, top_n_rest, heat_grid, cache_trend, attribution_shares, event_cost, fork_merge, treemap_areas, scratch_labels,
+        usage_hourly, usage_hourly_view, models_seen, unpriced_models, usage_totals, share_pct, top_n_rest, heat_grid, cache_trend, attribution_shares, event_cost, fork_merge, treemap_areas, scratch_labels,
         dedup_batch, dedup_upsert, latest_per_kind, active_profile, quota_resets_rounded, timeline_lanes, lane_overlaps, gantt_split, usage_blocks, reset_segments, samples_of_window,
         window_projection, calendar_projection, windows_current, multi_machine_overlap, session_cut_rate, window_metrics, weekday_weights, calendar_weight, timeline_asof, quiet_attribution, calib_observations,
         limit_ratio, noncode_increase, isotonic_fit, calibration_nnls, b_usage_model, b_usage_day, b_coverage, b_periods, b_full_cost,

@@ -53,7 +53,7 @@ def quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of the official percentage: profile_id, window_kind, us, pct, resets_us; it falls to 0 at every 17th sample."""
     from pyspark.sql import Window
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 2 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     base = e.select(F.concat(F.lit("p"), F.floor(F.col("event_id") / 2) % 2).alias("profile_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
     kinds = [base.select("*", F.lit(kind).alias("window_kind"), (F.floor(F.col("us") / width) * width + width).alias("resets_us"), F.lit(step).alias("step")) for kind, width, step in (("five_hour", WINDOW_US["five_hour"], 3.0), ("seven_day", WINDOW_US["seven_day"], 0.5))]
     both = kinds[0].unionByName(kinds[1])
@@ -87,6 +87,14 @@ QUOTA_SQL = """quota AS (
   FROM (
     SELECT 'p' || ((event_id // 2) % 2) AS profile_id, epoch_us(ts) AS us, event_id, k.kind AS window_kind, (epoch_us(ts) // k.width) * k.width + k.width AS resets_us, k.step AS step
     FROM events, (VALUES ('five_hour', 18000000000, 3.0::DOUBLE), ('seven_day', 604800000000, 0.5::DOUBLE)) k(kind, width, step)
-    WHERE event_id % 2 = 0
   )
 )"""
+
+
+def jittered(quota: DataFrame) -> DataFrame:
+    """quota as the vendor tells it: reset times differ by up to two seconds between answers, and some answers have none."""
+    near = F.col("resets_us") + F.pmod(F.col("us"), F.lit(4_000_001)) - 2_000_000
+    return quota.withColumn("resets_us", F.when(F.col("us") % 11 != 0, near))
+
+
+JITTER_SQL = """told AS (SELECT profile_id, window_kind, us, pct, resets_us AS plain_us, CASE WHEN us % 11 <> 0 THEN resets_us + us % 4000001 - 2000000 END AS resets_us FROM quota)"""

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
 from meterlark.functions.scalars import counts_toward_quota, dedup_key, quota_tokens, usage_rank
-from meterlark.operators import dedup, rollout
+from meterlark.operators import rollout
+from meterlark.sources.store import Store, stored_records
 from meterlark.sources.wire import decode_events, sse_frame
 
 #: How long windowed streams wait for late records.
@@ -50,46 +51,37 @@ def stateful(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def guarded(now_us: Column | int, since_us: int | None = None) -> Column:
-    """Whether a record is refused: too far in the future, or before the day collection starts."""
+def guarded(now_us: Column | int, since_us: int | None = None, us: Column | None = None) -> Column:
+    """Why a record is refused: too far in the future, or before the day collection starts; null where it is not."""
+    at = F.col("us") if us is None else us
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
-    early = F.lit(False) if since_us is None else F.col("us") < since_us
-    return F.when(F.col("us") > now + AHEAD_US, "future").when(early, "before_start")
+    early = F.lit(False) if since_us is None else at < since_us
+    return F.when(at > now + AHEAD_US, "future").when(early, "before_start")
 
 
 # --- ingest ---------------------------------------------------------------------------------------------
 
 
-def ingest(lines: DataFrame, store: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Decode transport lines(value) into the log of a store; lines that are invalid go to its quarantine.
+def ingest(lines: DataFrame, store: str, checkpoint: str, interval: str | None = None, since_us: int | None = None, now_us: int | None = None) -> StreamingQuery:
+    """Decode transport lines(value) into a store of records; lines that are invalid or refused go to its quarantine, with the reason.
 
-    A bad line is set aside alone, so a batch is never refused for it. Each batch is a folder of its own.
+    A bad line is set aside alone, so a batch is never refused for it. Each batch is an epoch of the store, which takes
+    it once; records keep the order that they came in. Now is the clock's, unless told.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        try:
-            decoded = decode_events(batch.select("value", F.col("value").alias("line")))
-            good = decoded.where("event IS NOT NULL").select("event.*", F.lit(epoch).cast("long").alias("arrival"))
-            good.write.mode("overwrite").parquet(f"{store}/log/epoch={epoch}")
-            decoded.where("invalid").select("line").write.mode("overwrite").parquet(f"{store}/quarantine/epoch={epoch}")
-        finally:
-            batch.unpersist()
+        now = F.unix_micros(F.current_timestamp()) if now_us is None else now_us
+        decoded = decode_events(batch.select("value", F.col("value").alias("line")))
+        told = decoded.withColumn("reason", F.when(F.col("invalid"), "invalid").otherwise(guarded(now, since_us, F.col("event.us"))))
+        Store(batch.sparkSession, store).append_records(told.where("reason IS NULL").select("event.*"), epoch)
+        told.where("reason IS NOT NULL").select("line", "reason").write.mode("overwrite").parquet(f"{store}/quarantine/epoch={epoch}")
 
     return _started(lines.writeStream.foreachBatch(write), checkpoint, interval)
 
 
 def stored_usage(spark: SparkSession, store: str) -> DataFrame:
     """What the store holds: one row for each record, by rank and first arrival, merged as it is read."""
-    log = spark.read.parquet(f"{store}/log").drop("epoch")
-    return dedup.dedup_upsert(log.withColumn("event_id", F.xxhash64("message_id", "request_id", "semantic_id", "machine_id")))
-
-
-def compact(spark: SparkSession, store: str, upto: int) -> None:
-    """Rewrite the epochs up to one as a single merged epoch; rows that were overtaken go."""
-    log = spark.read.parquet(f"{store}/log").where(F.col("epoch") <= upto)
-    merged = dedup.dedup_upsert(log.drop("epoch").withColumn("event_id", F.xxhash64("message_id", "request_id", "semantic_id", "machine_id"))).drop("dedup_key", "copies", "event_id")
-    merged.write.mode("overwrite").parquet(f"{store}/compacted/epoch={upto}")
+    return stored_records(Store(spark, store))
 
 
 # --- stateful deduplication ---------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from meterlark.operators import dedup, ordered
 from meterlark.operators import usage as u
 from meterlark.sources import raw, synthetic, wire
+from meterlark.sources.store import Store
 from meterlark.streaming import pipelines as p
 
 SF = "/root/testdata/sf0.001"
@@ -31,10 +32,24 @@ def test_ingest_store_and_quarantine(spark, tmp_path):
         p.ingest(_stream(spark, lines, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(180)
     decoded = wire.decode_events(lines)
     stored = p.stored_usage(spark, str(tmp_path / "store"))
+    before = _rows(stored)
     assert _rows(stored.select("message_id", "request_id", "output_tokens", "us")) == _rows(decoded.where("event IS NOT NULL").select("event.message_id", "event.request_id", "event.output_tokens", "event.us"))
     assert spark.read.parquet(str(tmp_path / "store/quarantine")).count() == decoded.where("invalid").count() > 0
-    p.compact(spark, str(tmp_path / "store"), 100)
-    assert spark.read.parquet(str(tmp_path / "store/compacted")).count() == stored.count()
+    records = Store(spark, str(tmp_path / "store"))
+    assert records.epochs() == {0, 1, 2}
+    records.compact_all()
+    assert len(records.version()[1]) == 1 and _rows(p.stored_usage(spark, str(tmp_path / "store"))) == before
+
+
+def test_guard_refuses_what_is_out_of_time(spark, tmp_path):
+    lines = raw.transport_lines(spark, SF)
+    _parts(lines, str(tmp_path / "in"), 1)
+    times = [r["us"] for r in wire.accepted_events(lines.select("value")).select("us").collect()]
+    since, now = sorted(times)[len(times) // 10], sorted(times)[-len(times) // 10]
+    p.ingest(_stream(spark, lines, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"), since_us=since, now_us=now - p.AHEAD_US).awaitTermination(180)
+    reasons = {r["reason"]: r["count"] for r in spark.read.parquet(str(tmp_path / "store/quarantine")).groupBy("reason").count().collect()}
+    assert reasons["future"] == sum(t > now for t in times) > 0 and reasons["before_start"] == sum(t < since for t in times) > 0
+    assert p.stored_usage(spark, str(tmp_path / "store")).agg(F.min("us"), F.max("us")).first() == (since, now)
 
 
 def test_stateful_dedup_ends_with_the_best(spark, tmp_path):
