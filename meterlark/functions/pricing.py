@@ -23,9 +23,104 @@ EXAMPLE = {
 _SCHEMA = "name string, version string, rates map<string,double>, tiers array<struct<prompt_over:bigint,rates:map<string,double>,multiply:map<string,double>>>"
 
 
+#: Rates that an entry may name; cache_write is one price for writes of any length, which the second ledger takes (fixed values).
+RATES = (*PARTS, "cache_write")
+#: Names of the older format of five fields, all of which an entry must have (fixed values).
+LEGACY = {"inputPerMTok": "input", "outputPerMTok": "output", "cacheReadPerMTok": "cache_read", "cacheWrite5mPerMTok": "cache_write_5m", "cacheWrite1hPerMTok": "cache_write_1h"}
+#: Fields of an entry that are no price (fixed values).
+ABOUT = ("tiers", "aliases", "source", "verified_at", "note", "provider")
+
+
+def _price(x) -> bool:
+    import math
+
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) and x >= 0
+
+
+class Refused(Exception):
+    """Why an entry of a price file cannot be used."""
+
+
+def _rates(raw, where: str, factors: bool = False) -> dict[str, float]:
+    """Rates, or factors of them, by part; a factor of 0 would hide a price."""
+    if not isinstance(raw, dict):
+        raise Refused(f"{where}: must be an object")
+    for part, x in raw.items():
+        if part not in RATES:
+            raise Refused(f'{where}: unknown rate "{part}"')
+        if not _price(x) or (factors and x == 0):
+            raise Refused(f"{where}.{part}: must be a {'positive' if factors else 'non-negative'} number")
+    return {part: float(x) for part, x in raw.items()}
+
+
+def _tiers(raw, where: str) -> list[dict]:
+    if not isinstance(raw, list):
+        raise Refused(f"{where}.tiers: must be an array")
+    out = []
+    for i, tier in enumerate(raw):
+        at = f"{where}.tiers[{i}]"
+        over = tier.get("prompt_over") if isinstance(tier, dict) else None
+        if isinstance(over, bool) or not isinstance(over, (int, float)) or over != int(over) or not 0 < over < 1 << 53:
+            raise Refused(f"{at}: prompt_over must be a positive integer")
+        extra = [k for k in tier if k not in ("prompt_over", "rates", "multiply") and not k.startswith("_")]
+        if extra:
+            raise Refused(f'{at}: unknown field "{extra[0]}"')
+        rates, multiply = _rates(tier.get("rates", {}), f"{at}.rates"), _rates(tier.get("multiply", {}), f"{at}.multiply", True)
+        if not rates and not multiply:
+            raise Refused(f"{at}: needs rates or multiply")
+        out.append({"prompt_over": int(over), "rates": rates, "multiply": multiply})
+    out.sort(key=lambda t: t["prompt_over"])
+    if len({t["prompt_over"] for t in out}) < len(out):
+        raise Refused(f"{where}.tiers: duplicate prompt_over")
+    return out
+
+
+def _entry(name: str, raw) -> dict:
+    where = f'model "{name}"'
+    if not isinstance(raw, dict):
+        raise Refused(f"{where}: must be an object")
+    if any(k in raw for k in LEGACY):
+        missing = [k for k in LEGACY if not _price(raw.get(k))]
+        if missing:
+            raise Refused(f"{where}: {missing[0]} must be a non-negative number")
+        return {"rates": {part: float(raw[k]) for k, part in LEGACY.items()}, "tiers": [], "aliases": []}
+    rates = _rates({k: v for k, v in raw.items() if k not in ABOUT and not k.startswith("_")}, where)
+    if "input" not in rates or "output" not in rates:
+        raise Refused(f"{where}: input and output are required")
+    aliases = raw.get("aliases", [])
+    if not isinstance(aliases, list) or not all(isinstance(a, str) and a.strip() for a in aliases):
+        raise Refused(f"{where}.aliases: must be an array of non-empty strings")
+    return {"rates": rates, "tiers": _tiers(raw.get("tiers", []), where), "aliases": [a.strip() for a in aliases]}
+
+
+def read_price_file(text: str) -> tuple[dict, list[str]]:
+    """(catalog, errors) of a price file: {"version", "models": {...}} or the models alone, of the current or the older format.
+
+    Keys that begin with _ or $ are notes. An entry with an error is left out by itself, with the reason.
+    """
+    import json
+
+    try:
+        raw = json.loads(text)
+    except (ValueError, RecursionError) as e:
+        return {}, [f"pricing file is no JSON: {e}"]
+    if not isinstance(raw, dict):
+        return {}, ["pricing file is not an object"]
+    models = raw["models"] if isinstance(raw.get("models"), dict) else {k: v for k, v in raw.items() if k != "version"}
+    catalog, errors = {}, []
+    for name, entry in models.items():
+        if name.startswith(("_", "$")):
+            continue
+        try:
+            catalog[name] = _entry(name, entry)
+        except Refused as e:
+            errors.append(str(e))
+    return catalog, errors
+
+
 def validate(entry: dict) -> list[str]:
     """What is wrong with a catalog entry; a catalog with any error is refused whole."""
-    wrong = [f"{part}: not a price" for part, x in entry.get("rates", {}).items() if part not in PARTS or not isinstance(x, (int, float)) or isinstance(x, bool) or not x >= 0]
+    wrong = [f"{part}: not a price" for part, x in entry.get("rates", {}).items() if part not in RATES or not _price(x)]
     if not entry.get("rates"):
         wrong.append("no rates")
     last = -1

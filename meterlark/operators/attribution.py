@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlark.operators.ordered import MINUTE_US, asof_backward
 from meterlark.operators.scan import Scan
+from meterlark.sources.shared import written
 
 GAP_US = 30 * MINUTE_US
 
@@ -96,16 +97,50 @@ def isotonic(values: Sequence[float]) -> list[float]:
     return [m for m, n in pools for _ in range(int(n))]
 
 
-def isotonic_fit(series: DataFrame, keys: Sequence[str], value: str = "pct") -> DataFrame:
-    """series(keys, us, value) with `fitted`, fitted within each key (a key is one window, bounded by time)."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.schema.fields)
+def lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of the vertices of the lower convex hull of points with rising x; points on an edge are none."""
+    kept: list[int] = []
+    xs, ys = x.tolist(), y.tolist()
+    for i in range(len(xs)):
+        while len(kept) > 1:
+            a, b = kept[-2], kept[-1]
+            if (ys[b] - ys[a]) * (xs[i] - xs[b]) < (ys[i] - ys[b]) * (xs[b] - xs[a]):
+                break
+            kept.pop()
+        kept.append(i)
+    return np.array(kept, dtype=np.int64)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("us", kind="stable")
-        group["fitted"] = isotonic(group[value].tolist())
-        return group
 
-    return series.groupBy(*keys).applyInPandas(fit, f"{fields}, fitted double")
+def isotonic_fit(series: DataFrame, keys: Sequence[str], value: str = "pct", width_us: int = 24 * 60 * MINUTE_US) -> DataFrame:
+    """series(keys, us, value) with `fitted`, the closest non-decreasing series of each key.
+
+    The fit is the slope of the greatest convex minorant of the running sums, and hulls merge: each bucket of time gives
+    the vertices of its own hull, those of a key make the whole one, and rows find their edge as of their number. A task
+    holds the rows of one bucket, or the vertices of one key: at most one for each distinct slope and bucket.
+    """
+    plain = [c for c in series.columns]
+    names = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    summed = written(Scan(series, keys, width_us=width_us).running(_n=F.lit(1).cast("long"), _c=F.col(value).cast("double")).frame(), "running-sums")
+
+    def of_bucket(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_n")
+        # The point before the first belongs to the hull as well; that of the whole series is (0, 0).
+        n = np.concatenate(([group["_n"].iloc[0] - 1], group["_n"].to_numpy()))
+        c = np.concatenate(([group["_c"].iloc[0] - group["_v"].iloc[0]], group["_c"].to_numpy()))
+        at = lower_hull(n, c)
+        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"_n": n[at].astype("int64"), "_c": c[at]})
+
+    def of_key(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_n").drop_duplicates("_n")
+        n, c = group["_n"].to_numpy(), group["_c"].to_numpy()
+        at = lower_hull(n, c)
+        slope = np.diff(c[at]) / np.diff(n[at])
+        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"_n": n[at][:-1] + 1, "fitted": slope})
+
+    points = summed.select(*keys, F.floor(F.col("us") / width_us).alias("_b"), "_n", "_c", F.col(value).cast("double").alias("_v"))
+    vertices = points.groupBy(*keys, "_b").applyInPandas(of_bucket, f"{names}, _n long, _c double")
+    edges = written(vertices.groupBy(*keys).applyInPandas(of_key, f"{names}, _n long, fitted double"), "hull-edges")
+    return asof_backward(summed, edges, keys, "_n", "fitted", 1 << 16).select(*plain, "fitted")
 
 
 def increases(series: DataFrame, keys: Sequence[str], segment: str, value: str) -> DataFrame:
