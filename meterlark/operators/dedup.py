@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,12 @@ def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")
 
 
+def with_latest(left: DataFrame, rows: DataFrame, keys: list[str], order: str, columns: list[str], ties: Sequence[str] = ()) -> DataFrame:
+    """left with columns of the latest of its rows (of equal moments the largest ties), null where it has none."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(order, *ties)).alias("_l"))
+    return left.join(last, keys, "left").select(*left.columns, *[F.col("_l")[c].alias(c) for c in columns])
+
+
 def append_new(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """stored and those incoming rows whose key is new; of equal incoming keys one stays."""
     return stored.unionByName(incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti"))

@@ -48,6 +48,30 @@ def usage_coverage(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
     )
 
 
+DIMENSIONS = ("day", "model", "machine", "project", "session")
+
+
+def usage_buckets(df: DataFrame, zone: str = "UTC") -> DataFrame:
+    """(dimension, key, …): totals by local day, model, machine, project and session, and in all, from one pass over df.
+
+    df(us, model, machine_id, project, session_id, input_tokens, output_tokens, cost_usd). The sets are grouped
+    together: one scan, one shuffle of partial sums.
+    """
+    unknown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(unknown)"))
+    day = F.date_format(F.from_utc_timestamp(F.timestamp_micros("us"), zone), "yyyy-MM-dd")
+    named = df.select(day.alias("day"), unknown("model").alias("model"), unknown("machine_id").alias("machine"), unknown("project").alias("project"), unknown("session_id").alias("session"), "input_tokens", "output_tokens", "cost_usd")
+    tokens = F.col("input_tokens") + F.col("output_tokens")
+    dimension, key = F.lit("total"), F.lit(None).cast("string")
+    for name in DIMENSIONS:
+        dimension, key = F.when(F.grouping(name) == 0, name).otherwise(dimension), F.when(F.grouping(name) == 0, F.col(name)).otherwise(key)
+    sums = named.groupingSets([[F.col(d)] for d in DIMENSIONS] + [[]], *[F.col(d) for d in DIMENSIONS]).agg(
+        dimension.alias("dimension"), key.alias("key"), F.count("*").alias("events"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"), F.count("cost_usd").alias("priced_events"),
+        F.round(F.try_divide(F.sum(F.when(F.col("cost_usd").isNotNull(), tokens)) * 100.0, F.sum(tokens)), 4).alias("coverage_pct"),
+    )
+    return sums.drop(*DIMENSIONS)
+
+
 def periods(history: DataFrame, keys: Sequence[str] = ("profile_id", "window_kind"), drop: float = 2.0, gap_us: int = 30 * MINUTE_US, moved_us: int = 10 * MINUTE_US) -> DataFrame:
     """Billing periods of a quota history(keys, us, pct, resets_us): one row for each period.
 

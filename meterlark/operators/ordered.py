@@ -191,6 +191,18 @@ def session_cut_rate(events: DataFrame, width_us: int, keys: Sequence[str] = ("p
     return spans.groupBy(*keys).agg(F.count("*").alias("sessions"), F.round(F.avg(F.when(inside, 1.0).otherwise(0.0)), 6).alias("cut_rate"))
 
 
+def session_cuts(events: DataFrame, boundaries: DataFrame, keys: Sequence[str] = ("profile_id",)) -> DataFrame:
+    """By key how many of its sessions one of the boundaries(keys, boundary_us) lies strictly inside of.
+
+    The last boundary before a session's end decides it: if that is not after its start, none is inside.
+    """
+    spans = events.groupBy(*keys, "session_id").agg(F.min("us").alias("a"), F.max("us").alias("us"))
+    marks = boundaries.select(*keys, (F.col("boundary_us") + 1).alias("us"), F.col("boundary_us").alias("_mark"))
+    found = asof_backward(spans, marks, keys, "us", "_mark")
+    cut = F.coalesce(F.col("_mark") > F.col("a"), F.lit(False))
+    return found.groupBy(*keys).agg(F.count("*").alias("sessions"), F.count_if(cut).alias("cut_sessions"), F.round(F.avg(cut.cast("int")), 6).alias("cut_rate"))
+
+
 def complete_ticks(series: DataFrame, first: int, last: int, step: int, tick: str, values: Sequence[str]) -> DataFrame:
     """Every tick from first to last with the series' values, 0 where it has none."""
     ticks = series.sparkSession.range(first, last + 1, step).withColumnRenamed("id", tick)

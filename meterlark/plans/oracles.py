@@ -157,8 +157,11 @@ SELECT key, round(greatest(total_tokens, a * CASE WHEN small * 0.02 > 0.25 THEN
     "scratch_labels": f"WITH {PRICED_SQL}, s AS (SELECT project, session_id, sum(tokens) AS t FROM priced WHERE project IS NOT NULL GROUP BY ALL) SELECT project, arg_max(session_id, (t, session_id)) AS top_session, count(*) AS sessions FROM s GROUP BY 1",
     "dedup_batch": f"""WITH {FEED_SQL}, k AS (SELECT *, {_KEY} AS dedup_key FROM feed) SELECT dedup_key, event_id, machine_id, output_tokens, arrival FROM k
 QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY {_RANK} DESC, arrival, event_id) = 1""",
-    "dedup_upsert": f"""WITH {FEED_SQL}, k AS (SELECT *, {_KEY} AS dedup_key FROM feed) SELECT dedup_key, arg_min(event_id, (arrival, event_id)) AS event_id, arg_min(machine_id, (arrival, event_id)) AS machine_id,
-  CASE WHEN bool_or(request_id = '') THEN arg_min(output_tokens, (arrival, event_id)) ELSE arg_max(output_tokens, ({_RANK}, -arrival, -event_id)) END AS output_tokens, count(*) AS copies FROM k GROUP BY dedup_key""",
+    # Rows without a request id: no two messages of the feed have the same content, so the message alone decides.
+    "dedup_upsert": f"""WITH {FEED_SQL}, k AS (SELECT *, {_KEY} AS dedup_key FROM feed), u AS (
+  SELECT dedup_key, arg_min(event_id, (arrival, event_id)) AS event_id, arg_min(machine_id, (arrival, event_id)) AS machine_id,
+    CASE WHEN bool_or(request_id = '') THEN arg_min(output_tokens, (arrival, event_id)) ELSE arg_max(output_tokens, ({_RANK}, -arrival, -event_id)) END AS output_tokens, count(*) AS copies, min(arrival) AS arrival, bool_or(request_id = '') AS blank, min(message_id) AS message_id FROM k GROUP BY dedup_key
+) SELECT dedup_key, event_id, machine_id, output_tokens, copies FROM u QUALIFY row_number() OVER (PARTITION BY CASE WHEN blank THEN message_id ELSE dedup_key END ORDER BY arrival, event_id) = 1""",
     "latest_per_kind": f"WITH {QUOTA_SQL}, {_LATEST} SELECT profile_id, window_kind, CASE window_kind WHEN 'five_hour' THEN '5h' ELSE '7d' END AS label, us, pct, least(100, greatest(0, 100 - pct)) AS waste_pct, resets_us - {_WIDTH} AS start_us FROM latest",
     "active_profile": f"WITH {USAGE_SQL} SELECT profile_id, max(us) AS last_us FROM usage GROUP BY 1 ORDER BY last_us DESC, profile_id LIMIT 1",
     "quota_resets_rounded": f"WITH {QUOTA_SQL} SELECT DISTINCT profile_id, window_kind, CAST(floor(resets_us / 600000000 + 0.5) AS BIGINT) * 600 AS reset_s FROM quota",

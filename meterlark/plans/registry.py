@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlark.plans import collector_queries, current_queries, presentation_queries, source_queries, usage_queries, window_queries
+from meterlark.plans import collector_queries, current_queries, ledger_queries, presentation_queries, source_queries, usage_queries, window_queries
 from meterlark.plans.oracles import ORACLES
 
-_MORE = (source_queries, presentation_queries, window_queries, collector_queries, current_queries)
+_MORE = (source_queries, presentation_queries, window_queries, collector_queries, current_queries, ledger_queries)
 
 FLAGSHIP = "windows_current_full"
 

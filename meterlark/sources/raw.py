@@ -149,3 +149,29 @@ def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.format_string('{"profile_id":"p%d","captured_at":"%s","windows":[{"window_kind":"five_hour","utilization_pct":%d,"resets_at":"%s"},{"window_kind":"seven_day","utilization_pct":null}],"raw":{}}', F.col("user_id") % 2, "iso", "k", "iso")
     bad = F.format_string('{"profile_id":"p1","captured_at":"%s","windows":[{"window_kind":"five_hour","utilization_pct":101}]}', "iso")
     return e.select(F.when(F.col("event_id") % 5 == 0, bad).when(F.col("event_id") % 5 == 1, "{").otherwise(good).alias("value"))
+
+
+def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session file of the second ledger for each user: path, pos, value.
+
+    After its header and its context each event reports totals and its own usage. By event_id: every 7th lets the totals
+    grow by 5 more, every 10th comes twice, and before every 10th other one stands a line that is no JSON.
+    """
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, us = F.get_json_object("props", "$.k").cast("long"), F.unix_micros(F.col("ts").cast("timestamp"))
+    own = e.select("event_id", "user_id", us.alias("us"), (k + 1).alias("i"), F.floor(F.col("value") * 10).alias("o"), F.when(F.col("event_id") % 7 == 0, 5).otherwise(0).alias("x"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = own.withColumns({"ti": F.sum(F.col("i") + F.col("x")).over(w), "to": F.sum("o").over(w), "n": F.row_number().over(w)})
+    usage = lambda i, o: F.format_string('{"input_tokens":%d,"cached_input_tokens":0,"cache_write_input_tokens":0,"output_tokens":%d,"reasoning_output_tokens":0,"total_tokens":%d}', i, o, i + o)
+    count = F.format_string('{"type":"event_msg","timestamp":"%s","payload":{"type":"token_count","info":{"total_token_usage":%s,"last_token_usage":%s}}}', "iso", usage(F.col("ti"), F.col("to")), usage(F.col("i"), F.col("o")))
+    at = lambda step: F.col("n").cast("long") * 4 + step
+    line = lambda pos, value: F.struct(pos.alias("pos"), value.alias("value"))
+    head = F.array(line(F.lit(0).cast("long"), F.format_string('{"type":"session_meta","timestamp":"%s","payload":{"id":"s%d","cwd":"/w/%d","model_provider":"p"}}', "iso", "user_id", "user_id")), line(F.lit(1).cast("long"), F.format_string('{"type":"turn_context","payload":{"turn_id":"t%d","model":"gpt-a","effort":"high"}}', "user_id")))
+    none = F.array().cast("array<struct<pos:bigint,value:string>>")
+    bad = F.when(F.col("event_id") % 10 == 4, F.array(line(at(0), F.lit('{"type":')))).otherwise(none)
+    again = F.when(F.col("event_id") % 10 == 3, F.array(line(at(2), F.col("count")))).otherwise(none)
+    every = F.concat(F.when(F.col("n") == 1, head).otherwise(none), bad, F.array(line(at(1), F.col("count"))), again)
+    counted = summed.withColumn("count", count)
+    return counted.select(F.format_string("/rollouts/s%d.jsonl", "user_id").alias("path"), F.explode(every).alias("l")).select("path", "l.pos", "l.value")
