@@ -6,7 +6,8 @@ by what its ancestors are. Boosted trees give the probability that all text belo
 
 Decoding picks the most likely consistent labelling of the tree: an element is outside (its children are free),
 content (its children are content or rejected) or rejected (its descendants are rejected too), so no element
-contradicts its ancestors.
+contradicts its ancestors. A heading right before content belongs to it; a page that has no box for its article, or
+of which nothing is content, is the article itself, but for its menus, headers, footers, forms and the like.
 
 The trees are trained here, on pages that a generator with known main text makes (containers, menus, banners,
 notices, forms, comments under many names) and on at most `max_pages` pages of the table of at most MAX_CHARS
@@ -14,7 +15,7 @@ characters, those with the smallest hashes of page_id, whose own article or main
 are hidden at random so that the trees learn shape and text as well.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks joined by one line
-feed in page order. Defined results: null or empty html gives the empty text, as does a page without content;
+feed in page order. Defined results: null or empty html gives the empty text, as does a page without text outside of menus and the like;
 rows that repeat a page_id each come out; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -391,6 +392,44 @@ def decode(nodes: list[Node], p: np.ndarray) -> None:
             node.label = _CONTENT if c < o and c < r else _OUTSIDE if o <= r else _REJECTED
 
 
+_HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that are never the article of a page, whatever else is on it.
+_ASIDE = frozenset(("nav", "header", "footer", "aside", "form"))
+
+
+def join_heads(nodes: list[Node]) -> None:
+    """Headings outside of the content that stand right before content of the same parent belong to it."""
+    for node in nodes:
+        after = None
+        for child in reversed(node.children):
+            if child.tag in HIDDEN:
+                continue
+            if child.tag in _HEADS and child.label == _OUTSIDE and after is not None and after.label == _CONTENT:
+                mark(child, _CONTENT)
+            if child.chars:
+                after = child
+
+
+def mark(node: Node, label: int) -> None:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        x.label = label
+        stack.extend(x.children)
+
+
+#: Elements that may hold the article as one part of a page.
+_BOXES = frozenset(("article", "main", "section", "div", "table"))
+
+
+def take_bare(nodes: list[Node]) -> None:
+    """A page without a box around its article, or of which nothing was found to be content, is one itself, but for parts named otherwise."""
+    for node in nodes:
+        above = node.parent.label if node.parent is not None else _CONTENT
+        named = node.tag in _ASIDE or any(x in BAD for x in node.tokens)
+        node.label = _REJECTED if above == _REJECTED or named else _CONTENT
+
+
 def main_text(root: Node) -> str:
     blocks: list[str] = []
     piece: list[str] = []
@@ -547,8 +586,13 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     at, out = 0, []
     for root, own in zip(roots, nodes, strict=True):
         decode(own, p[at : at + len(own)])
+        join_heads(own)
         at += len(own)
-        out.append(main_text(root))
+        text = main_text(root) if any(x.tag in _BOXES and x.chars for x in own) else ""
+        if not text and root.chars:
+            take_bare(own)
+            text = main_text(root)
+        out.append(text)
     return out
 
 
