@@ -26,3 +26,21 @@ def test_sample_is_bounded_in_rows(spark, monkeypatch):
     monkeypatch.setattr(m, "ftrl", lambda rows, *more: seen.append(len(rows)) or plain(rows, *more))
     names, *_ = m.train(docs, max_train=10)
     assert names and seen == [9]  # a tenth is left out
+
+
+def test_accuracy_on_held_out_documents(spark):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.select("doc_id", "lang", "text").collect()}
+    found = {r["doc_id"]: r for r in m.identify_languages(docs).collect()}
+    assert len(found) == len(truth)
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in found.items() if r["held_out"]} == set(held)
+    plain = [i for i in held if truth[i][0] is not None and any(c.isalpha() for c in truth[i][1] or "")]
+    right = [i for i in plain if found[i]["lang_pred"] == truth[i][0]]
+    assert len(plain) > 100 and len(right) >= 0.97 * len(plain)
+    # Calibration: the mean score is near the share that is right.
+    assert abs(np.mean([found[i]["score"] for i in plain]) - len(right) / len(plain)) < 0.05
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+

@@ -43,3 +43,36 @@ def test_weights_equal_exact_counts(spark):
     found = {r["doc_id"]: r["log_weight"] for r in m.quality(docs, labels).collect()}
     assert [found[i] for i in range(n)] == pytest.approx(list(expected), abs=2e-6)
     assert found[1] > 0 > found[0]
+
+
+@pytest.mark.parametrize("temperature", [m.TEMPERATURE, 0.5])
+def test_kept_is_the_top_k_of_a_full_sort(spark, temperature):
+    """The threshold by trying every cut, k by counting, the draw by sorting all keys; equal weights and unlabelled rows among them."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = []
+    for i in range(900):
+        words = rng.choices(["honest", "prose", "reads", "well", "here"] if i % 3 else ["cheap", "pills", "online", "now", "well"], k=rng.randrange(4, 30))
+        texts.append(" ".join(words))
+    texts += texts[:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if i % 11 else int(i % 3 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in m.quality(docs, labels, temperature=temperature).collect()}
+
+    known = [(rows[i]["log_weight"], i % 3 > 0 if i % 11 else i % 3 == 0) for i in range(300)]
+    weights = sorted({w for w, _ in known})
+    cuts = [-math.inf, *((a + b) / 2 for a, b in zip(weights, weights[1:])), weights[-1] + 1e-6]
+    good, bad = sum(g for _, g in known), sum(not g for _, g in known)
+    balance = lambda c: sum(g and w >= c for w, g in known) / good + sum(not g and w < c for w, g in known) / bad
+    threshold = max(cuts, key=balance)
+    k = sum(r["log_weight"] >= threshold for r in rows.values())
+    assert 0 < k < len(rows)
+    bits = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0)).alias("h")).collect()}
+    noise = {i: -math.log(-math.log(((h % 2**64 >> 12) + 0.5) / 2.0**52)) for i, h in bits.items()}
+    ranked = sorted(rows, key=lambda i: rows[i]["log_weight"] / temperature + noise[i], reverse=True)
+    assert {i for i, r in rows.items() if r["kept"]} == set(ranked[:k])
+    hard = {i for i, r in rows.items() if r["log_weight"] >= threshold}
+    assert (hard == set(ranked[:k])) == (temperature < 0.1) or len(hard ^ set(ranked[:k])) < 0.1 * k
