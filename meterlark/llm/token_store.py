@@ -150,6 +150,8 @@ class Index:
 # --- encoding ----------------------------------------------------------------------------------------
 
 
+#: New words that the library encodes as one text.
+RUN = 512
 #: A cut inside a run of white space, which the pattern may match across.
 _SPACED = re.compile(r"\s[ \n]\s")
 
@@ -179,12 +181,31 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             pre = json.load(f)["pre_tokenizer"]
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of pieces that follow a space or line feed, and of strings that nothing precedes (first pieces and symbols).
         self.memory: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.older: tuple[dict, dict] = ({}, {})
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space, by the library in runs of them.
+
+        A word is the only one of its bytes that begins with the space, so the ids that do tell where each word starts.
+        """
+        out: list[bytes] = []
+        for i in range(0, len(words), RUN):
+            some = words[i : i + RUN]
+            ids = np.frombuffer(self._library([" " + " ".join(some)])[0], dtype=self.kind)
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(some) or at[0] != 0:  # no byte-level vocabulary after all
+                out += self._library([" " + w for w in some])
+                continue
+            data, cuts = ids.tobytes(), (np.append(at, len(ids)) * self.kind.itemsize).tolist()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -211,7 +232,11 @@ class Encoder:
                 strings[x] = ids
                 del new[x]
         if whole:
-            memory.update(zip(whole, self._library([p if p[0] == "\n" else " " + p for p in whole]), strict=True))
+            # What begins or ends with white space could join what stands beside it in a run.
+            plain = [w for w in whole if w and not w[0].isspace() and not w[-1].isspace()]
+            memory.update(zip(plain, self._words(plain), strict=True))
+            odd = [w for w in whole if w not in memory]
+            memory.update(zip(odd, self._library([p if p[0] == "\n" else " " + p for p in odd]), strict=True))
         if new:
             strings.update(zip(new, self._library(list(new)), strict=True))
         for piece, word in tailed:
