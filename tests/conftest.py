@@ -18,6 +18,13 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # One session runs hundreds of queries: what listeners keep of those that are over would fill the heap.
+        .config("spark.driver.memory", "3g")
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
+        .config("spark.ui.retainedTasks", "200")
+        .config("spark.sql.streaming.ui.retainedQueries", "2")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
