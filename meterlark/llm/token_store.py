@@ -34,7 +34,7 @@ from meterlark.llm.common import cut, keyed, mix, partitions, read_file, shared_
 SHARD_IDS = 1 << 24
 #: Keys that one index file holds, about.
 INDEX_KEYS = 1 << 20
-#: Pieces of text whose ids a Python worker remembers, in each of two generations (some 150 MB).
+#: Pieces of text whose ids a Python worker remembers, in each of two generations (some 50 MB each).
 REMEMBERED = 250_000
 _U = np.uint64
 
