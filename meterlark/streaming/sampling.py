@@ -102,5 +102,8 @@ class Schedule(StatefulProcessor):
 
 
 def schedule(attempts: DataFrame, shortest: int = SHORTEST_MS, longest: int = LONGEST_MS, ladder: tuple[int, ...] = LADDER_MS) -> DataFrame:
-    """A stream of attempts as decisions (change = decided) and as calls for the next attempt (change = due)."""
+    """A stream of attempts as decisions (change = decided) and as calls for the next attempt (change = due).
+
+    Timers follow the clock, so a query over it runs on until it is stopped; give it an interval.
+    """
     return stateful(attempts).groupBy("profile_id").transformWithStateInPandas(Schedule(shortest, longest, ladder), f"profile_id string, {DECISION}", "Update", "ProcessingTime")
