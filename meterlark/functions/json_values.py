@@ -6,7 +6,7 @@ tell a string from what only looks like one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,15 @@ def read(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df with its columns computed here, once for each row.
+
+    A filter above a projection is pushed below it with a copy of every expression it reads; a parsed document that
+    twenty fields are taken from would be parsed twenty times. Nothing is pushed through the rows of an array.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def entries(text: Column) -> Column:
     """The members of an object as a map of variants, null for anything else."""
     return F.from_json(text, "map<string,variant>")

@@ -60,7 +60,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(jv.text(F.col(f"_d.{c}")), F.lit(""))
     split = usage["cache_creation"].isNotNull()
     total = jv.count(usage["cache_creation_input_tokens"])
-    read = lines.select("path", "pos", jv.read(F.trim("value"), _LINE).alias("_d")).select(
+    read = jv.once(jv.once(lines.select("path", "pos", jv.read(F.trim("value"), _LINE).alias("_d"))).select(
         "path", "pos",
         (F.coalesce(jv.text(F.col("_d.type")) == "assistant", F.lit(False)) & usage.isNotNull()).alias("_request"),
         (F.floor(jv.moment_us(jv.text(F.col("_d.timestamp"))) / 1000) * 1000).alias("us"),
@@ -73,7 +73,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
         F.coalesce(jv.boolean(F.col("_d.isSidechain")), F.lit(False)).alias("is_sidechain"),
         (jv.text(F.col("_d.message.stop_reason")).isNotNull() | usage["iterations"].isNotNull()).alias("output_final"),
         total.alias("_total"), split.alias("_split"),
-    )
+    ))
     read = read.withColumn("_good", F.col("_request") & F.col("us").isNotNull())
     good = F.col("_good")
     warn = lambda when, kind: F.when(when, F.lit(kind))

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlark.functions.json_values import once
 from meterlark.sources import synthetic
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events dealt to all cores: a row of some bytes becomes a line of a kilobyte, so a file for one task is work for many."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition("event_id")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log line for each event: path, pos, value.
 
     By event_id % 20: 0 no JSON, 1 another type, 2 no usage, 3 no time, 4 no split of cache writes, 5 a wrong sum,
     7 a count in quotes and one below zero, 8 iterations null, 9 a stop reason, 11 blank.
     """
-    u = synthetic.usage(spark, sf_dir).withColumn("r", F.col("event_id") % 20)
+    u = synthetic.requests_of(_table(spark, sf_dir)).withColumn("r", F.col("event_id") % 20)
     total = F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")
     part = lambda condition, text: F.when(condition, text).otherwise("")
     usage = F.concat(
@@ -35,7 +41,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = F.when(F.col("project").isNull(), F.concat(F.lit("/logs/other/"), "session_id", F.lit(".jsonl"))).otherwise(F.concat(F.lit("/logs/projects/"), "project", F.lit("/"), "session_id", F.lit(".jsonl")))
     shown = F.when(F.col("r") == 0, F.substring(value, 1, 30)).when(F.col("r") == 11, "  ").otherwise(value)
-    return u.select(path.alias("path"), F.struct(F.lit(0).cast("long").alias("start"), F.col("event_id").alias("row")).alias("pos"), shown.alias("value"))
+    return once(u.select(path.alias("path"), F.struct(F.lit(0).cast("long").alias("start"), F.col("event_id").alias("row")).alias("pos"), shown.alias("value")))
 
 
 LOG_SQL = (
@@ -69,7 +75,7 @@ def _k():
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = _table(spark, sf_dir)
     return e.select("event_id", "user_id", _k().alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"), (F.unix_seconds(F.col("ts").cast("timestamp"))).alias("s"))
 
 
@@ -79,7 +85,7 @@ def quota_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.format_string('{"five_hour":{"utilization_pct":%d,"resets_at":"%s"},"seven_day":{"utilization":%d.5,"reset_at":%d},"extra_usage":{"limit":5},"note":"x"}', "k", "iso", "k", "s")
     limits = F.format_string('{"seven_day":{"utilization":1},"limits":[{"kind":"session","percent":%d,"resetsAt":%d},{"kind":"weekly_all","percent":%d,"resets_at":null},{"kind":"weekly_scoped","percent":1,"scope":{"model":{"display_name":" Fable 5 "}}},{"kind":"weekly_scoped","percent":2},{"kind":"odd","percent":"9"},7]}', "k", F.col("s") * 1000, "k")
     empty = F.format_string('{"limits":[],"five_hour":{"utilizationPct":%d},"seven_day":{"utilization":"80"},"odd":{"utilization":null,"utilization_pct":null}}', "k")
-    return e.select("event_id", F.when(F.col("event_id") % 4 == 0, flat).when(F.col("event_id") % 4 == 1, limits).when(F.col("event_id") % 4 == 2, empty).otherwise("{nothing").alias("raw"))
+    return once(e.select("event_id", F.when(F.col("event_id") % 4 == 0, flat).when(F.col("event_id") % 4 == 1, limits).when(F.col("event_id") % 4 == 2, empty).otherwise("{nothing").alias("raw")))
 
 
 def breakdown_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +124,7 @@ def account_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transport_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """usage with all columns that the transport format has."""
-    u = synthetic.usage(spark, sf_dir)
+    u = synthetic.requests_of(_table(spark, sf_dir))
     from meterlark.functions.scalars import semantic_id
 
     return u.withColumns({
@@ -141,7 +147,7 @@ def transport_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, (found, put) in replaced.items():
         pattern, by = F.when(r == kind, found).otherwise(pattern), F.when(r == kind, put).otherwise(by)
     spoiled = F.when(r == 6, "  ").otherwise(F.substring(F.regexp_replace(F.col("line"), pattern, by), F.lit(1), F.when(r == 1, 20).otherwise(1 << 30)))
-    return wire.select(event_id.alias("event_id"), json_line(wire).alias("line")).select("event_id", spoiled.alias("value"))
+    return once(wire.select(event_id.alias("event_id"), json_line(wire).alias("line")).select("event_id", spoiled.alias("value")))
 
 
 def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

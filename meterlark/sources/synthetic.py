@@ -14,7 +14,11 @@ WINDOW_US = {"five_hour": 5 * HOUR_US, "seven_day": 168 * HOUR_US}
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each model request."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return requests_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def requests_of(e: DataFrame) -> DataFrame:
+    """The model requests of rows of events."""
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(
         "event_id",
