@@ -22,7 +22,8 @@ def _epoch_us(value: Column) -> Column:
 
 def reset_us(entry: Column) -> Column:
     """When a window resets, by the first spelling that holds an ISO time or an epoch number."""
-    return F.coalesce(*[c for key in RESET_KEYS for c in (jv.moment_us(jv.text(entry[key])), _epoch_us(jv.number(entry[key])))])
+    told = F.transform(F.array(*[entry[key] for key in RESET_KEYS]), lambda v: F.coalesce(jv.moment_us(jv.text(v)), _epoch_us(jv.number(v))))
+    return F.get(F.array_compact(told), F.lit(0))
 
 
 def flat_pct(entry: Column) -> Column:
@@ -41,14 +42,14 @@ def limit_kind(entry: Column) -> Column:
 def quota_windows(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """One row for each window of a response: window_kind, pct, resets_us. Where `limits` has a usable entry only that counts."""
     keep = [c for c in responses.columns if c != raw]
-    docs = responses.select(*keep, jv.entries(F.col(raw)).alias("_m")).where("_m IS NOT NULL").withColumn("_limits", jv.items(F.try_element_at("_m", F.lit("limits"))))
-    usable = F.exists("_limits", lambda e: (jv.read(F.to_json(e), "kind variant, percent double")["percent"]).isNotNull() & jv.full_text(jv.read(F.to_json(e), "kind variant, percent double")["kind"]).isNotNull())
+    docs = jv.once(responses.select(*keep, jv.entries(F.col(raw)).alias("_m"))).where("_m IS NOT NULL").withColumn("_limits", jv.items(F.try_element_at("_m", F.lit("limits"))))
+    usable = F.exists(F.transform("_limits", lambda e: jv.read(F.to_json(e), "kind variant, percent double")), lambda x: x["percent"].isNotNull() & jv.full_text(x["kind"]).isNotNull())
     listed = F.transform("_limits", lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value")))
     flat = F.transform(F.map_entries("_m"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     each = docs.select(*keep, F.explode(F.when(F.coalesce(usable, F.lit(False)), listed).otherwise(flat)).alias("_x")).where(jv.is_object(F.col("_x.value")))
-    read = each.select(*keep, F.col("_x.key").alias("_key"), jv.read(F.to_json("_x.value"), _ENTRY).alias("_e"))
+    read = jv.once(each.select(*keep, F.col("_x.key").alias("_key"), jv.read(F.to_json("_x.value"), _ENTRY).alias("_e")))
     e = F.col("_e")
-    found = read.select(*keep, F.coalesce("_key", limit_kind(e)).alias("window_kind"), F.when(F.col("_key").isNull(), e["percent"]).otherwise(flat_pct(e)).alias("pct"), reset_us(e).alias("resets_us"))
+    found = jv.once(read.select(*keep, F.coalesce("_key", limit_kind(e)).alias("window_kind"), F.when(F.col("_key").isNull(), e["percent"]).otherwise(flat_pct(e)).alias("pct"), reset_us(e).alias("resets_us")))
     return found.where("window_kind IS NOT NULL AND pct IS NOT NULL")
 
 
