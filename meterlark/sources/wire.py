@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from meterlark.functions import json_values as jv
 from meterlark.functions.scalars import TOKEN_PARTS, semantic_id
+from meterlark.sources.shared import written
 
 COUNTS = (*TOKEN_PARTS, "thinking_tokens")
 REQUIRED = ("message_id", "machine_id", "profile_id", "ts")
 TEXTS = ("request_id", "model", "session_id")
+#: Lines that one task sorts when they are dealt into batches.
+RANGE_LINES = 100_000
 OPTIONAL = ("project", "git_branch", "entrypoint", "service_tier")
 _NAMES = {"project": "project_slug"}
 EVENT = ("message_id", "request_id", "semantic_id", "machine_id", "app_type", "profile_id", "attribution_level", "us", "model", *TOKEN_PARTS, "thinking_tokens", "session_id", *OPTIONAL, "is_sidechain", "output_final", "backfill")
@@ -31,23 +34,33 @@ def _decoded(lines: DataFrame) -> DataFrame:
     """lines(value, ...) with the columns of an event and `_good`, whether the line is one; blank lines are left out."""
     keep = [c for c in lines.columns if c != "value"]
     d = lambda c: F.col(f"_d.{c}")
-    read = lines.where(F.trim("value") != "").select(*keep, jv.read(F.trim("value"), _LINE).alias("_d"))
-    typed = F.lit(True)
-    for c in (*TEXTS, "app_type", "attribution_level", "semantic_id"):  # absent is fine, another type is not
-        typed = typed & (d(c).isNull() | (F.schema_of_variant(d(c)) == "STRING"))
-    out = read.select(
+    read = jv.once(lines.where(F.trim("value") != "").select(*keep, jv.read(F.trim("value"), _LINE).alias("_d")))
+    # Fields of a kind are read as one array: written out one by one they make a method beyond 8,000 bytes of code,
+    # which the JVM never compiles.
+    texts = ("message_id", "machine_id", "profile_id", *TEXTS, *OPTIONAL, "ts", "app_type", "attribution_level", "semantic_id")
+    plain = F.forall(F.array(*[d(c) for c in (*TEXTS, "app_type", "attribution_level", "semantic_id")]), lambda v: v.isNull() | (F.schema_of_variant(v) == "STRING"))  # absent is fine, another type is not
+    typed = jv.once(read.select(
         *keep,
-        *[F.coalesce(jv.text(d(c)), F.lit("")).alias(c) for c in ("message_id", "machine_id", "profile_id", *TEXTS)],
-        *[_coerced_count(d(c)).alias(c) for c in COUNTS],
-        *[jv.text(d(_NAMES.get(c, c))).alias(c) for c in OPTIONAL],
-        (F.floor(jv.moment_us(jv.text(d("ts"))) / 1000) * 1000).alias("us"),
-        F.when(jv.text(d("app_type")).isin("codex", "gemini"), jv.text(d("app_type"))).otherwise("claude").alias("app_type"),
-        F.when(jv.text(d("attribution_level")).isin("proxy", "timeline", "fallback"), jv.text(d("attribution_level"))).otherwise("unknown").alias("attribution_level"),
-        *[F.coalesce(jv.boolean(d(c)), F.lit(False)).alias(c) for c in ("is_sidechain", "backfill")],
-        jv.boolean(d("output_final")).alias("output_final"),
-        typed.alias("_typed"),
-        jv.full_text(d("semantic_id")).alias("_sent"),
-    )
+        F.transform(F.array(*[d(_NAMES.get(c, c)) for c in texts]), jv.text).alias("_t"),
+        F.transform(F.array(*[d(c) for c in COUNTS]), _coerced_count).alias("_n"),
+        *[jv.boolean(d(c)).alias(c) for c in ("is_sidechain", "backfill", "output_final")],
+        plain.alias("_typed"),
+    ))
+    t = lambda c: F.col("_t")[texts.index(c)]
+    one_of = lambda c, known, other: F.when(t(c).isin(*known), t(c)).otherwise(other).alias(c)
+    out = jv.once(typed.select(
+        *keep,
+        *[F.coalesce(t(c), F.lit("")).alias(c) for c in ("message_id", "machine_id", "profile_id", *TEXTS)],
+        *[F.col("_n")[i].alias(c) for i, c in enumerate(COUNTS)],
+        *[t(c).alias(c) for c in OPTIONAL],
+        (F.floor(jv.moment_us(t("ts")) / 1000) * 1000).alias("us"),
+        one_of("app_type", ("codex", "gemini"), "claude"),
+        one_of("attribution_level", ("proxy", "timeline", "fallback"), "unknown"),
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_sidechain", "backfill")],
+        "output_final",
+        "_typed",
+        F.nullif(t("semantic_id"), F.lit("")).alias("_sent"),
+    ))
     filled = F.col("_typed") & F.col("us").isNotNull() & (F.col("message_id") != "") & (F.col("machine_id") != "") & (F.col("profile_id") != "")
     for c in COUNTS:
         filled = filled & F.col(c).isNotNull()
@@ -116,7 +129,16 @@ def batches(wire: DataFrame, keys: list[str], rows: int = 1000) -> DataFrame:
     """(keys, batch, body, idempotency_key): transport bodies of at most `rows` lines; the key is the digest of the body."""
     from pyspark.sql import Window
 
-    numbered = wire.withColumn("_line", json_line(wire)).withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("_line")) - 1) / rows))
+    # A key may hold most lines: they are numbered in ranges of the order, and a range starts where those before it end.
+    ranges = wire.count() // RANGE_LINES + 1
+    ranged = wire.withColumn("_line", json_line(wire)).repartitionByRange(ranges, *keys, "_line").withColumn("_range", F.spark_partition_id())
+    cut = written(ranged.drop("_line"), "line-ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    lines = cut.select(*keys, "_range", json_line(cut.select(*wire.columns)).alias("_line"))
+    placed = lines.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_line")))
+    joined = placed.join(starts, [*keys, "_range"])
+    numbered = joined.withColumn("batch", F.floor((F.col("_start") + F.col("_i") - 1) / rows))
     body = F.concat(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), F.lit("\n"))
     return numbered.groupBy(*keys, "batch").agg(body.alias("body")).withColumn("idempotency_key", F.substring(F.sha2("body", 256), 1, 32))
 
