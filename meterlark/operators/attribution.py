@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -97,49 +97,54 @@ def isotonic(values: Sequence[float]) -> list[float]:
     return [m for m, n in pools for _ in range(int(n))]
 
 
-def lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Positions of the vertices of the lower convex hull of points with rising x; points on an edge are none."""
-    kept: list[int] = []
-    xs, ys = x.tolist(), y.tolist()
-    for i in range(len(xs)):
-        while len(kept) > 1:
-            a, b = kept[-2], kept[-1]
-            if (ys[b] - ys[a]) * (xs[i] - xs[b]) < (ys[i] - ys[b]) * (xs[b] - xs[a]):
-                break
-            kept.pop()
-        kept.append(i)
-    return np.array(kept, dtype=np.int64)
+def add_to_hull(hull: list[tuple], x: float, y: float) -> None:
+    """A point right of all others joins the vertices of a lower convex hull; points on an edge are none."""
+    while len(hull) > 1:
+        (ax, ay), (bx, by) = hull[-2], hull[-1]
+        if (by - ay) * (x - bx) < (y - by) * (bx - ax):
+            break
+        hull.pop()
+    hull.append((x, y))
 
 
 def isotonic_fit(series: DataFrame, keys: Sequence[str], value: str = "pct", width_us: int = 24 * 60 * MINUTE_US) -> DataFrame:
     """series(keys, us, value) with `fitted`, the closest non-decreasing series of each key.
 
     The fit is the slope of the greatest convex minorant of the running sums, and hulls merge: each bucket of time gives
-    the vertices of its own hull, those of a key make the whole one, and rows find their edge as of their number. A task
-    holds the rows of one bucket, or the vertices of one key: at most one for each distinct slope and bucket.
+    the vertices of its own hull, those of a key make the whole one, and rows find their edge as of their number. Tasks
+    read sorted rows and hold the vertices of one key alone: at most one for each distinct slope and bucket.
     """
     plain = [c for c in series.columns]
-    names = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
     summed = written(Scan(series, keys, width_us=width_us).running(_n=F.lit(1).cast("long"), _c=F.col(value).cast("double")).frame(), "running-sums")
 
-    def of_bucket(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_n")
-        # The point before the first belongs to the hull as well; that of the whole series is (0, 0).
-        n = np.concatenate(([group["_n"].iloc[0] - 1], group["_n"].to_numpy()))
-        c = np.concatenate(([group["_c"].iloc[0] - group["_v"].iloc[0]], group["_c"].to_numpy()))
-        at = lower_hull(n, c)
-        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"_n": n[at].astype("int64"), "_c": c[at]})
-
-    def of_key(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_n").drop_duplicates("_n")
-        n, c = group["_n"].to_numpy(), group["_c"].to_numpy()
-        at = lower_hull(n, c)
-        slope = np.diff(c[at]) / np.diff(n[at])
-        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"_n": n[at][:-1] + 1, "fitted": slope})
-
+    def hulls(batches: Iterator[pd.DataFrame], by: Sequence[str], emit) -> Iterator[pd.DataFrame]:
+        """Rows sorted by `by` and _n as the hull of each group, point by point: groups are many and small, or long and few."""
+        group, hull = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            starts = batch["_c"] - batch["_v"] if "_v" in batch else None
+            for i, (key, n, c) in enumerate(zip(zip(*[batch[k].tolist() for k in by]), batch["_n"].tolist(), batch["_c"].tolist())):
+                if key != group:
+                    if group is not None:
+                        out += emit(group, hull)
+                    # The point before the first belongs to the hull as well; that of the whole series is (0, 0).
+                    group, hull = key, [] if starts is None else [(n - 1, float(starts.iat[i]))]
+                if not hull or hull[-1][0] != n:
+                    add_to_hull(hull, n, c)
+            yield pd.DataFrame(out, columns=names)
+        if group is not None:
+            yield pd.DataFrame(emit(group, hull), columns=names)
+
+    width = len(keys)
+    names = [*keys, "_n", "_y"]
+    schema = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys) + ", _n long, _y double"
+    points_of = lambda group, hull: [(*group[:width], n, c) for n, c in hull]
+    edges_of = lambda group, hull: [(*group[:width], a + 1, (d - c) / (b - a)) for (a, c), (b, d) in zip(hull, hull[1:])]
     points = summed.select(*keys, F.floor(F.col("us") / width_us).alias("_b"), "_n", "_c", F.col(value).cast("double").alias("_v"))
-    vertices = points.groupBy(*keys, "_b").applyInPandas(of_bucket, f"{names}, _n long, _c double")
-    edges = written(vertices.groupBy(*keys).applyInPandas(of_key, f"{names}, _n long, fitted double"), "hull-edges")
+    sorted_by = lambda df, by: df.repartition(*by).sortWithinPartitions(*by, "_n")
+    vertices = sorted_by(points, [*keys, "_b"]).mapInPandas(lambda x: hulls(x, [*keys, "_b"], points_of), schema).withColumnRenamed("_y", "_c")
+    edges = sorted_by(vertices, keys).mapInPandas(lambda x: hulls(x, keys, edges_of), schema).withColumnRenamed("_y", "fitted")
+    edges = written(edges, "hull-edges")
     return asof_backward(summed, edges, keys, "_n", "fitted", 1 << 16).select(*plain, "fitted")
 
 

@@ -37,3 +37,18 @@ def test_batches_are_numbered_across_ranges(spark, monkeypatch):
     assert {(r["machine_id"], r["batch"]): r["body"] for r in found.collect()} == expected
     # A window by machine alone would sort all lines of one in one task.
     assert "_range" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _orders(spark, rows, schema, run):
+    """What run gives for the rows in several orders."""
+    return [sorted(map(tuple, run(spark.createDataFrame(rows[k:] + rows[:k], schema)).collect())) for k in (0, 1, 2)]
+
+
+def test_many_small_runs_are_fitted_in_few_tasks(spark):
+    from meterlark.operators.attribution import isotonic, isotonic_fit
+
+    rows = [(i // 3, i, float(i * 7 % 5)) for i in range(600)]
+    fit = isotonic_fit(spark.createDataFrame(rows, "k long, us long, v double"), ["k"], "v", 100)
+    found = {r["us"]: r["fitted"] for r in fit.collect()}
+    expected = [x for k in range(200) for x in isotonic([v for kk, _, v in rows if kk == k])]
+    assert [round(found[i], 9) for i in range(600)] == [round(x, 9) for x in expected]
