@@ -44,6 +44,15 @@ def _orders(spark, rows, schema, run):
     return [sorted(map(tuple, run(spark.createDataFrame(rows[k:] + rows[:k], schema)).collect())) for k in (0, 1, 2)]
 
 
+def test_append_holds_each_key_once(spark):
+    from meterlark.operators.dedup import append_new
+
+    schema = "k string, us long, pct double"
+    stored = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 3.0)], schema)
+    found = append_new(stored, spark.createDataFrame([("a", 1, 1.0), ("b", 2, 9.0), ("b", 2, 8.0)], schema), ["k", "us"])
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 3.0), ("b", 2, 8.0)]
+
+
 def test_many_small_runs_are_fitted_in_few_tasks(spark):
     from meterlark.operators.attribution import isotonic, isotonic_fit
 
