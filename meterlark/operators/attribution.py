@@ -61,7 +61,9 @@ def quiet_attribution(samples: DataFrame, events: DataFrame, keys: Sequence[str]
 
 def limit_ratio(short: DataFrame, long: DataFrame, keys: Sequence[str] = ("profile_id",), gap_us: int = GAP_US) -> DataFrame:
     """How many points of the long limit one point of the short one is: pairs at equal times, cut where either falls or a gap lies."""
-    pairs = short.select(*keys, "us", F.col("pct").alias("s")).join(long.groupBy(*keys, "us").agg(F.max("pct").alias("l")), [*keys, "us"])
+    # One pair a moment, so that no order of equal moments decides where a cut lies.
+    at = lambda df, name: df.groupBy(*keys, "us").agg(F.max("pct").alias(name))
+    pairs = at(short, "s").join(at(long, "l"), [*keys, "us"])
     cut = Scan(pairs, keys).runs({"_s": "s", "_l": "l", "_u": "us"}, segment=(F.col("s") < F.col("_s")) | (F.col("l") < F.col("_l")) | (F.col("us") - F.col("_u") > gap_us)).frame()
     ends = cut.groupBy(*keys, "segment").agg((F.max_by("s", "us") - F.min_by("s", "us")).alias("ds"), (F.max_by("l", "us") - F.min_by("l", "us")).alias("dl"))
     sums = ends.groupBy(*keys).agg(F.sum("ds").alias("short_pct"), F.sum("dl").alias("long_pct"), F.count("*").alias("segments"))

@@ -53,6 +53,14 @@ def test_append_holds_each_key_once(spark):
     assert sorted(map(tuple, found.collect())) == [("a", 1, 3.0), ("b", 2, 8.0)]
 
 
+def test_equal_moments_give_one_limit_ratio(spark):
+    from meterlark.operators.attribution import limit_ratio
+
+    rows = [("p", 1, 3.0), ("p", 1, 0.0), ("p", 1, 6.0), ("p", 2, 9.0), ("p", 2, 0.0), ("p", 3, 12.0)]
+    found = _orders(spark, rows, "profile_id string, us long, pct double", lambda df: limit_ratio(df, df))
+    assert found[0] == found[1] == found[2] == [("p", 6.0, 6.0, 1, 1.0)]
+
+
 def test_many_small_runs_are_fitted_in_few_tasks(spark):
     from meterlark.operators.attribution import isotonic, isotonic_fit
 
