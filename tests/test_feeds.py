@@ -61,6 +61,15 @@ def test_equal_moments_give_one_limit_ratio(spark):
     assert found[0] == found[1] == found[2] == [("p", 6.0, 6.0, 1, 1.0)]
 
 
+def test_equal_moments_are_read_from_low_to_high(spark):
+    from meterlark.operators.ordered import cumulative_usage
+
+    rows = [("p", 1, 6.0), ("p", 1, 0.0), ("p", 1, 3.0), ("p", 2, 9.0), ("p", 2, 0.0), ("p", 3, 4.0)]
+    found = _orders(spark, rows, "k string, us long, pct double", lambda df: cumulative_usage(df, ["k"]))
+    # 0 3 6 | 0 9 | 4
+    assert found[0] == found[1] == found[2] == [("p", 19.0, 2, 2, 4.0)]
+
+
 def test_many_small_runs_are_fitted_in_few_tasks(spark):
     from meterlark.operators.attribution import isotonic, isotonic_fit
 
