@@ -87,9 +87,9 @@ def with_latest(left: DataFrame, rows: DataFrame, keys: list[str], order: str, c
     return left.join(last, keys, "left").select(*left.columns, *[F.col("_l")[c].alias(c) for c in columns])
 
 
-def append_new(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """stored and those incoming rows whose key is new: each key once, a stored row before an incoming one, then the smallest."""
-    rest = [c for c in stored.columns if c not in keys]
+def append_new(stored: DataFrame, incoming: DataFrame, keys: list[str], order: Sequence[str] = ()) -> DataFrame:
+    """stored and those incoming rows whose key is new: each key once, a stored row before an incoming one, then the first in order, then the smallest."""
+    rest = [*order, *[c for c in stored.columns if c not in keys and c not in order]]
     both = stored.withColumn("_new", F.lit(1)).unionByName(incoming.withColumn("_new", F.lit(2)))
     first = both.groupBy(*keys).agg(F.min(F.struct("_new", *rest)).alias("_r"))
     return first.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in stored.columns])

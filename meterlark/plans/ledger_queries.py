@@ -154,12 +154,12 @@ SELECT profile_id, window_kind, family, count(*) AS events, CAST(sum(tokens) AS
 
 def _appended(spark, sf):
     """Quota samples appended twice over: what comes again, and what comes twice in one batch, is there once."""
-    q = uq._quota(spark, sf)
+    q = synthetic.quota(spark, sf, arrival=True)
     keys = ["profile_id", "window_kind", "us"]
     split = 17 * ordered.HOUR_US
     stored = q.where(F.floor(F.col("us") / split) % 2 == 0)
     incoming = q.unionByName(q.where(F.floor(F.col("us") / split) % 3 == 0))
-    return dedup.append_new(stored, incoming, keys).groupBy("profile_id", "window_kind").agg(F.count("*").alias("samples"), F.countDistinct("us").alias("moments"), F.round(F.sum("pct"), 4).alias("points"))
+    return dedup.append_new(stored, incoming, keys, ["event_id"]).groupBy("profile_id", "window_kind").agg(F.count("*").alias("samples"), F.countDistinct("us").alias("moments"), F.round(F.sum("pct"), 4).alias("points"))
 
 
 _add("snapshots_appended", _appended, f"WITH {QUOTA_SQL}, o AS (SELECT DISTINCT ON (profile_id, window_kind, us) * FROM quota) SELECT profile_id, window_kind, count(*) AS samples, count(DISTINCT us) AS moments, round(sum(pct), 4) AS points FROM o GROUP BY 1, 2")

@@ -53,8 +53,8 @@ def usage_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of the official percentage: profile_id, window_kind, us, pct, resets_us; it falls to 0 at every 17th sample."""
+def quota(spark: SparkSession, sf_dir: str, arrival: bool = False) -> DataFrame:
+    """Samples of the official percentage: profile_id, window_kind, us, pct, resets_us; it falls to 0 at every 17th sample; with arrival also event_id."""
     from pyspark.sql import Window
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -62,7 +62,7 @@ def quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [base.select("*", F.lit(kind).alias("window_kind"), (F.floor(F.col("us") / width) * width + width).alias("resets_us"), F.lit(step).alias("step")) for kind, width, step in (("five_hour", WINDOW_US["five_hour"], 3.0), ("seven_day", WINDOW_US["seven_day"], 0.5))]
     both = kinds[0].unionByName(kinds[1])
     w = Window.partitionBy("profile_id", "window_kind", "resets_us").orderBy("us", "event_id")
-    return both.select("profile_id", "window_kind", "us", (((F.row_number().over(w) - 1) % 17) * F.col("step")).alias("pct"), "resets_us")
+    return both.select("profile_id", "window_kind", "us", (((F.row_number().over(w) - 1) % 17) * F.col("step")).alias("pct"), "resets_us", *(["event_id"] if arrival else []))
 
 
 USAGE_SQL = """usage AS (

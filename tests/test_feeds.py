@@ -78,3 +78,11 @@ def test_many_small_runs_are_fitted_in_few_tasks(spark):
     found = {r["us"]: r["fitted"] for r in fit.collect()}
     expected = [x for k in range(200) for x in isotonic([v for kk, _, v in rows if kk == k])]
     assert [round(found[i], 9) for i in range(600)] == [round(x, 9) for x in expected]
+
+
+def test_append_keeps_first_arrivals(spark):
+    from meterlark.operators.dedup import append_new
+
+    schema = "k string, pct double, n long"
+    found = append_new(spark.createDataFrame([("a", 1.0, 7), ("a", 5.0, 4)], schema), spark.createDataFrame([("a", 0.0, 1), ("b", 2.0, 9), ("b", 3.0, 8)], schema), ["k"], ["n"])
+    assert found.columns == ["k", "pct", "n"] and sorted(map(tuple, found.collect())) == [("a", 5.0, 4), ("b", 3.0, 8)]
