@@ -20,16 +20,15 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import cut, keyed, mix, partitions, read_file, shared_dir, unkeyed, write_file
+from meterlark.llm.common import cut, keyed, mix, partitions, read_file, shared_dir, text_chunks, unkeyed, write_file
 
 SHARD_IDS = 1 << 24
 #: Keys that one index file holds, about.
@@ -150,24 +149,47 @@ class Index:
 # --- encoding ----------------------------------------------------------------------------------------
 
 
-#: New words that the library encodes as one text.
+#: New pieces that the library encodes as one text.
 RUN = 512
-#: A cut inside a run of white space, which the pattern may match across.
-_SPACED = re.compile(r"\s[ \n]\s")
-
-
-#: A piece that ends in these after a letter is made of two parts: the pattern always cuts between the two.
-_SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Code points of a piece that is remembered, at most.
+PIECE = 64
+#: Bytes of text that are cut into pieces at a time; a longer text comes alone.
+CHUNK = 1 << 22
+
+_WHITE, _BREAK, _SYMBOL, _LETTER, _LEAD = 1, 2, 4, 8, 16
+#: What a byte may be: white space, a space or line feed, a symbol, a letter, the first byte of wider white space.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[*range(9, 14), *range(28, 33)]] |= _WHITE
+_KINDS[[10, 32]] |= _BREAK
+_KINDS[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] |= _SYMBOL
+_KINDS[[*range(65, 91), *range(97, 123)]] |= _LETTER
+_KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] |= _LEAD
+_WIDE = {n: np.array([int.from_bytes(c.encode(), "big") for c in map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) if len(c.encode()) == n]) for n in (2, 3)}
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8; all bytes of wider white space count as white space."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(kinds & _LEAD)
+    if len(lead):
+        code = data[lead].astype(np.int64)
+        for n in (2, 3):
+            lead, code = lead[lead < len(data) - n + 1], code[: np.searchsorted(lead, len(data) - n + 1)]
+            code = code << 8 | data[lead + n - 1]
+            at = lead[np.isin(code, _WIDE[n])]
+            for i in range(n):
+                kinds[at + i] |= _WHITE
+    return kinds
 
 
 class Encoder:
     """Token ids of whole texts by the tokenizers library, with the ids of pieces remembered.
 
-    The byte-level pattern never joins what stands before a single space or line feed to what follows, so a
-    text is cut there and the library encodes each distinct piece once; a piece that ends in symbols is put
-    together from the two parts. Texts where white space follows white space, and texts with strings of special
-    tokens, go to the library whole. Pieces are remembered in two generations: when the newer one is full it
-    becomes the older, from which pieces that occur again come back.
+    The byte-level pattern always cuts before a space or line feed that has no white space beside it, after
+    such a line feed, and between a letter and a symbol, and what it finds on one side does not depend on the
+    other. Texts are cut there, a chunk of them at once, and the library encodes each distinct piece. Texts with
+    strings of special tokens go to it whole. Pieces of up to PIECE code points are remembered in two
+    generations: when the newer one is full it becomes the older, from which pieces that occur again come back.
     """
 
     def __init__(self, path: str):
@@ -179,91 +201,105 @@ class Encoder:
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"]
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.spaced[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]] = True
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of pieces that follow a space or line feed, and of strings that nothing precedes (first pieces and symbols).
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(c.isspace() for s in self.special for c in s)
+        #: Tokens that begin with a space or line feed.
+        self.opening = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.opening[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith(("\u0120", "\u010a"))]] = True
         self.memory: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.older: tuple[dict, dict] = ({}, {})
+        self.older: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that follow a space, by the library in runs of them.
+    def _runs(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space other than a space or line feed in front, by the library in runs of them.
 
-        A word is the only one of its bytes that begins with the space, so the ids that do tell where each word starts.
+        A piece with nothing in front gets a line feed, a token of its own. So each piece is the only one of its
+        bytes that begins with a space or line feed, and the tokens that do tell where each starts.
         """
         out: list[bytes] = []
-        for i in range(0, len(words), RUN):
-            some = words[i : i + RUN]
-            ids = np.frombuffer(self._library([" " + " ".join(some)])[0], dtype=self.kind)
-            at = np.flatnonzero(self.spaced[ids])
+        width = self.kind.itemsize
+        for i in range(0, len(pieces), RUN):
+            some = pieces[i : i + RUN]
+            bare = [p[0] not in " \n" for p in some]
+            ids = np.frombuffer(self._library(["".join(["\n" + p if b else p for p, b in zip(some, bare, strict=True)])])[0], dtype=self.kind)
+            at = np.flatnonzero(self.opening[ids])
             if len(at) != len(some) or at[0] != 0:  # no byte-level vocabulary after all
-                out += self._library([" " + w for w in some])
+                out += self._library(some)
                 continue
-            data, cuts = ids.tobytes(), (np.append(at, len(ids)) * self.kind.itemsize).tolist()
-            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            data, ends = ids.tobytes(), (np.append(at[1:], len(ids)) * width).tolist()
+            out += [data[a:b] for a, b in zip(((at + bare) * width).tolist(), ends, strict=True)]
         return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: Iterable[str], bare: Iterable[str]) -> None:
-        """Remember the ids of new pieces and bare strings."""
-        memory, strings = self.memory, self.bare
-        old_memory, old_bare = self.older
-        tailed, whole = [], {}
-        for piece in pieces:
-            word = piece.rstrip(_SYMBOLS)
-            if len(word) == len(piece) or not word or not word[-1].isalpha():
-                word = piece
-            else:
-                tailed.append((piece, word))
-            if word not in memory:
-                ids = old_memory.get(word)
-                if ids is None:
-                    whole[word] = None
-                else:
-                    memory[word] = ids
-        new = dict.fromkeys(x for x in (*bare, *(p[len(w) :] for p, w in tailed)) if x not in strings)
-        for x in list(new):
-            if (ids := old_bare.get(x)) is not None:
-                strings[x] = ids
-                del new[x]
-        if whole:
-            # What begins or ends with white space could join what stands beside it in a run.
-            plain = [w for w in whole if w and not w[0].isspace() and not w[-1].isspace()]
-            memory.update(zip(plain, self._words(plain), strict=True))
-            odd = [w for w in whole if w not in memory]
-            memory.update(zip(odd, self._library([p if p[0] == "\n" else " " + p for p in odd]), strict=True))
-        if new:
-            strings.update(zip(new, self._library(list(new)), strict=True))
-        for piece, word in tailed:
-            memory[piece] = memory[word] + strings[piece[len(word) :]]
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that the newer generation does not hold; it does then, but for long ones."""
+        found = dict(zip(pieces, map(self.older.get, pieces), strict=True))
+        runs, single = [], []
+        for piece, ids in found.items():
+            if ids is None:
+                body = piece[1:] if piece[0] in " \n" else piece
+                (runs if self.by_piece and body.split(None, 1) == [body] else single).append(piece)
+        found.update(zip(runs, self._runs(runs), strict=True))
+        found.update(zip(single, self._library(single), strict=True))
+        self.memory.update(found if max(map(len, found)) <= PIECE else {p: ids for p, ids in found.items() if len(p) <= PIECE})
+        return list(found.values())
+
+    def _starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where the pieces of texts begin."""
+        first = np.zeros(len(data) + 1, dtype=bool)
+        if self.by_piece:
+            kinds = _kinds(data)
+            last = np.zeros(len(data) + 1, dtype=bool)
+            last[offs[1:]] = True
+            white = kinds & _WHITE
+            single = np.zeros(len(data), dtype=bool)
+            single[1:-1] = ((kinds[1:-1] & _BREAK) != 0) & ((white[:-2] | white[2:]) == 0)
+            single &= ~last[1:]
+            first[:-1] = single
+            first[1:-1] |= ((kinds[1:] & _SYMBOL) != 0) & ((kinds[:-1] & _LETTER) != 0)
+            first[1:] |= single & (data == 10)
+            raw = data.tobytes()
+            for special in [s.encode() for s in self.special]:
+                if special in raw:
+                    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                        if special in raw[a:b]:
+                            first[a:b] = False
+        first[offs] = True
+        return np.flatnonzero(first[:-1])
+
+    def encoded(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column of strings."""
+        width = self.kind.itemsize
+        for _, data, offs in text_chunks(column, CHUNK):
+            if not len(data):
+                yield from [b""] * (len(offs) - 1)
+                continue
+            starts = self._starts(data, offs)
+            bounds = np.append(starts, len(data))
+            pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+            distinct, index = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+            if len(self.memory) > REMEMBERED:
+                self.older, self.memory = self.memory, {}
+            ids = list(map(self.memory.get, distinct))
+            new = [i for i, x in enumerate(ids) if x is None]
+            if new:
+                for i, x in zip(new, self._learn([distinct[i] for i in new]), strict=True):
+                    ids[i] = x
+            # Tokens of each distinct piece, of each piece, and where they go.
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+            begin, n_of = (np.cumsum(n) - n)[index], n[index]
+            end = np.cumsum(n_of)
+            at = np.repeat(begin - end + n_of, n_of)
+            at += np.arange(len(at))
+            out = np.frombuffer(b"".join(ids), dtype=self.kind)[at].tobytes()
+            cuts = (np.append(0, end)[np.searchsorted(starts, offs)] * width).tolist()
+            yield from (out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) + len(self.bare) > REMEMBERED:
-            self.older, self.memory, self.bare = (self.memory, self.bare), {}, {}
-        head_of, ids_of = self.bare.get, self.memory.get
-        whole, cuts, heads, unknown = [], [], {}, {}
-        for text in texts:
-            head, *pieces = text.replace("\n", " \n").split(" ") if self.by_piece else [""]
-            # The empty piece and a bare line feed tell that white space follows white space, or ends the text.
-            if not self.by_piece or "" in pieces or "\n" in pieces or _SPACED.search(text) or any(s in text for s in self.special):
-                whole.append(text)
-                cuts.append(None)
-                continue
-            known = list(map(ids_of, pieces))
-            if None in known:
-                unknown.update((p, None) for p, ids in zip(pieces, known, strict=True) if ids is None)
-                known = None
-            if head_of(head) is None:
-                heads[head] = None
-            cuts.append((head, pieces, known))
-        self._learn(unknown, heads)
-        done = iter(self._library(whole))
-        return [next(done) if cut is None else head_of(cut[0]) + b"".join(cut[2] or map(ids_of, cut[1])) for cut in cuts]
+        return list(self.encoded(pa.array(texts, pa.large_string())))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -305,17 +341,15 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Data
             return out
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                some = batch.slice(first, 128)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode.encode(some.column(1).to_pylist()), strict=True):
-                    occurrence = occurrence + 1 if doc_id == previous else 0
-                    previous = doc_id
-                    payload += [ids, end]
-                    n = len(ids) // width + 1
-                    rows.append((doc_id, occurrence, size, n))
-                    size += n
-                    if size >= SHARD_IDS:
-                        yield flush()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encoded(batch.column(1)), strict=True):
+                occurrence = occurrence + 1 if doc_id == previous else 0
+                previous = doc_id
+                payload += [ids, end]
+                n = len(ids) // width + 1
+                rows.append((doc_id, occurrence, size, n))
+                size += n
+                if size >= SHARD_IDS:
+                    yield flush()
         if rows:
             yield flush()
 

@@ -39,3 +39,38 @@ def test_query_output_equals_library(spark):
         expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found) == expected
+
+
+def test_library_encodes_each_piece_once_whatever_stands_around_it():
+    """Symbols inside words, runs of white space and repetition cost the library nothing."""
+    rng, path = random.Random(8), tokenizer_path("byte_bpe_50k.json")
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(8)) for _ in range(100)]
+    texts = ["".join(f"{rng.choice(words)}{rng.choice(['', '.', ','])}{rng.choice([' ', ' ', chr(10)])}" for _ in range(300)) + "x  y\n\nz" for _ in range(60)]
+    mine, library, seen = token_store.Encoder(path), tokenizers.Tokenizer.from_file(path), []
+    call = mine._library
+    mine._library = lambda some: seen.extend(map(len, some)) or call(some)
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, mine.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(seen) < 10_000 < sum(map(len, texts)) / 10
+
+
+def test_long_pieces_are_encoded_and_not_remembered():
+    path = tokenizer_path("byte_bpe_50k.json")
+    mine, library = token_store.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    texts = ["日本" * 500, "a " + "é" * 3000 + " b", "short words only", "<|endoftext|>" + " x" * 100]
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, mine.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, mine.memory)) < 100
+
+
+def test_encoder_equals_library_on_wide_white_space_and_small_chunks(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    mine, library = token_store.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    parts = ["\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\x1f", "\t", "\r\n", " ", " ", "\n", "a", "B.", "'s", "\xab", "\u2026", "\u3042", "12", "_x", ""]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(3000)]
+    for chunk in (1, 50, 1 << 22):
+        monkeypatch.setattr(token_store, "CHUNK", chunk)
+        monkeypatch.setattr(token_store, "REMEMBERED", chunk)
+        for text, ids in zip(texts, mine.encode(texts), strict=True):
+            assert np.frombuffer(ids, mine.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
