@@ -22,6 +22,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from meterlark.llm.common import cut, keyed, mix, partitions, read_file, shared_
 SHARD_IDS = 1 << 24
 #: Keys that one index file holds, about.
 INDEX_KEYS = 1 << 20
-#: Pieces of text whose ids a Python worker remembers, in each of two generations (some 50 MB each).
+#: Pieces of text whose ids a Python worker remembers, in each of two generations (some 50 MB each); a chunk adds as many again at most.
 REMEMBERED = 250_000
 _U = np.uint64
 
@@ -235,7 +236,7 @@ class Encoder:
         return out
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces that the newer generation does not hold; it does then, but for long ones."""
+        """Ids of distinct pieces that the newer generation does not hold; it does then, but for long ones and those beyond REMEMBERED."""
         found = dict(zip(pieces, map(self.older.get, pieces), strict=True))
         runs, single = [], []
         for piece, ids in found.items():
@@ -244,7 +245,8 @@ class Encoder:
                 (runs if self.by_piece and body.split(None, 1) == [body] else single).append(piece)
         found.update(zip(runs, self._runs(runs), strict=True))
         found.update(zip(single, self._library(single), strict=True))
-        self.memory.update(found if max(map(len, found)) <= PIECE else {p: ids for p, ids in found.items() if len(p) <= PIECE})
+        usual = len(found) <= REMEMBERED and max(map(len, found)) <= PIECE
+        self.memory.update(found if usual else dict(islice((x for x in found.items() if len(x[0]) <= PIECE), REMEMBERED)))
         return list(found.values())
 
     def _starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -74,3 +74,13 @@ def test_encoder_equals_library_on_wide_white_space_and_small_chunks(monkeypatch
         monkeypatch.setattr(token_store, "REMEMBERED", chunk)
         for text, ids in zip(texts, mine.encode(texts), strict=True):
             assert np.frombuffer(ids, mine.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_chunk_of_new_pieces_does_not_outgrow_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBERED", 100)
+    path = tokenizer_path("byte_bpe_50k.json")
+    mine, library = token_store.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j)}" for i in range(500)) for j in range(4)]
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, mine.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(mine.memory) <= 200 and len(mine.older) <= 200
