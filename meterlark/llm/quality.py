@@ -42,8 +42,11 @@ GRAM_BITS = 52
 KEY_ROWS = (1 << (63 - GRAM_BITS)) - 1
 #: Bytes of text for each slice of the hash range that one group adds up, and the least number of slices.
 SLICE_BYTES, LEAST_SLICES = 1 << 22, 64
-#: Distinct n-grams that a task holds before it hands on its sums so far.
-HELD = 1 << 20
+#: Distinct n-grams that a task holds before it hands on its sums so far, n-grams that wait before they are added,
+#: slices that are handed on at a time.
+HELD, WAITING, PACKED = 1 << 20, 1 << 17, 16
+#: Bytes of text whose n-grams are taken at a time.
+TEXT_BYTES = 1 << 18
 #: An n-gram helps to scale the raw model if the target holds it so often.
 SHARED = 30
 MAX_LABELS = 20_000
@@ -58,7 +61,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 
 def ngrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct n-grams of each row in order, first n-gram of each row), a chunk of rows at a time."""
-    for first, data, offs in text_chunks(column):
+    for first, data, offs in text_chunks(column, TEXT_BYTES):
         for a in range(0, len(offs) - 1, KEY_ROWS):
             part = offs[a : a + KEY_ROWS + 1]
             yield first + a, *_row_ngrams(data[part[0] : part[-1]], part - part[0])
@@ -102,7 +105,7 @@ def _planes(values: np.ndarray) -> bytes:
     return blob(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
 
 
-def _whole(data: bytes) -> np.ndarray:
+def _whole(data: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
@@ -110,31 +113,57 @@ _SLICED = "slice int, grams binary, counts binary, target boolean"
 
 
 class _Held:
-    """Counts of n-grams so far, and those that still wait to be added."""
+    """Distinct n-grams in order with their counts so far, and n-grams that still wait to be added."""
 
     def __init__(self) -> None:
         self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.new: list[np.ndarray] = []
+        self.by: list[np.ndarray] = []
+        self.waiting = 0
 
-    def add(self, grams: np.ndarray) -> int:
+    def add(self, grams: np.ndarray, counts: np.ndarray | None = None) -> int:
+        """Once each, or as often as counts say."""
         self.new.append(grams)
-        if sum(map(len, self.new)) >= HELD:
+        self.by += [] if counts is None else [counts]
+        self.waiting += len(grams)
+        if self.waiting >= WAITING:
             self.settle()
         return len(self.grams)
 
     def settle(self) -> None:
-        if self.new:
-            grams = np.concatenate(self.new)
-            self.grams, self.counts = _sums([self.grams, grams], [self.counts, np.ones(len(grams), np.int64)])
-            self.new = []
+        """Sum up what waits and merge it in: nothing is sorted that is larger than it."""
+        if not self.waiting:
+            return
+        if self.by:
+            grams, counts = _sums(self.new, self.by)
+        else:
+            new = np.concatenate(self.new)
+            new.sort()
+            cuts = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+            grams, counts = new[cuts], np.diff(cuts, append=len(new))
+        self.new, self.by, self.waiting = [], [], 0
+        at = np.searchsorted(self.grams, grams)
+        known = at < len(self.grams)
+        known[known] = self.grams[at[known]] == grams[known]
+        self.counts[at[known]] += counts[known]
+        first = ~known
+        slots = at[first] + np.arange(np.count_nonzero(first))
+        old = np.ones(len(self.grams) + len(slots), dtype=bool)
+        old[slots] = False
+        for name, x in (("grams", grams), ("counts", counts)):
+            merged = np.empty(len(old), np.int64)
+            merged[slots], merged[old] = x[first], getattr(self, name)
+            setattr(self, name, merged)
 
     def sliced(self, bits: int, target: bool) -> Iterator[pa.RecordBatch]:
         self.settle()
-        owner = self.grams >> (GRAM_BITS - bits)
-        cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)) if len(owner) else np.zeros(1, np.int64)
-        rows = list(zip(cuts[:-1], cuts[1:], strict=True))
-        packed = [pa.array([_planes(f(x[a:b])) for a, b in rows], pa.binary()) for f, x in ((lambda g: np.diff(g, prepend=0), self.grams), (lambda c: c, self.counts))]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]], pa.int32()), *packed, pa.array([target] * len(rows), pa.bool_())], names=["slice", "grams", "counts", "target"])
+        cuts = np.searchsorted(self.grams, np.arange((1 << bits) + 1) << (GRAM_BITS - bits))
+        full = np.flatnonzero(np.diff(cuts))
+        for i in range(0, len(full), PACKED):
+            part = full[i : i + PACKED]
+            rows = [(cuts[x], cuts[x + 1]) for x in part]
+            packed = [pa.array([_planes(f(x[a:b])) for a, b in rows], pa.binary()) for f, x in ((lambda g: np.diff(g, prepend=0), self.grams), (lambda c: c, self.counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *packed, pa.array([target] * len(rows), pa.bool_())], names=["slice", "grams", "counts", "target"])
         self.__init__()
 
 
@@ -174,13 +203,13 @@ def _add_slices(least: int):
     """Totals of a slice: n-grams of `least` documents or more, and those that may scale the raw model."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bool, tuple[list, list]] = {False: ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]), True: ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])}
+        found = {False: _Held(), True: _Held()}
         for batch in batches:
-            for grams, counts, target in zip(*(batch.column(x).to_pylist() for x in ("grams", "counts", "target")), strict=True):
-                found[target][0].append(np.cumsum(_whole(grams)))
-                found[target][1].append(_whole(counts))
-        grams, raw = _sums(*found[False])
-        some, n = _sums(*found[True])
+            for grams, counts, target in zip(*(batch.column(x) for x in ("grams", "counts", "target")), strict=True):
+                found[target.as_py()].add(np.cumsum(_whole(grams.as_buffer())), _whole(counts.as_buffer()))
+        for x in found.values():
+            x.settle()
+        (grams, raw), (some, n) = ((x.grams, x.counts) for x in found.values())
         target = np.zeros(len(grams), np.int64)
         target[np.searchsorted(grams, some)] = n
         scaling = np.zeros(len(grams), bool)

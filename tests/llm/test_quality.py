@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from meterlark.llm import quality as m
@@ -76,3 +77,55 @@ def test_kept_is_the_top_k_of_a_full_sort(spark, temperature):
     assert {i for i, r in rows.items() if r["kept"]} == set(ranked[:k])
     hard = {i for i, r in rows.items() if r["log_weight"] >= threshold}
     assert (hard == set(ranked[:k])) == (temperature < 0.1) or len(hard ^ set(ranked[:k])) < 0.1 * k
+
+
+def _counted(batches):
+    return [Counter(dict(zip(np.cumsum(m._whole(g)).tolist(), m._whole(c).tolist(), strict=True))) for b in batches for g, c in zip(b.column("grams").to_pylist(), b.column("counts").to_pylist(), strict=True)]
+
+
+def test_counting_takes_little_more_than_its_sums():
+    """Two of these tasks share an executor with its heap: a task may hold its sums, but no sort or copy that is many times larger."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(2_500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([i % 2 == 0 for i in range(len(texts))])], names=["doc_id", "text", "good"])
+    tracemalloc.start()
+    try:
+        for _ in m._count(6)(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70e6
+
+
+def test_sums_handed_on_in_parts_are_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(m, "HELD", 500)
+    monkeypatch.setattr(m, "WAITING", 64)
+    monkeypatch.setattr(m, "TEXT_BYTES", 500)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=rng.randrange(40))) for _ in range(120)]
+    good = [i % 3 == 0 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(good)], names=["doc_id", "text", "good"])
+    parts = list(m._count(6)(iter([batch])))
+    expected = {True: Counter(), False: Counter()}
+    for first, grams, at in m.ngrams(batch.column(1)):
+        for i in range(len(at) - 1):
+            own = Counter(grams[at[i] : at[i + 1]].tolist())
+            expected[False] += own
+            expected[True] += own if good[first + i] else Counter()
+    for target in (False, True):
+        own = [b.filter(pa.compute.equal(b.column("target"), target)) for b in parts]
+        assert sum(_counted(own), Counter()) == expected[target]
+    assert len([b for b in parts if b.num_rows]) > 8
+    rows = pa.Table.from_batches(parts)
+    for key in set(rows["slice"].to_pylist()):
+        own = rows.filter(pa.compute.equal(rows["slice"], key))
+        (found,) = m._add_slices(1)((key,), iter(own.to_batches(max_chunksize=3)))
+        assert dict(zip(*(found.column(x).to_pylist() for x in ("gram", "raw")), strict=True)) == {g: n for g, n in expected[False].items() if g >> (m.GRAM_BITS - 6) == key}
+        assert all(t == expected[True][g] for g, t in zip(*(found.column(x).to_pylist() for x in ("gram", "target")), strict=True))
