@@ -104,12 +104,21 @@ def component(text: Column) -> Column:
     return out
 
 
-def _windows(limits: DataFrame, keep: list[str], slots: dict[str, Column]) -> DataFrame:
-    """One row for each slot of limits(_snap, limit_id, label, ...); a snapshot with a percentage that is missing or outside 0..100 is refused whole."""
-    each = limits.select("_snap", *keep, "limit_id", "label", F.explode(F.array_compact(F.array(*[F.when(w.isNotNull(), F.struct(F.lit(slot).alias("slot"), w["pct"].alias("pct"), w["minutes"].alias("minutes"), w["resets_us"].alias("resets_us"))) for slot, w in slots.items()]))).alias("_w"))
-    flat = each.select("_snap", *keep, "limit_id", "label", "_w.*")
-    bad = flat.where(~F.coalesce(F.col("pct").between(0, 100), F.lit(False))).select("_snap").distinct()
-    return flat.join(bad, "_snap", "left_anti").select(*keep, F.concat(component(F.col("limit_id")), F.lit(":"), "slot").alias("window_id"), "limit_id", "label", "slot", "pct", F.col("minutes").cast("long").alias("minutes"), "resets_us")
+def _limit(limit_id: Column, label: Column, slots: dict[str, Column]) -> Column:
+    """A limit with its windows, a struct(pct, minutes, resets_us) or null for each slot."""
+    each = [F.when(w.isNotNull(), F.struct(F.lit(slot).alias("slot"), w["pct"].alias("pct"), w["minutes"].cast("long").alias("minutes"), w["resets_us"].alias("resets_us"))) for slot, w in slots.items()]
+    return F.struct(limit_id.alias("limit_id"), label.alias("label"), F.array_compact(F.array(*each)).alias("windows"))
+
+
+def _windows(limits: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each window of the array _limits; a snapshot with a percentage that is missing or outside 0..100 is refused whole.
+
+    A snapshot is judged in its own row: nothing would tell it from others with the same columns.
+    """
+    fits = F.forall("_limits", lambda x: F.forall(x["windows"], lambda w: F.coalesce(w["pct"].between(0, 100), F.lit(False))))
+    each = jv.once(limits).where(fits).select(*keep, F.explode("_limits").alias("_x")).select(*keep, F.col("_x.limit_id").alias("limit_id"), F.col("_x.label").alias("label"), F.explode("_x.windows").alias("_w"))
+    w = F.col("_w")
+    return each.select(*keep, F.concat(component(F.col("limit_id")), F.lit(":"), w["slot"]).alias("window_id"), "limit_id", "label", *[w[c].alias(c) for c in ("slot", "pct", "minutes", "resets_us")])
 
 
 def _epoch_seconds_us(value: Column) -> Column:
@@ -124,33 +133,45 @@ def ledger_windows_web(responses: DataFrame, raw: str = "raw") -> DataFrame:
     keep = [c for c in responses.columns if c != raw]
     window = "struct<used_percent:double,limit_window_seconds:double,reset_at:double>"
     rate = f"struct<primary_window:{window},secondary_window:{window}>"
-    docs = responses.select(*keep, F.monotonically_increasing_id().alias("_snap"), jv.read(F.col(raw), f"rate_limit {rate}, additional_rate_limits variant").alias("_d"))
-    own = docs.select("_snap", *keep, F.lit("codex").alias("limit_id"), F.lit(None).cast("string").alias("label"), F.col("_d.rate_limit").alias("_r"))
-    more = docs.select("_snap", *keep, F.explode(F.slice(jv.items(F.col("_d.additional_rate_limits")), 1, 50)).alias("_x")).select("_snap", *keep, jv.read(F.to_json("_x"), f"metered_feature variant, limit_name variant, rate_limit {rate}").alias("_e"))
-    extra = more.select("_snap", *keep, jv.full_text(F.col("_e.metered_feature")).alias("limit_id"), jv.full_text(F.col("_e.limit_name")).alias("label"), F.col("_e.rate_limit").alias("_r")).where("limit_id IS NOT NULL")
-    slots = {}
-    for slot in ("primary", "secondary"):
-        w = F.col(f"_r.{slot}_window")
-        seconds, resets = w["limit_window_seconds"], w["reset_at"]
-        slots[slot] = F.when(w.isNotNull(), F.struct(w["used_percent"].alias("pct"), F.when(seconds > 0, F.ceil(seconds / 60)).alias("minutes"), F.when(resets > 0, _epoch_seconds_us(resets)).alias("resets_us")))
-    return _windows(own.unionByName(extra), keep, slots)
+
+    def slots(rate_limit: Column) -> dict[str, Column]:
+        found = {}
+        for slot in ("primary", "secondary"):
+            w = rate_limit[f"{slot}_window"]
+            seconds, resets = w["limit_window_seconds"], w["reset_at"]
+            found[slot] = F.when(w.isNotNull(), F.struct(w["used_percent"].alias("pct"), F.when(seconds > 0, F.ceil(seconds / 60)).alias("minutes"), F.when(resets > 0, _epoch_seconds_us(resets)).alias("resets_us")))
+        return found
+
+    docs = jv.once(responses.select(*keep, jv.read(F.col(raw), f"rate_limit {rate}, additional_rate_limits variant").alias("_d")))
+    more = F.transform(F.slice(jv.items(F.col("_d.additional_rate_limits")), 1, 50), lambda x: jv.read(F.to_json(x), f"metered_feature variant, limit_name variant, rate_limit {rate}"))
+    read = jv.once(docs.select(*keep, F.col("_d.rate_limit").alias("_own"), more.alias("_more")))
+    own = _limit(F.lit("codex"), F.lit(None).cast("string"), slots(F.col("_own")))
+    extra = F.filter(F.transform("_more", lambda e: _limit(jv.full_text(e["metered_feature"]), jv.full_text(e["limit_name"]), slots(e["rate_limit"]))), lambda x: x["limit_id"].isNotNull())
+    named = jv.once(read.select(*keep, own.alias("_own"), extra.alias("_extra")))
+    none = F.filter(F.array("_own"), lambda x: F.lit(False))
+    return _windows(named.select(*keep, F.concat(F.array("_own"), F.coalesce("_extra", none)).alias("_limits")), keep)
 
 
 def ledger_windows_client(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """The same windows from a client's answer: limits by id, or the one older limit if there is no such map."""
     keep = [c for c in responses.columns if c != raw]
-    docs = responses.select(*keep, F.monotonically_increasing_id().alias("_snap"), jv.read(F.col(raw), "rateLimitsByLimitId variant, rateLimits variant").alias("_d"))
+    docs = jv.once(responses.select(*keep, jv.read(F.col(raw), "rateLimitsByLimitId variant, rateLimits variant").alias("_d")))
     by_id, older = F.col("_d.rateLimitsByLimitId"), F.col("_d.rateLimits")
     listed = F.transform(F.map_entries(F.try_variant_get(by_id, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     one = F.when(jv.is_object(older), F.array(F.struct(F.lit(None).cast("string").alias("key"), older.alias("value"))))
+    given = jv.once(docs.select(*keep, F.when(jv.is_object(by_id), listed).otherwise(one).alias("_given")))
     window = "struct<usedPercent:double,windowDurationMins:double,resetsAt:double>"
-    each = docs.select("_snap", *keep, F.explode(F.when(jv.is_object(by_id), listed).otherwise(one)).alias("_x")).select("_snap", *keep, F.col("_x.key").alias("_key"), jv.read(F.to_json("_x.value"), f"limitId variant, limitName variant, primary {window}, secondary {window}").alias("_e"))
-    limits = each.select("_snap", *keep, F.coalesce("_key", jv.full_text(F.col("_e.limitId")), F.lit("codex")).alias("limit_id"), jv.full_text(F.col("_e.limitName")).alias("label"), "_e")
-    slots = {}
-    for slot in ("primary", "secondary"):
-        w = F.col(f"_e.{slot}")
-        slots[slot] = F.when(w.isNotNull(), F.struct(w["usedPercent"].alias("pct"), F.when(w["windowDurationMins"] > 0, w["windowDurationMins"]).cast("long").alias("minutes"), _epoch_seconds_us(w["resetsAt"]).alias("resets_us")))
-    return _windows(limits, keep, slots)
+    parsed = F.transform("_given", lambda x: F.struct(x["key"].alias("key"), jv.read(F.to_json(x["value"]), f"limitId variant, limitName variant, primary {window}, secondary {window}").alias("e")))
+    read = jv.once(given.select(*keep, parsed.alias("_read")))
+
+    def limit(x: Column) -> Column:
+        slots = {}
+        for slot in ("primary", "secondary"):
+            w = x["e"][slot]
+            slots[slot] = F.when(w.isNotNull(), F.struct(w["usedPercent"].alias("pct"), F.when(w["windowDurationMins"] > 0, w["windowDurationMins"]).cast("long").alias("minutes"), _epoch_seconds_us(w["resetsAt"]).alias("resets_us")))
+        return _limit(F.coalesce(x["key"], jv.full_text(x["e"]["limitId"]), F.lit("codex")), jv.full_text(x["e"]["limitName"]), slots)
+
+    return _windows(read.select(*keep, F.transform("_read", limit).alias("_limits")), keep)
 
 
 def account_usage(responses: DataFrame, raw: str = "raw") -> DataFrame:
