@@ -25,3 +25,14 @@ def test_client_windows_of_a_restless_feed(spark):
     found = payloads.ledger_windows_client(_restless(spark, [good if i % 2 else bad for i in range(200)]))
     rows = sorted((r["event_id"], r["window_id"], r["pct"]) for r in found.collect())
     assert rows == [(i, w, p) for i in range(1, 200, 2) for w, p in (("codex:primary", 1.0), ("codex:secondary", 2.0), ("x%20y:primary", 3.0))]
+
+
+def test_web_windows_of_a_restless_feed(spark):
+    window = lambda pct: {"primary_window": {"used_percent": pct, "limit_window_seconds": 61}}
+    good = {"rate_limit": window(1), "additional_rate_limits": [{"metered_feature": "m", "limit_name": "M", "rate_limit": window(2)}, {"limit_name": "no id", "rate_limit": window(101)}, None]}
+    bad = {"rate_limit": window(1), "additional_rate_limits": [{"metered_feature": "m", "rate_limit": window(101)}]}
+    plain = {"rate_limit": window(4), "additional_rate_limits": 7}
+    found = payloads.ledger_windows_web(_restless(spark, [(bad, good, plain)[i % 3] for i in range(200)]))
+    rows = sorted((r["event_id"], r["window_id"], r["label"], r["pct"], r["minutes"]) for r in found.collect())
+    expected = [[], [("codex:primary", None, 1.0, 2), ("m:primary", "M", 2.0, 2)], [("codex:primary", None, 4.0, 2)]]
+    assert rows == [(i, *w) for i in range(200) for w in expected[i % 3]]
