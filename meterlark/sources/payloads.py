@@ -78,19 +78,26 @@ def plan_of(tier: Column) -> Column:
 
 
 def organisations(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """One row for each organisation of a list: org_id, name, plan, capabilities, and whether it is the only possible one."""
+    """One row for each organisation of a list: org_id, name, plan, capabilities, and whether it is the only possible one.
+
+    A list is judged in its own row: nothing would tell it from others with the same columns.
+    """
     keep = [c for c in responses.columns if c != raw]
     org = "uuid variant, id variant, name variant, rate_limit_tier variant, capabilities variant"
-    whole = responses.select(*keep, F.monotonically_increasing_id().alias("_list"), F.from_json(raw, "array<variant>").alias("_all"))
-    lists = whole.select(*keep, "_list", F.explode("_all").alias("_o")).where(jv.is_object(F.col("_o")))
-    read = lists.select(*keep, "_list", jv.read(F.to_json("_o"), org).alias("_e"))
-    e = F.col("_e")
-    first = F.coalesce(F.when(~F.is_variant_null(e["uuid"]), e["uuid"]), e["id"])
-    caps = F.transform(F.filter(jv.items(e["capabilities"]), lambda c: F.schema_of_variant(c) == "STRING"), lambda c: c.cast("string"))
-    named = read.select(*keep, "_list", jv.full_text(first).alias("org_id"), F.coalesce(jv.text(e["name"]), F.lit("")).alias("name"), plan_of(jv.text(e["rate_limit_tier"])).alias("plan"), F.coalesce(caps, F.array().cast("array<string>")).alias("capabilities")).where("org_id IS NOT NULL")
-    usable = F.arrays_overlap("capabilities", F.array(F.lit("raven"), F.lit("claude_max"), F.lit("claude_pro")))
-    counts = named.groupBy("_list").agg(F.count("*").alias("_n"), F.count_if(usable).alias("_u"))
-    return named.join(counts, "_list").select(*keep, "org_id", "name", "plan", "capabilities", ((F.col("_n") == 1) | ((F.col("_u") == 1) & usable)).alias("unambiguous"))
+    lists = jv.once(responses.select(*keep, F.from_json(raw, "array<variant>").alias("_all")))
+    read = jv.once(lists.select(*keep, F.transform(F.filter("_all", jv.is_object), lambda o: jv.read(F.to_json(o), org)).alias("_read")))
+
+    def named(e: Column) -> Column:
+        first = F.coalesce(F.when(~F.is_variant_null(e["uuid"]), e["uuid"]), e["id"])
+        caps = F.transform(F.filter(jv.items(e["capabilities"]), lambda c: F.schema_of_variant(c) == "STRING"), lambda c: c.cast("string"))
+        return F.struct(jv.full_text(first).alias("org_id"), F.coalesce(jv.text(e["name"]), F.lit("")).alias("name"), plan_of(jv.text(e["rate_limit_tier"])).alias("plan"), F.coalesce(caps, F.array().cast("array<string>")).alias("capabilities"))
+
+    orgs = jv.once(read.select(*keep, F.transform("_read", named).alias("_named")))
+    orgs = jv.once(orgs.select(*keep, F.filter("_named", lambda o: o["org_id"].isNotNull()).alias("_orgs")))
+    usable = lambda o: F.arrays_overlap(o["capabilities"], F.array(F.lit("raven"), F.lit("claude_max"), F.lit("claude_pro")))
+    o = F.col("_o")
+    each = orgs.select(*keep, F.size("_orgs").alias("_n"), F.size(F.filter("_orgs", usable)).alias("_u"), F.explode("_orgs").alias("_o"))
+    return each.select(*keep, *[o[c].alias(c) for c in ("org_id", "name", "plan", "capabilities")], ((F.col("_n") == 1) | ((F.col("_u") == 1) & usable(o))).alias("unambiguous"))
 
 
 # --- the second ledger ---------------------------------------------------------------------------------

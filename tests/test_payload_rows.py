@@ -36,3 +36,12 @@ def test_web_windows_of_a_restless_feed(spark):
     rows = sorted((r["event_id"], r["window_id"], r["label"], r["pct"], r["minutes"]) for r in found.collect())
     expected = [[], [("codex:primary", None, 1.0, 2), ("m:primary", "M", 2.0, 2)], [("codex:primary", None, 4.0, 2)]]
     assert rows == [(i, *w) for i in range(200) for w in expected[i % 3]]
+
+
+def test_organisations_of_a_restless_feed(spark):
+    team, chat = {"uuid": "t", "capabilities": ["raven", 3]}, {"id": "c", "capabilities": ["chat"]}
+    lists = [[chat], [chat, team], [team, team], [{"name": "none"}, 4], {"uuid": "x"}]
+    found = payloads.organisations(_restless(spark, [lists[i % 5] for i in range(200)]))
+    rows = sorted((r["event_id"], r["org_id"], r["capabilities"], r["unambiguous"]) for r in found.collect())
+    expected = [[("c", ["chat"], True)], [("c", ["chat"], False), ("t", ["raven"], True)], [("t", ["raven"], False)] * 2, [], []]
+    assert rows == [(i, *o) for i in range(200) for o in expected[i % 5]]
