@@ -72,17 +72,18 @@ def usage_buckets(df: DataFrame, zone: str = "UTC") -> DataFrame:
     return sums.drop(*DIMENSIONS)
 
 
-def periods(history: DataFrame, keys: Sequence[str] = ("profile_id", "window_kind"), drop: float = 2.0, gap_us: int = 30 * MINUTE_US, moved_us: int = 10 * MINUTE_US) -> DataFrame:
+def periods(history: DataFrame, keys: Sequence[str] = ("profile_id", "window_kind"), drop: float = 2.0, gap_us: int = 30 * MINUTE_US, moved_us: int = 10 * MINUTE_US, ties: Sequence[str] = ("pct",)) -> DataFrame:
     """Billing periods of a quota history(keys, us, pct, resets_us): one row for each period.
 
     A new period opens when the sample reaches the old deadline with a later one, or when usage falls and the
-    deadline moves at once; a fall under the same deadline opens a segment. All conditions compare neighbours.
+    deadline moves at once; a fall under the same deadline opens a segment. All conditions compare neighbours; equal moments are in the order of
+    ties, the lower first.
     """
     moved = F.coalesce(F.abs(F.col("resets_us") - F.col("_r")) > moved_us, F.lit(False))
     dropped = F.coalesce(F.col("_p") - F.col("pct") >= drop, F.lit(False))
     scheduled = moved & F.coalesce(F.col("us") >= F.col("_r"), F.lit(False))
     fresh = scheduled | (dropped & moved)
-    cut = Scan(history, keys).runs({"_u": "us", "_p": "pct", "_r": "resets_us"}, period=fresh, _falls=dropped & ~fresh).frame()
+    cut = Scan(history, keys, ties=ties).runs({"_u": "us", "_p": "pct", "_r": "resets_us"}, period=fresh, _falls=dropped & ~fresh).frame()
     gap = ~fresh & (F.col("us") - F.col("_u") > gap_us)
     # A period opens without a fall of its own, so the falls of its rows less those of its first row number its segments.
     peaks = cut.withColumn("_gap", gap).groupBy(*keys, "period", "_falls").agg(F.max("pct").alias("peak"), F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n"), F.max_by("resets_us", "us").alias("r"), F.bool_or(F.coalesce("_gap", F.lit(False))).alias("g"))

@@ -23,8 +23,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.usage(spark, sf_dir).where(counts_toward_quota()).withColumn("tokens", quota_tokens())
 
 
-def _quota(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
-    q = synthetic.quota(spark, sf_dir)
+def _quota(spark: SparkSession, sf_dir: str, kind: str | None = None, arrival: bool = False) -> DataFrame:
+    q = synthetic.quota(spark, sf_dir, arrival)
     return q if kind is None else q.where(F.col("window_kind") == kind)
 
 
@@ -296,12 +296,12 @@ def b_coverage(spark, sf_dir):
 
 
 def b_periods(spark, sf_dir):
-    return ledger.periods(_quota(spark, sf_dir))
+    return ledger.periods(_quota(spark, sf_dir, arrival=True), ties=["event_id"])
 
 
 def b_full_cost(spark, sf_dir):
     """Cost of a full window by period: what was spent in it over the share of the quota it used (from 20 points on)."""
-    p = ledger.periods(_quota(spark, sf_dir, "five_hour")).select("profile_id", "period", "first_us", "last_us", "cumulative_pct")
+    p = ledger.periods(_quota(spark, sf_dir, "five_hour", True), ties=["event_id"]).select("profile_id", "period", "first_us", "last_us", "cumulative_pct")
     spent = ordered.asof_backward(_ledger(spark, sf_dir).select("profile_id", "us", "cost_usd"), p.select("profile_id", F.col("first_us").alias("us"), F.col("period")), ["profile_id"], "us", "period")
     costs = spent.where("period IS NOT NULL").groupBy("profile_id", "period").agg(F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"))
     full = F.when(F.col("cumulative_pct") >= 20, F.round(F.col("cost_usd") / F.col("cumulative_pct") * 100, 4))

@@ -299,7 +299,7 @@ SELECT f.profile_id, CAST(floor(max(pct) FILTER (r = 1) + 0.5) AS BIGINT) || '%'
 
 def _b_listed(spark, sf):
     """Periods of the last two weeks with the moment each started."""
-    p = ledger.periods(uq._quota(spark, sf)).withColumn("opened_by_reset", F.col("period") % 2 == 1)
+    p = ledger.periods(uq._quota(spark, sf, arrival=True), ties=["event_id"]).withColumn("opened_by_reset", F.col("period") % 2 == 1)
     return windows.listed_periods(windows.period_starts(p, window_us() / ordered.MINUTE_US), uq._now(spark, sf), 2).select("profile_id", "window_kind", "period", "position", "starts_us")
 
 
