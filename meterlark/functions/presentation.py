@@ -81,8 +81,10 @@ def machine_label(hostname: Column, machine: Column) -> Column:
 
 def tokens_text(n: Column) -> Column:
     size = F.abs(n)
+    # Half up on the double, as the reports do; a format rounds the shortest decimal, which makes 1.01 of 1.005.
+    rounded = lambda x, digits: F.format_string(f"%.{digits}f", half_up(x * 10.0**digits) / 10.0**digits)
     return (
-        F.when(n.isNull(), "—").when(size >= 1e9, F.concat(F.format_string("%.2f", n / 1e9), F.lit("B"))).when(size >= 1e6, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M")))
+        F.when(n.isNull(), "—").when(size >= 1e9, F.concat(rounded(n / 1e9, 2), F.lit("B"))).when(size >= 1e6, F.concat(rounded(n / 1e6, 1), F.lit("M")))
         .when(size >= 1e3, F.concat(F.format_string("%.0f", n / 1e3), F.lit("K"))).otherwise(half_up(n).cast("string"))
     )
 
