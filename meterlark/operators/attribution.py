@@ -59,13 +59,20 @@ def quiet_attribution(samples: DataFrame, events: DataFrame, keys: Sequence[str]
     )
 
 
-def limit_ratio(short: DataFrame, long: DataFrame, keys: Sequence[str] = ("profile_id",), gap_us: int = GAP_US) -> DataFrame:
-    """How many points of the long limit one point of the short one is: pairs at equal times, cut where either falls or a gap lies."""
-    # One pair a moment, so that no order of equal moments decides where a cut lies.
-    at = lambda df, name: df.groupBy(*keys, "us").agg(F.max("pct").alias(name))
+def limit_ratio(short: DataFrame, long: DataFrame, keys: Sequence[str] = ("profile_id",), gap_us: int = GAP_US, arrival: str | None = None) -> DataFrame:
+    """How many points of the long limit one point of the short one is: pairs at equal times, cut where either falls or a gap lies.
+
+    With arrival, a column that orders samples of equal moments, every pair of a moment counts, by the short sample and
+    then by the long one; without it a moment is one pair of its highest values.
+    """
+    if arrival:
+        at = lambda df, name: df.select(*keys, "us", F.col("pct").alias(name), F.col(arrival).alias(f"_{name}_at"))
+    else:
+        at = lambda df, name: df.groupBy(*keys, "us").agg(F.max("pct").alias(name), F.lit(0).alias(f"_{name}_at"))
+    order = ("us", "_s_at", "_l_at")
     pairs = at(short, "s").join(at(long, "l"), [*keys, "us"])
-    cut = Scan(pairs, keys).runs({"_s": "s", "_l": "l", "_u": "us"}, segment=(F.col("s") < F.col("_s")) | (F.col("l") < F.col("_l")) | (F.col("us") - F.col("_u") > gap_us)).frame()
-    ends = cut.groupBy(*keys, "segment").agg((F.max_by("s", "us") - F.min_by("s", "us")).alias("ds"), (F.max_by("l", "us") - F.min_by("l", "us")).alias("dl"))
+    cut = Scan(pairs, keys, ties=order[1:]).runs({"_s": "s", "_l": "l", "_u": "us"}, segment=(F.col("s") < F.col("_s")) | (F.col("l") < F.col("_l")) | (F.col("us") - F.col("_u") > gap_us)).frame()
+    ends = cut.groupBy(*keys, "segment").agg(*[(F.max_by(c, F.struct(*order)) - F.min_by(c, F.struct(*order))).alias(f"d{c}") for c in ("s", "l")])
     sums = ends.groupBy(*keys).agg(F.sum("ds").alias("short_pct"), F.sum("dl").alias("long_pct"), F.count("*").alias("segments"))
     usable = (F.col("long_pct") >= 5) & (F.col("short_pct") > 0)
     return sums.withColumn("ratio", F.when(usable, F.round(F.try_divide("long_pct", "short_pct"), 6)))

@@ -250,7 +250,7 @@ def calib_observations(spark, sf_dir):
 
 
 def limit_ratio(spark, sf_dir):
-    return attribution.limit_ratio(_quota(spark, sf_dir, "five_hour"), _quota(spark, sf_dir, "seven_day"))
+    return attribution.limit_ratio(_quota(spark, sf_dir, "five_hour", True), _quota(spark, sf_dir, "seven_day", True), arrival="event_id")
 
 
 def noncode_increase(spark, sf_dir):

@@ -122,7 +122,7 @@ SELECT d.profile_id, d.from_us, round({_RISE} + 1e-9, 4) AS increase FROM d ASOF
 
 
 def _scales(spark, sf):
-    ratios = attribution.limit_ratio(uq._quota(spark, sf, "five_hour"), uq._quota(spark, sf, "seven_day"))
+    ratios = attribution.limit_ratio(uq._quota(spark, sf, "five_hour", True), uq._quota(spark, sf, "seven_day", True), arrival="event_id")
     return windows.scales(ratios, _latest(spark, sf, "seven_day").select("profile_id", F.col("pct").alias("weekly_pct")))
 
 

@@ -51,3 +51,18 @@ def test_periods_of_equal_moments_in_any_order(spark):
     rows[0], rows[2] = (*rows[0][:3], 3.0, *rows[0][4:]), (*rows[2][:3], 6.0, *rows[2][4:])
     # 3 | 0 6 9 | 0 4
     assert found(ties=["n"]) == {(16.0, 2)}
+
+
+def test_every_pair_of_a_moment_counts(spark, tied):
+    short, long = _samples(3.0), _samples(0.5)
+    expected = {}
+    for p in short:
+        pairs = [(us, a, b) for us, a in short[p] for at, b in long[p] if at == us]
+        segments = [[pairs[0]]]
+        for before, pair in zip(pairs, pairs[1:]):
+            if pair[1] < before[1] or pair[2] < before[2]:
+                segments.append([])
+            segments[-1].append(pair)
+        expected[p] = (sum(s[-1][1] - s[0][1] for s in segments), sum(s[-1][2] - s[0][2] for s in segments), len(segments))
+    found = registry.queries()["limit_ratio"](spark, tied).collect()
+    assert {r["profile_id"]: (r["short_pct"], r["long_pct"], r["segments"]) for r in found} == expected
