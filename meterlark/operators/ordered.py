@@ -101,15 +101,16 @@ def blocks(events: DataFrame, window_us: int = 5 * HOUR_US, key: str = "profile_
 SERIES = ("profile_id", "window_kind")
 
 
-def reset_segments(samples: DataFrame, keys: Sequence[str] = (*SERIES, "resets_us"), drop: float = 2.0) -> DataFrame:
-    """samples with segment (a fall of `drop` points or more opens the next) and the previous sample's time; of equal moments the lower is the earlier."""
-    return Scan(samples, keys, ties=["pct"]).runs({"prev_pct": "pct", "prev_us": "us"}, segment=F.col("prev_pct") - F.col("pct") >= drop).frame()
+def reset_segments(samples: DataFrame, keys: Sequence[str] = (*SERIES, "resets_us"), drop: float = 2.0, ties: Sequence[str] = ("pct",)) -> DataFrame:
+    """samples with segment (a fall of `drop` points or more opens the next) and the previous sample's time; equal moments are in the order of ties, the lower first."""
+    return Scan(samples, keys, ties=ties).runs({"prev_pct": "pct", "prev_us": "us"}, segment=F.col("prev_pct") - F.col("pct") >= drop).frame()
 
 
-def cumulative_usage(samples: DataFrame, keys: Sequence[str] = (*SERIES, "resets_us")) -> DataFrame:
+def cumulative_usage(samples: DataFrame, keys: Sequence[str] = (*SERIES, "resets_us"), ties: Sequence[str] = ("pct",)) -> DataFrame:
     """For each window: cumulative points (the sum of segment peaks), resets, and where the current segment starts."""
-    cut = reset_segments(samples, keys)
-    peaks = cut.groupBy(*keys, "segment").agg(F.greatest(F.lit(0.0), F.max("pct")).alias("peak"), F.min_by("prev_us", F.struct("us", "pct")).alias("before"), F.min("us").alias("first"), F.max_by("pct", F.struct("us", "pct")).alias("last_pct"))
+    cut = reset_segments(samples, keys, ties=ties)
+    order = F.struct("us", *ties)
+    peaks = cut.groupBy(*keys, "segment").agg(F.greatest(F.lit(0.0), F.max("pct")).alias("peak"), F.min_by("prev_us", order).alias("before"), F.min("us").alias("first"), F.max_by("pct", order).alias("last_pct"))
     return peaks.groupBy(*keys).agg(
         F.round(F.sum("peak"), 6).alias("cumulative_pct"),
         F.max("segment").alias("resets"),

@@ -22,14 +22,14 @@ def _add(name: str, query, sql: str) -> None:
     QUERIES[name], ORACLES[name] = query, sql
 
 
-def _told(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.jittered(uq._quota(spark, sf))
+def _told(spark: SparkSession, sf: str, arrival: bool = False) -> DataFrame:
+    return synthetic.jittered(uq._quota(spark, sf, arrival=arrival))
 
 
 def _identified(spark: SparkSession, sf: str) -> DataFrame:
     """Cumulative use of every window of a feed whose reset times jitter: by window as without the jitter."""
-    named = current.identify_windows(_told(spark, sf)).where("window_us IS NOT NULL")
-    return ordered.cumulative_usage(named, ["profile_id", "window_kind", "window_us"])
+    named = current.identify_windows(_told(spark, sf, True)).where("window_us IS NOT NULL")
+    return ordered.cumulative_usage(named, ["profile_id", "window_kind", "window_us"], ties=["event_id"])
 
 
 def _named(rows: str, kinds: str) -> str:

@@ -148,7 +148,7 @@ def usage_blocks(spark, sf_dir):
 
 
 def reset_segments(spark, sf_dir):
-    return ordered.cumulative_usage(_quota(spark, sf_dir))
+    return ordered.cumulative_usage(_quota(spark, sf_dir, arrival=True), ties=["event_id"])
 
 
 def samples_of_window(spark, sf_dir):

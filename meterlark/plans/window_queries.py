@@ -48,7 +48,7 @@ def _weeks(spark, sf):
     weeks = windows.weeks_back(_latest(spark, sf, "seven_day").select("profile_id", "resets_us"))
     costed = uq.priced_usage(spark, sf).where(u.counts_toward_quota()).select("profile_id", "us", u.quota_tokens().alias("tokens"), "cost_usd")
     spent = windows.in_ranges(costed, weeks, ["profile_id"], WEEK).groupBy("profile_id", "week").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).cast("double").alias("cost_usd"))
-    used = ordered.cumulative_usage(uq._quota(spark, sf, "seven_day")).select("profile_id", F.col("resets_us").alias("end_us"), "cumulative_pct")
+    used = ordered.cumulative_usage(uq._quota(spark, sf, "seven_day", True), ties=["event_id"]).select("profile_id", F.col("resets_us").alias("end_us"), "cumulative_pct")
     joined = weeks.join(spent, ["profile_id", "week"], "left").join(used, ["profile_id", "end_us"], "left")
     return joined.select("profile_id", "week", "start_us", "end_us", "tokens", "cost_usd", "cumulative_pct", F.when(F.col("cumulative_pct") >= 5, F.round(F.col("cost_usd") / F.col("cumulative_pct") * 100, 4)).alias("full_usd"))
 

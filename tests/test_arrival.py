@@ -53,6 +53,12 @@ def test_periods_of_equal_moments_in_any_order(spark):
     assert found(ties=["n"]) == {(16.0, 2)}
 
 
+@pytest.mark.parametrize("name", ["window_identity", "reset_segments"])
+def test_windows_by_arrival(spark, tied, name):
+    found = {(r["profile_id"], r["window_kind"]): (r["cumulative_pct"], r["resets"]) for r in registry.queries()[name](spark, tied).collect()}
+    assert found == {(p, kind): _peaks([pct for _, pct in rows]) for kind, step in (("five_hour", 3.0), ("seven_day", 0.5)) for p, rows in _samples(step).items()}
+
+
 def test_every_pair_of_a_moment_counts(spark, tied):
     short, long = _samples(3.0), _samples(0.5)
     expected = {}
